@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("customers",)
+GROUPS = ("customers", "reports")
 
 
 def load():
