@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("customers", "reports")
+GROUPS = ("customers", "reports", "learning")
 
 
 def load():
