@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("customers", "reports", "learning")
+GROUPS = ("customers", "reports", "learning", "events", "training")
 
 
 def load():

@@ -160,38 +160,64 @@ def fit_preprocessor(train: DataFrame, num_cols: Sequence[str] | None = None, ca
     """
     num_cols = list(num_cols if num_cols is not None else having(train, fixed.MODEL_NUMERICAL))
     cat_cols = list(cat_cols if cat_cols is not None else having(train, fixed.CATEGORICAL))
-    fill = {r["feature"]: r for r in fit_impute(train, num_cols, cat_cols, impute, exact).collect()}
-    filled = train.select(
-        *[F.coalesce(F.col(c).cast("double"), F.lit(fill[c]["number"] if c in fill else 0.0)).alias(c) for c in num_cols]
-    )
-    scaling = fit_robust(filled, num_cols, exact) if scaler == "robust" else fit_standard(filled, num_cols)
-    scale = {r["feature"]: r for r in scaling.collect()} if num_cols else {}
+    center, scale, fill = _fit_numbers(train, num_cols, scaler, impute, exact) if num_cols else ({}, {}, {})
+    values = _fit_categories(train, cat_cols) if cat_cols else {}
     parts = ["*"]
     for c in num_cols:
-        value = float(fill[c]["number"]) if c in fill else 0.0
-        parts.append(
-            f"(coalesce(cast(`{c}` as double), {value!r}D) - {float(scale[c]['center'])!r}D)"
-            f" / {float(scale[c]['scale'])!r}D as `num__{c}`"
-        )
+        parts.append(f"(coalesce(cast(`{c}` as double), {fill[c]!r}D) - {center[c]!r}D) / {scale[c]!r}D as `num__{c}`")
     for c in cat_cols:
-        text = fill[c]["text"] if c in fill else ""
-        parts.append(f"coalesce(cast(`{c}` as string), {_quoted(text or '')}) as `cat__{c}`")
-    projection = SQLTransformer(statement=f"SELECT {', '.join(parts)} FROM __THIS__")
-    stages: list = [projection]
+        parts.append(f"coalesce(cast(`{c}` as string), {_quoted(values[c][0])}) as `cat__{c}`")
+    stages: list = [SQLTransformer(statement=f"SELECT {', '.join(parts)} FROM __THIS__")]
     inputs = [f"num__{c}" for c in num_cols]
     if cat_cols:
-        indexer = StringIndexer(
-            inputCols=[f"cat__{c}" for c in cat_cols], outputCols=[f"ix__{c}" for c in cat_cols],
-            handleInvalid="keep", stringOrderType="alphabetAsc",
-        ).fit(projection.transform(train))
-        names = [f"onehot__{c}" for c in cat_cols]
-        encoder = OneHotEncoder(inputCols=[f"ix__{c}" for c in cat_cols], outputCols=names, dropLast=True)
-        stages += [indexer, encoder.fit(indexer.transform(projection.transform(train)))]
-        inputs += names
+        names, indexed, encoded = ([f"{p}__{c}" for c in cat_cols] for p in ("cat", "ix", "onehot"))
+        # the labels are known already: index a table of labels instead of passing over the data again
+        longest = max(len(values[c][1]) for c in cat_cols)
+        labels = [tuple(values[c][1][i % len(values[c][1])] for c in cat_cols) for i in range(longest)]
+        table = train.sparkSession.createDataFrame(labels, ", ".join(f"`{n}` string" for n in names)).coalesce(1)
+        indexer = StringIndexer(inputCols=names, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc").fit(table)
+        encoder = OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True).fit(indexer.transform(table))
+        stages += [indexer, encoder]
+        inputs += encoded
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error"))
     return PipelineModel(stages=stages)
 
 
+def _fit_numbers(train: DataFrame, cols: list[str], scaler: str, impute: str, exact: bool):
+    """Centre, scale and fill value per column. Scaling sees the filled column; columns without gaps need no second pass."""
+    gaps = train.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first().asDict()
+    found = {r["feature"]: r["quantiles"] for r in _quantiles(train, cols, [0.25, 0.5, 0.75], exact).collect()}
+    moments = {}
+    if impute == "mean" or scaler != "robust":
+        moments = {r["feature"]: r for r in fit_standard(train, cols).collect()}
+    fill = {c: (moments[c]["center"] if impute == "mean" else found.get(c, [0.0] * 3)[1]) or 0.0 for c in cols}
+    filled = [c for c in cols if gaps[c] > 0]
+    if filled:
+        whole = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(fill[c])).alias(c) for c in filled])
+        if scaler == "robust":
+            found |= {r["feature"]: r["quantiles"] for r in _quantiles(whole, filled, [0.25, 0.5, 0.75], exact).collect()}
+        else:
+            moments |= {r["feature"]: r for r in fit_standard(whole, filled).collect()}
+    if scaler == "robust":
+        center = {c: float(found[c][1]) for c in cols}
+        scale = {c: float(found[c][2] - found[c][0]) or 1.0 for c in cols}
+    else:
+        center = {c: float(moments[c]["center"]) for c in cols}
+        scale = {c: float(moments[c]["scale"]) for c in cols}
+    return center, scale, {c: float(v) for c, v in fill.items()}
+
+
+def _fit_categories(train: DataFrame, cols: list[str]) -> dict[str, tuple[str, list[str]]]:
+    """Most frequent value and the alphabetic list of values per column, from one pass of pre-aggregated counts."""
+    long = long_form(train, cols, kind="string").where(F.col("value").isNotNull())
+    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.groupBy("feature").agg(
+        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"), F.array_sort(F.collect_set("value")).alias("labels")
+    )
+    rows = {r["feature"]: (r["mode"], list(r["labels"])) for r in found.collect()}
+    return {c: rows.get(c, ("", [""])) for c in cols}
+
+
 def helper_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith(("num__", "cat__", "ix__", "onehot__"))]
 

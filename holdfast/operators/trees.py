@@ -40,17 +40,22 @@ def _arrays(rows: list[dict], use_class_share: bool) -> list[tuple[np.ndarray, .
     for t in sorted({r["tree"] for r in rows}):
         mine = {r["id"]: r for r in rows if r["tree"] == t}
         size = max(mine) + 1
-        feature, threshold = np.full(size, -1), np.zeros(size)
+        feature, threshold, flipped = np.full(size, -1), np.zeros(size), np.zeros(size, bool)
         left, right, value = np.zeros(size, int), np.zeros(size, int), np.zeros(size)
         for i, r in mine.items():
             stats = r["impurityStats"]
             value[i] = stats[1] / sum(stats) if use_class_share else r["prediction"]
             if r["leftChild"] >= 0:
-                if r["categories"] is not None and r["categories"] >= 0:
-                    raise ValueError("categorical splits are not expected after one-hot encoding")
-                feature[i], threshold[i] = r["feature"], r["threshold"][0]
+                categories = -1 if r["categories"] is None else r["categories"]
+                if categories > 2:
+                    raise ValueError("splits over more than two categories do not occur after one-hot encoding")
+                feature[i] = r["feature"]
+                if categories == 2:  # a one-hot position: 0 or 1 goes left
+                    threshold[i], flipped[i] = 0.5, r["threshold"] == [1.0]
+                else:
+                    threshold[i] = r["threshold"][0]
                 left[i], right[i] = r["leftChild"], r["rightChild"]
-        trees.append((feature, threshold, left, right, value))
+        trees.append((feature, threshold, flipped, left, right, value))
     return trees
 
 
@@ -64,7 +69,7 @@ def tree_contributions(df: DataFrame, model: PipelineModel) -> DataFrame:
     weights = list(classifier.treeWeights) if hasattr(classifier, "treeWeights") else [1.0]
     if not boosted:
         weights = [1.0 / len(trees)] * len(trees)
-    base = float(sum(w * t[4][0] for w, t in zip(weights, trees)))
+    base = float(sum(w * t[5][0] for w, t in zip(weights, trees)))
     shared = spark.sparkContext.broadcast((trees, weights, len(names)))
 
     @F.pandas_udf("array<double>")
@@ -73,13 +78,13 @@ def tree_contributions(df: DataFrame, model: PipelineModel) -> DataFrame:
         x = np.vstack(features.to_numpy())
         moved = np.zeros((len(x), width))
         every = np.arange(len(x))
-        for (feature, threshold, left, right, value), weight in zip(all_trees, all_weights):
+        for (feature, threshold, flipped, left, right, value), weight in zip(all_trees, all_weights):
             at = np.zeros(len(x), int)
             active = every[feature[at] >= 0]
             while len(active):
                 here = at[active]
                 split_on = feature[here]
-                goes_left = x[active, split_on] <= threshold[here]
+                goes_left = (x[active, split_on] <= threshold[here]) != flipped[here]
                 below = np.where(goes_left, left[here], right[here])
                 moved[active, split_on] += weight * (value[below] - value[here])
                 at[active] = below

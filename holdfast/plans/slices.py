@@ -26,6 +26,11 @@ def default_parts(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def parts_for(df: DataFrame, rows: int, rows_per_part: int = 250_000) -> int:
+    """Slices for a known row count: a small table needs one."""
+    return min(default_parts(df), max(1, -(-rows // rows_per_part)))
+
+
 def quantile_marks(df: DataFrame, value: str, parts: int, counts: list[str]) -> Column:
     """Scalar subquery: ``parts - 1`` approximate quantiles of ``value``.
 
