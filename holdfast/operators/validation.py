@@ -14,9 +14,14 @@ def with_request_defaults(df: DataFrame) -> DataFrame:
     """Every field of the request contract; a field that is absent or null takes its default."""
     defaults = {n: d for n, (_, d) in fixed.REQUEST_CHOICES.items()}
     defaults |= {n: d for n, (_, _, d) in fixed.REQUEST_BOUNDS.items()}
-    return df.withColumns(
-        {n: F.coalesce(F.col(n), F.lit(d)) if n in df.columns else F.lit(d) for n, d in defaults.items()}
-    )
+    kinds = dict(df.dtypes)
+
+    def filled(name: str, default) -> Column:
+        if name not in kinds:
+            return F.lit(default)
+        return F.coalesce(F.col(name), F.lit(str(default) if kinds[name] == "string" else default))
+
+    return df.withColumns({n: filled(n, d) for n, d in defaults.items()})
 
 
 def _choice_reason(name: str, allowed: list[str]) -> Column:
