@@ -45,7 +45,7 @@ def _psi(points: DataFrame, bins: int, eps: float, edge_digits: int | None) -> D
     placed = points.join(F.broadcast(edges), "feature").where(F.size(at) >= 2)
     last = F.size(at)
     # edges at or below the value; the top edge closes the last bin
-    at_or_below = F.aggregate(at, F.lit(0), lambda n, e: n + F.when(e <= value, 1).otherwise(0))
+    at_or_below = sum((F.when(F.try_element_at(at, F.lit(i + 1)) <= value, 1).otherwise(0) for i in range(bins + 1)), F.lit(0))
     bin_no = F.when((value < at[0]) | (value > F.element_at(at, -1)), F.lit(None)).otherwise(F.least(at_or_below, last - 1))
     per_bin = placed.select("feature", bin_no.alias("bin"), (last - 1).alias("bins"), "ref_n", "cur_n", "total_ref_n", "total_cur_n")
     tallies = []

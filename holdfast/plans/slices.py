@@ -57,7 +57,13 @@ def position(marks: Column, value: Column, size: int) -> Column:
 
 
 def add_slice(df: DataFrame, value: str, parts: int, counts: list[str] | None = None) -> DataFrame:
+    """Add the slice number: a binary search written as one projection per step, so it stays in generated code."""
     if parts <= 1:
         return df.withColumn(SLICE, F.lit(0))
-    marked = df.withColumn(MARKS, quantile_marks(df, value, parts, counts or []))
-    return marked.withColumn(SLICE, position(F.col(MARKS), F.col(value), parts)).drop(MARKS)
+    found = df.withColumn(MARKS, quantile_marks(df, value, parts, counts or [])).withColumn(SLICE, F.lit(0))
+    marks, at = F.col(MARKS), F.col(SLICE)
+    for power in (1 << k for k in reversed(range(parts.bit_length()))):
+        ahead = at + power
+        further = (ahead <= F.size(marks)) & (F.try_element_at(marks, ahead) < F.col(value))
+        found = found.withColumn(SLICE, F.when(further, ahead).otherwise(at))
+    return found.drop(MARKS)
