@@ -44,3 +44,19 @@ def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     from holdfast.llm.packing import pack_documents
 
     return pack_documents(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@query
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from holdfast.llm.rules import digest
+
+    return digest(table(spark, folder, "documents"))
+
+
+@query
+def op9_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    from holdfast.llm.chat import digest, format_chats
+
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    return digest(format_chats(table(spark, folder, "conversations").select(*extra.columns).unionAll(extra)))
