@@ -60,3 +60,24 @@ def op9_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     return digest(format_chats(table(spark, folder, "conversations").select(*extra.columns).unionAll(extra)))
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    from holdfast.llm.quality_fm import classify
+
+    return classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from holdfast.llm.langid import identify
+
+    return identify(table(spark, folder, "documents"))
+
+
+@query
+def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    from holdfast.llm.neardup import group
+
+    return group(table(spark, folder, "documents"), shingle=2)
