@@ -13,6 +13,27 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ORACLE_SQL = None
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base measures and whose votes speak for quality."""
+    from holdfast.llm.rules import keep_good
+
+    return keep_good(docs)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told apart, by a model of the labelled ones among them."""
+    from holdfast.llm.langid import fit, keep_known
+
+    return keep_known(docs, fit(docs.select("text", "lang")))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more)."""
+    from holdfast.llm.neardup import keep_first
+
+    return keep_first(docs)
+
+
 def without_contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of ten words with the benchmark."""
     from holdfast.llm.decontaminate import remove_contaminated
@@ -29,6 +50,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", good_quality),
+    ("language", known_language),
+    ("near duplicates", one_of_each_group),
     ("decontamination", without_contamination),
     ("packing", packed),
 ]
@@ -41,7 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        path = f"{folder.rstrip('/')}/pipeline-{name}-{uuid.uuid4().hex}"
+        path = f"{folder.rstrip('/')}/pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,10 +6,10 @@ and two registers agree with about the probability of the Jaccard similarity.
 
 1. Texts with equal sets form a class (one row per class after a map-side combine); only classes go on.
 2. Registers are hashed in bands; classes with an equal band are candidates. In each bucket all members are compared
-   with one pivot, so a bucket of any size gives one pair per member. Rounds repeat this with another pivot for the
-   members that are not yet connected with each other.
-3. What is still apart in a bucket after ``rounds`` rounds is compared exactly, member by member of different
-   components: none of the links between different texts is lost to a cap.
+   with one pivot, the one that shares buckets with the most others, so a bucket of any size gives one pair per member.
+   Rounds repeat this with another pivot for the members that are not yet connected with each other.
+3. What is still apart in a bucket after ``rounds`` rounds is compared exactly: members of different components that
+   have one of their rarest shingles in common. None of the links between different texts is lost to a cap.
 4. A pair is dropped without reading texts only if its sizes rule the similarity out, or if the joint likelihood of
    its registers is e^25 times higher for some lower similarity than for the threshold. All other pairs are verified
    on their full sets.
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.plans.storage import stored
@@ -175,6 +175,34 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int
     return close.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, f"a {kind}, b {kind}").distinct()
 
 
+def overlapping(open_: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs of open nodes that may be linked by their rarest shingles; exact, without the pairs of a bucket.
+
+    Shingles of a set are ordered by how many open sets have them. If two sets are similar enough, their first common
+    shingle in that order leaves room for the common part they need; so only the rare end of each set is joined, and
+    what is in one set alone is in no join at all.
+    """
+    nodes = open_.select("node", "n", "component").distinct()
+    kinds = f"node {nodes.schema['node'].dataType.simpleString()}, n bigint, component {nodes.schema['component'].dataType.simpleString()}"
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [hashes(w, shingle).view(np.int64) if (w := words(t.as_py())) else [] for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), b.column("component"), pa.array(found, pa.list_(pa.int64()))], ["node", "n", "component", "tokens"])
+
+    tokens = stored(texts.select("node", "n", "component", "text").mapInArrow(split, f"{kinds}, tokens array<bigint>").distinct(), "open-sets")
+    tokens = tokens.select("node", "n", "component", F.explode("tokens").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
+    own = Window.partitionBy("node")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("sets", "token")) - 1
+    rare = tokens.join(often, "token").select("token", "node", "n", "component", (F.col("n") - place).alias("room")).where(F.lit(100) * F.col("room") >= F.lit(percent) * F.col("n"))
+    rare = stored(rare, "rare")
+    other = rare.select("token", F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("component").alias("c_other"), F.col("room").alias("room_other"))
+    enough = F.lit(100 + percent) * F.least("room", "room_other") >= F.lit(percent) * (F.col("n") + F.col("n_other"))
+    return rare.join(other, "token").where("node < other and component <> c_other").where(enough).drop("token", "room", "room_other")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node with a link: the smallest node it reaches, by labels and jumps along them."""
     edges = stored(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -195,7 +223,7 @@ def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def group(docs: DataFrame, shingle: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
+def group(docs: DataFrame, shingle: int = 5, percent: int = 80, rounds: int = 1) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
     rows = stored(sketched(docs, shingle), "sketches")
     classes = stored(
@@ -205,21 +233,24 @@ def group(docs: DataFrame, shingle: int = 5, percent: int = 80, rounds: int = 2)
         "classes",
     )
     members = banded(classes)
-    shared = members.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     members = stored(members.join(shared, "bucket"), "buckets")
+    weight = members.groupBy("node").agg(F.sum("members").alias("weight"))
+    members = stored(members.drop("members").join(weight, "node"), "weighted")
     links, labels, tested = None, None, None
     for number in range(rounds + 1):
         own = labelled(members, labels)
         apart = own.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("bucket")
         open_ = stored(own.join(apart, "bucket"), "open") if number else own
         if number < rounds:
-            # the first pivot is the smallest node, a later one the smallest outside of the first component
-            outside = open_ if not number else open_.join(open_.groupBy("bucket").agg(F.min("component").alias("first")), "bucket").where("component <> first")
-            pivot = outside.groupBy("bucket").agg(F.min(F.struct("node", "n", "component")).alias("p"))
+            # the pivot is the member that shares buckets with the most others (what copies were made from does);
+            # a later one is such a member outside of the component of the first
+            heaviest = F.max(F.struct("weight", "node", "n", "component"))
+            outside = open_ if not number else open_.join(open_.groupBy("bucket").agg(heaviest.alias("p")).select("bucket", F.col("p.component").alias("first")), "bucket").where("component <> first")
+            pivot = outside.groupBy("bucket").agg(heaviest.alias("p"))
             found = open_.join(pivot, "bucket").select("node", "n", "component", F.col("p.node").alias("other"), F.col("p.n").alias("n_other"), F.col("p.component").alias("c_other"))
         else:
-            other = open_.select("bucket", F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("component").alias("c_other"))
-            found = open_.join(other, "bucket").where("node < other")
+            found = overlapping(open_, docs, shingle, percent)
         found = found.where("node <> other and component <> c_other").where(possible(percent, "n", "n_other"))
         pairs = found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         if tested is not None:

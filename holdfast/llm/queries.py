@@ -81,3 +81,17 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     from holdfast.llm.neardup import group
 
     return group(table(spark, folder, "documents"), shingle=2)
+
+
+@query
+def op4_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    from holdfast.llm.htmltext import main_text
+
+    return main_text(table(spark, folder, "pages"))
+
+
+@query
+def op7_window_lm(spark: SparkSession, folder: str) -> DataFrame:
+    from holdfast.llm.lm import score_documents
+
+    return score_documents(table(spark, folder, "documents"))
