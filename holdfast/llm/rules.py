@@ -2,8 +2,8 @@
 
 Each rule is a pair of conditions on measures of a text: one votes for quality, one against, neither abstains. The
 table is combined to one row per vote pattern (at most 3 to the number of rules, so bounded); on these rows
-expectation-maximisation estimates how often each rule that votes does so either way on good and on bad documents; an
-abstention says nothing. The posterior probability of quality given the votes is then a small lookup by pattern. Everything
+expectation-maximisation estimates how often each rule that votes does so either way on good and on bad documents, and
+the share of good ones; an abstention says nothing. The posterior probability of quality given the votes is then a small lookup by pattern. Everything
 on the way is DataFrame functions; the driver sees pattern counts only.
 
 Defined results: a null text is an empty one: it has no words and fails the base; an empty table gives no rows; each of
@@ -21,8 +21,8 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 THRESHOLD = 0.5
 ROUNDS = 40
-#: Share of good texts taken for granted before any vote; the estimates cannot move it.
-SHARE = 0.8
+#: The most often that a rule may vote against good texts; the estimates stay at or under it.
+MOST_AGAINST_GOOD = 0.002
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
@@ -96,7 +96,7 @@ def pattern(rules: list[tuple[str, str, str]] = RULES) -> Column:
     return F.concat(*[F.when(F.expr(good), "+").when(F.expr(bad), "-").otherwise("0") for _, good, bad in rules])
 
 
-def posteriors(counts: dict[str, int], rounds: int = ROUNDS, share: float = SHARE) -> dict[str, float]:
+def posteriors(counts: dict[str, int], rounds: int = ROUNDS) -> dict[str, float]:
     """Probability of quality for each vote pattern, by expectation-maximisation over pattern counts.
 
     The first guess takes any vote against for a probable sign of a bad text, so that the classes cannot change places;
@@ -104,6 +104,8 @@ def posteriors(counts: dict[str, int], rounds: int = ROUNDS, share: float = SHAR
     """
     good = {v: 0.1 if "-" in v else 0.9 for v in counts}
     for _ in range(rounds):
+        total = sum(counts.values())
+        share = (1 + sum(counts[v] * good[v] for v in counts)) / (2 + total)
         tables = []
         for k in range(len(next(iter(counts), ""))):
             own = {(s, side): 1.0 for s in "+-" for side in (0, 1)}
@@ -112,13 +114,10 @@ def posteriors(counts: dict[str, int], rounds: int = ROUNDS, share: float = SHAR
                     own[v[k], 1] += n * good[v]
                     own[v[k], 0] += n * (1 - good[v])
             sums = [own["+", side] + own["-", side] for side in (0, 1)]
-            tables.append({"0": 0.0} | {s: math.log(own[s, 1] / sums[1]) - math.log(own[s, 0] / sums[0]) for s in "+-"})
-        good = {}
-        for v in counts:
-            own = [t[s] for t, s in zip(tables, v, strict=True)]
-            pro = [x for x, s in zip(own, v, strict=True) if s == "+"]
-            odds = math.log(share / (1 - share)) + sum(x for x, s in zip(own, v, strict=True) if s == "-") + (sum(pro) / len(pro) if pro else 0.0)
-            good[v] = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+            against = min(own["-", 1] / sums[1], MOST_AGAINST_GOOD)
+            tables.append({"0": 0.0, "+": math.log((1 - against) * sums[0] / own["+", 0]), "-": math.log(against * sums[0] / own["-", 0])})
+        prior = math.log(share) - math.log(1 - share)
+        good = {v: 1 / (1 + math.exp(-max(-500.0, min(500.0, prior + sum(t[s] for t, s in zip(tables, v, strict=True)))))) for v in counts}
     return good
 
 
