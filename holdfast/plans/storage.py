@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session in one process may go without it: it gets a temporary folder. On a cluster that is an error, since
+    driver and executors would not see the same files.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="holdfast-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
