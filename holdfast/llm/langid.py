@@ -16,13 +16,13 @@ ignored or, in :func:`keep_known`, kept as they are.
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +30,9 @@ LENGTHS = (4, 3, 2, 1)
 MAX_WORDS = 40_000
 MAX_GRAMS = 20_000
 TASK_ENTRIES = 300_000
-CACHE_WORDS = 300_000
 UNKNOWN = "und"
 
-_LETTERS = regex.compile(r"[\p{L}\p{M}]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str | None) -> list[str]:
@@ -78,37 +77,39 @@ def counted(training: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFram
 
 
 class Model:
-    """Log probabilities per language of known words and n-grams, and the word scores met so far (bounded)."""
+    """Log probabilities per language, one matrix row for each known word and n-gram."""
 
     def __init__(self, langs: list[str], tables: dict[int, dict[str, np.ndarray]], lengths: tuple[int, ...] = LENGTHS):
-        self.langs, self.tables, self.lengths = langs, tables, lengths
-        self.known: dict[str, np.ndarray] = {}
-
-    def word(self, w: str) -> np.ndarray:
-        score = self.known.get(w)
-        if score is None:
-            score = self.tables.get(0, {}).get(w)
-            if score is None:
-                score = self.backoff(w)
-            if len(self.known) < CACHE_WORDS:
-                self.known[w] = score
-        return score
-
-    def backoff(self, w: str) -> np.ndarray:
-        for n in self.lengths:
-            table = self.tables.get(n, {})
-            found = [table[g] for g in grams(w, n) if g in table]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs))
+        self.langs, rows = langs, []
+        self.rows: dict[int, dict[str, int]] = {}
+        for kind in (0, *lengths):
+            table = tables.get(kind, {})
+            self.rows[kind] = {entry: len(rows) + k for k, entry in enumerate(table)}
+            rows += table.values()
+        self.matrix = np.array(rows) if rows else np.zeros((0, len(langs)))
+        self.backoff = [(n, self.rows[n]) for n in lengths]
+
+    def sums(self, own: list[str]) -> np.ndarray:
+        """Known words by their row; each other word by the mean over its known n-grams of the longest length it has."""
+        at = [self.rows[0].get(w) for w in own]
+        if None not in at:
+            return self.matrix[at].sum(0)
+        seen, picked, weights = [k for k in at if k is not None], [], []
+        for w, n in Counter(w for w, k in zip(own, at, strict=True) if k is None).items():
+            edged = f"^{w}$"
+            for size, table in self.backoff:
+                found = [k for i in range(len(edged) - size + 1) if (k := table.get(edged[i : i + size])) is not None]
+                if found:
+                    picked += found
+                    weights += [n / len(found)] * len(found)
+                    break
+        return self.matrix[seen].sum(0) + np.array(weights) @ self.matrix[picked] if picked else self.matrix[seen].sum(0)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         own = words(text)
-        if not self.langs or not own or not any(c.isalpha() for w in own for c in w):
+        if not self.langs or not own:
             return UNKNOWN, 0.0
-        total = np.zeros(len(self.langs))
-        for w, n in Counter(own).items():
-            total += self.word(w) * n
+        total = self.sums(own)
         best = int(np.argmax(total))
         return self.langs[best], 1 / float(np.exp(np.clip(total - total[best], -700, 0)).sum())
 
