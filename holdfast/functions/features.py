@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from holdfast.fixed import FEATURE_DEFAULTS
-from holdfast.functions.numeric import at_least, flag, half_even
+from holdfast.functions.numeric import at_least, flag, half_even, known
 
 
 def column_or_default(name: str, columns: Sequence[str], *aliases: str) -> Column:
@@ -38,14 +38,14 @@ def ratio_features(columns: Sequence[str]) -> dict[str, Column]:
 
 
 def flag_features(columns: Sequence[str]) -> dict[str, Column]:
-    days = at_least(column_or_default("active_days_per_month", columns), 1)
-    logins = column_or_default("login_frequency_30d", columns, "app_logins_30d")
-    failures = column_or_default("payment_failures_90d", columns)
-    late = column_or_default("late_payments_12m", columns)
+    days = at_least(known(column_or_default("active_days_per_month", columns)), 1)
+    logins = known(column_or_default("login_frequency_30d", columns, "app_logins_30d"))
+    failures = known(column_or_default("payment_failures_90d", columns))
+    late = known(column_or_default("late_payments_12m", columns))
     return {
-        "has_high_support_tickets": flag(column_or_default("support_tickets_30d", columns) >= 3),
-        "is_dissatisfied": flag(column_or_default("resolution_satisfaction_score", columns) <= 2),
-        "severe_usage_drop": flag(column_or_default("change_in_usage_pct", columns) < -0.25),
+        "has_high_support_tickets": flag(known(column_or_default("support_tickets_30d", columns)) >= 3),
+        "is_dissatisfied": flag(known(column_or_default("resolution_satisfaction_score", columns)) <= 2),
+        "severe_usage_drop": flag(known(column_or_default("change_in_usage_pct", columns)) < -0.25),
         "low_engagement_flag": flag((days <= 5) & (logins <= 3)),
         "has_payment_issue": flag((failures > 0) | (late > 0)),
         "is_month_to_month": flag(column_or_default("contract_type", columns) == "Month-to-month"),

@@ -36,6 +36,11 @@ def present(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value)
 
 
+def known(value: Column) -> Column:
+    """The value, null where it is NaN."""
+    return F.when(present(value), value)
+
+
 def money_sum(value: Column) -> Column:
     """Sum of amounts in cents-exact decimals: the same result in any row order."""
     return F.sum(value.cast("decimal(18,2)")).cast("double")

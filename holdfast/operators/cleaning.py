@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast import fixed
+from holdfast.functions.numeric import known
 
 
 def dedup_by_key(df: DataFrame, key: str = fixed.ID, order_col: str | None = None) -> DataFrame:
@@ -28,8 +29,8 @@ def dedup_rows(df: DataFrame) -> DataFrame:
 
 
 def coerce_number(name: str) -> Column:
-    """Number where the text parses, else null (surrounding white space allowed)."""
-    return F.expr(f"try_cast(trim(`{name}`) as double)")
+    """Number where the text parses, else null (surrounding white space allowed); NaN is missing."""
+    return known(F.expr(f"try_cast(trim(`{name}`) as double)"))
 
 
 def strip(text: Column) -> Column:
@@ -51,6 +52,8 @@ def coerce_types(df: DataFrame, numeric: Sequence[str] = tuple(fixed.NUMERICAL),
     for c in numeric:
         if kinds.get(c) == "string":
             changes[c] = coerce_number(c)
+        elif kinds.get(c) in ("double", "float"):
+            changes[c] = known(F.col(c))
     for c in categorical:
         if c in kinds:
             changes[c] = strip(F.col(c))

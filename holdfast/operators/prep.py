@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast import fixed
+from holdfast.functions.numeric import known, present
 from holdfast.operators.quality import having
 from holdfast.plans.running import approx_quantiles, long_form, quantile_row
 
@@ -73,7 +74,7 @@ def apply_impute(df: DataFrame, params: DataFrame, num_cols: Sequence[str] | Non
     num_cols = list(num_cols if num_cols is not None else having(df, fixed.NUMERICAL))
     cat_cols = list(cat_cols if cat_cols is not None else having(df, fixed.CATEGORICAL))
     with_params = df.withColumn("_params", as_map(params, "feature", "number", "text"))
-    numbers = {c: F.coalesce(F.col(c).cast("double"), F.col("_params")[c]["number"]) for c in num_cols}
+    numbers = {c: F.coalesce(known(F.col(c).cast("double")), F.col("_params")[c]["number"]) for c in num_cols}
     texts = {c: F.coalesce(F.col(c), F.col("_params")[c]["text"]) for c in cat_cols}
     return with_params.withColumns({**numbers, **texts}).drop("_params")
 
@@ -114,10 +115,10 @@ def fit_clip_bounds(df: DataFrame, cols: Sequence[str] | None = None, factor: fl
 
 
 def clip_outliers(df: DataFrame, params: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Values outside the bounds move to the bound; nulls stay null."""
+    """Values outside the bounds move to the bound; nulls stay null, NaN becomes null."""
 
     def clip(x: Column, p: Column) -> Column:
-        return F.when(x.isNotNull(), F.least(F.greatest(x.cast("double"), p["lower"]), p["upper"]))
+        return F.when(present(x.cast("double")), F.least(F.greatest(x.cast("double"), p["lower"]), p["upper"]))
 
     return _apply(df, params, ["lower", "upper"], cols, clip)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast import fixed
-from holdfast.functions.numeric import half_even, share
+from holdfast.functions.numeric import half_even, known, share
 from holdfast.plans.running import approx_quantiles, long_form, quantile_row
 
 
@@ -47,7 +47,7 @@ def quality_numeric(df: DataFrame, cols: Sequence[str] | None = None, exact: boo
     order: exact through sliced running counts, or one sketch pass.
     """
     cols = list(cols or having(df, fixed.NUMERICAL))
-    values = {c: F.col(c).cast("double") for c in cols}
+    values = {c: known(F.col(c).cast("double")) for c in cols}
     moments = df.agg(
         *[
             F.struct(

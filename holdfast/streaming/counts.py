@@ -39,20 +39,18 @@ def last_n_counts(
 
     Ordinary customers take one shuffle by key. A customer with more than
     ``hot_rows`` events is cut into runs of ``hot_rows`` consecutive events; each
-    run also receives the n-1 events before it, so its counts are exact and no
-    task holds more than one run. At most rows / hot_rows customers can be hot,
-    which bounds the broadcast list.
+    run also receives the n-1 events before it, from however many runs they are
+    in, so its counts are exact and no task holds more than one run and those.
     """
     hot_keys = events.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    marked = events.join(F.broadcast(hot_keys.select(key, F.lit(True).alias("_hot"))), key, "left")
+    marked = events.join(hot_keys.select(key, F.lit(True).alias("_hot")), key, "left")
     plain = marked.where(F.col("_hot").isNull()).drop("_hot").withColumns(
         {"_run": F.lit(0).cast("long"), "_lead_in": F.lit(False)}
     )
     hot = ranked(marked.where(F.col("_hot")).drop("_hot"), time, [key], [tie])
     place = F.col("rank") - 1
     run = F.floor(place / hot_rows)
-    near_end = place % hot_rows >= hot_rows - (n - 1)
-    homes = F.when(near_end, F.array(run, run + 1)).otherwise(F.array(run))
+    homes = F.sequence(run, F.floor((place + (n - 1)) / hot_rows))
     cut = hot.select("*", run.alias("_own"), F.explode(homes).alias("_run")).withColumn("_lead_in", F.col("_run") != F.col("_own"))
     every = plain.unionByName(cut.select(*plain.columns))
     recent = Window.partitionBy(key, "_run").orderBy(time, tie).rowsBetween(-(n - 1), 0)

@@ -65,6 +65,25 @@ def test_numeric_profile_exact_and_sketched(spark):
     assert row["std"] == pytest.approx(29.3, abs=0.01)
 
 
+def test_nan_is_missing(spark):
+    from holdfast.functions.features import flag_features
+    from holdfast.operators import cleaning, prep
+
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0,), (3.0,), (nan,), (None,)], "age double")
+    row = quality.quality_numeric(df, ["age"]).first()
+    assert (row["mean"], row["min"], row["max"]) == (2.0, 1.0, 3.0)
+    filled = prep.apply_impute(df, prep.fit_impute(df, ["age"], []), ["age"], [])
+    assert sorted(r["age"] for r in filled.collect()) == [1.0, 2.0, 2.0, 3.0]
+    clipped = prep.clip_outliers(df, prep.fit_clip_bounds(df, ["age"]), ["age"])
+    assert sorted((r["age"] for r in clipped.collect()), key=str) == [1.0, 3.0, None, None]
+    text = spark.createDataFrame([(" 4 ",), ("nan",), ("x",)], "age string")
+    assert [r[0] for r in text.select(cleaning.coerce_number("age")).collect()] == [4.0, None, None]
+    one = spark.createDataFrame([(nan, nan, nan)], "support_tickets_30d double, payment_failures_90d double, late_payments_12m double")
+    flags = one.select(*[v.alias(k) for k, v in flag_features(one.columns).items() if k in ("has_high_support_tickets", "has_payment_issue")]).first()
+    assert tuple(flags) == (0, 0)
+
+
 def test_leakage_guard(spark, profile):
     leaky = add_leakage_columns(profile)
     assert leakage.audit_leakage(leaky) == fixed.LEAKAGE

@@ -37,7 +37,7 @@ def test_hot_customers_are_cut_exactly(spark):
         "event_id", "customer_id", "event_type", F.timestamp_seconds("s").alias("ts")
     )
     want = plain_counts([r.asDict() for r in df.collect()], 50)
-    for hot_rows in (50, 73, 200, 10_000):
+    for hot_rows in (7, 20, 49, 50, 73, 200, 10_000):
         assert as_dict(counts.last_n_counts(df, 50, hot_rows)) == want
 
 
