@@ -26,6 +26,8 @@ an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,13 +40,17 @@ from holdfast.plans.storage import stored
 
 BASE, RATE, LIMIT = 1.001, 20.0, 65_535
 BANDS, ROWS = 36, 5
-CACHE_WORDS = 500_000
+PART_BYTES = 1 << 20
 SURE = 25.0
 
 _rng = np.random.default_rng(20240)
-_ODD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+_ODD = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+_ADD = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
+_BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
+_BASE = np.uint64(0xD1342543DE82EF95)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_GAP = re.compile(rb"[ \t-\r]")
 
 
 def words(text: str | None) -> list[bytes]:
@@ -56,34 +62,63 @@ def shingles(own: list[bytes], size: int) -> set[tuple[bytes, ...]]:
     return set(zip(*(own[k:] for k in range(size)), strict=False)) if len(own) >= size else {tuple(own)} if own else set()
 
 
-_WORDS: dict[bytes, int] = {}
+_POWERS = np.ones(1, dtype=np.uint64)
 
 
-def hashes(own: list[bytes], size: int) -> np.ndarray:
-    """Distinct 64-bit hashes of the shingles, sorted."""
-    new = set(own).difference(_WORDS)
-    if len(_WORDS) + len(new) > CACHE_WORDS:
-        _WORDS.clear()
-        new = set(own)
-    _WORDS.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-    ids = np.array([_WORDS[w] for w in own], dtype=np.uint64)
+def powers(n: int) -> np.ndarray:
+    """The first n powers of the base at least; as many as the longest word so far has bytes."""
+    global _POWERS
+    if n > len(_POWERS):
+        _POWERS = np.cumprod(np.concatenate(([np.uint64(1)], np.full(2 * n, _BASE))), dtype=np.uint64)
+    return _POWERS
+
+
+def part_hashes(part: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, all words at once: random values of bytes times powers by their place in the word."""
+    data = np.frombuffer(part, dtype=np.uint8)
+    gap = _SPACE[data]
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True]))))
+    if not len(edges):
+        return np.empty(0, dtype=np.uint64)
+    lengths = edges[1::2] - edges[::2]
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(first[-1] + lengths[-1]) - np.repeat(first, lengths)
+    return np.add.reduceat(_BYTE[data[~gap]] * powers(int(lengths.max()))[place], first)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """In the order of the words; a long text is worked on in parts that end at white space."""
+    raw = text.encode("utf-8", "surrogatepass").lower() if text else b""
+    cuts, at = [0], 0
+    while at + PART_BYTES < len(raw) and (m := _GAP.search(raw, at + PART_BYTES)):
+        at = m.end()
+        cuts.append(at)
+    return np.concatenate([part_hashes(raw[a:b]) for a, b in itertools.pairwise([*cuts, len(raw)])])
+
+
+def hashes(text: str | None, size: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles, sorted; none without words."""
+    ids = word_hashes(text)
+    if not len(ids):
+        return ids
     n = min(size, len(ids))
     out = np.full(len(ids) - n + 1, n, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(n):
-            out = (out ^ ids[k : k + len(out)]) * _MIX
-            out ^= out >> np.uint64(32)
-    return np.unique(out)
+    for k in range(n):
+        out = (out ^ ids[k : k + len(out)]) * _MIX
+        out ^= out >> np.uint64(32)
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def registers(elements: np.ndarray) -> np.ndarray:
-    least = np.full(len(_ODD), np.iinfo(np.uint64).max, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(elements), 512):
-            h = elements[at : at + 512, None] * _ODD
-            h += _ADD
-            np.minimum(least, h.min(axis=0), out=least)
-    h = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64) / RATE
+    """Of the upper halves of hashes."""
+    upper = (elements >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(_ODD), np.iinfo(np.uint32).max, dtype=np.uint32)
+    for at in range(0, len(upper), 256):
+        h = upper[at : at + 256, None] * _ODD
+        h += _ADD
+        np.minimum(least, h.min(axis=0), out=least)
+    h = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**32) / RATE
     return np.clip(np.floor(1 - np.log(h) / np.log(BASE)), 0, LIMIT).astype("<u2")
 
 
@@ -99,9 +134,8 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
         for b in batches:
             rows = []
             for text in b.column("text"):
-                own = words(text.as_py())
-                h = hashes(own, shingle) if own else None
-                rows.append((0, None, None) if h is None else (len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), registers(h).tobytes()))
+                h = hashes(text.as_py(), shingle)
+                rows.append((0, None, None) if not len(h) else (len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), registers(h).tobytes()))
             n, digest, sketch = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "digest", "registers"])
 
@@ -188,7 +222,7 @@ def overlapping(open_: DataFrame, docs: DataFrame, shingle: int, percent: int) -
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [hashes(w, shingle).view(np.int64) if (w := words(t.as_py())) else [] for t in b.column("text")]
+            found = [hashes(t.as_py(), shingle).view(np.int64) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), b.column("component"), pa.array(found, pa.list_(pa.int64()))], ["node", "n", "component", "tokens"])
 
     tokens = stored(texts.select("node", "n", "component", "text").mapInArrow(split, f"{kinds}, tokens array<bigint>").distinct(), "open-sets")
