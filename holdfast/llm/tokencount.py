@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 CHUNK_CHARS = 65_536
-MAX_TRANSITIONS = 500_000
+MAX_TRANSITIONS = 800_000
 MAX_PAIRS = 500_000
 MAX_WORDS = 700_000
 
