@@ -107,7 +107,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         own = words(text)
-        if not self.langs or not own:
+        if not self.langs or not any(c.isalpha() for w in own for c in w):
             return UNKNOWN, 0.0
         total = self.sums(own)
         best = int(np.argmax(total))

@@ -208,7 +208,7 @@ def test_language_model(spark, empty):
     vocabulary = {"aa": ["toren", "molen", "kaas", "water"], "bb": ["vino", "casa", "mesa", "agua"]}
     texts = [(k, " ".join(rnd.choice(vocabulary["aa" if k % 2 else "bb"]) for _ in range(20))) for k in range(200)]
     langs = {k: "aa" if k % 2 else "bb" for k, _ in texts}
-    odd_rows = [(900, None), (901, "12 -- 3"), (902, ""), (903, "torenmolen"), (None, "casa mesa"), (4, texts[4][1])]
+    odd_rows = [(900, None), (901, "12 -- 3"), (902, "½ Ⅷ"), (903, "torenmolen"), (None, "casa mesa"), (4, texts[4][1])]
     got = langid.identify(frame(spark, texts + odd_rows, langs)).collect()
     by = {r["doc_id"]: r for r in got}
     assert len(got) == 206 and all(by[k]["lang_pred"] == v for k, v in langs.items())
