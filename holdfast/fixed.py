@@ -167,13 +167,6 @@ LOG_ODDS = {
 }
 BASE_CHARGE = {"Basic": 29.99, "Standard": 59.99, "Premium": 99.99, "Enterprise": 199.99}
 AUTO_PAY_METHODS = ["Bank transfer", "Credit card"]
-CHURN_REASONS = [
-    "Competitor pricing",
-    "Service outage",
-    "Customer service dissatisfaction",
-    "Price increase",
-    "Relocation",
-]
 
 # ---- money ---------------------------------------------------------------------------
 LIFESPAN_MONTHS = 36.0
@@ -213,14 +206,6 @@ FEATURE_REASONS = {
 }
 
 # ---- stream --------------------------------------------------------------------------------
-EVENT_TYPES = [
-    "support_ticket_opened",
-    "usage_drop_detected",
-    "payment_failed",
-    "competitor_viewed",
-    "price_increase_notified",
-    "app_login",
-]
 BUFFER_EVENTS = 50
 ALERT_THRESHOLD, ALERT_CRITICAL = 0.80, 0.85
 ALERT_CHANNEL = "#retention-urgent-alerts"
