@@ -16,6 +16,8 @@ gives no rows; extra columns are ignored. Markup that is cut off or badly nested
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -58,8 +60,15 @@ NAMES = frozenset(
 )
 
 
+def step(key: bytes, name: str) -> bytes:
+    """The key of a path that is one name longer."""
+    return hashlib.blake2b(key + name.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 class Node:
-    __slots__ = ("boiler", "link", "parent", "path", "tag")
+    """An element. Its path is held as a key of fixed size, so that markup of any depth takes linear room."""
+
+    __slots__ = ("boiler", "depth", "inside", "key", "link", "name", "parent", "tag")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str):
         self.tag, self.parent = tag, parent
@@ -69,13 +78,18 @@ class Node:
             classes = own.get("class", "").lower()
             parts = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", own.get("class", "") + " " + own.get("id", "")).lower()))
             boiler = boiler or bool(parts & NAMES) and tag not in ("html", "body") or own.get("role", "").lower() in ROLES
-        inside = parent is not None and any(x.tag in ("article", "main") for x in parent.line())
+        inside = parent is not None and parent.inside
         if tag == "header" and not inside:
             boiler = True
+        self.inside = inside or tag in ("article", "main")
         self.boiler = boiler or (parent is not None and parent.boiler)
         self.link = tag == "a" or (parent is not None and parent.link)
-        name = ".".join([tag, *sorted(re.sub(r"\d+", "N", classes).split())])
-        self.path = name if parent is None else f"{parent.path}>{name}"
+        self.name = ".".join([tag, *sorted(re.sub(r"\d+", "N", classes).replace(">", "-").split())])
+        self.key = step(parent.key if parent is not None else b"", self.name)
+        self.depth = parent.depth + 1 if parent is not None else 0
+
+    def path(self) -> str:
+        return ">".join(reversed([x.name for x in self.line()]))
 
     def line(self) -> Iterator[Node]:
         at: Node | None = self
@@ -90,15 +104,15 @@ def blocks(page: str | None) -> list[tuple[str, int, Node]]:
     if not page:
         return out
     root = Node("#", None, "")
-    stack, pieces, linked, place, owner = [root], [], 0, 0, root
+    stack, pieces, blank, linked, place, owner = [root], [], True, 0, 0, root
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal blank, linked
         text = " ".join("".join(pieces).split())
         if text:
             out.append((text, linked, owner))
         pieces.clear()
-        linked = 0
+        blank, linked = True, 0
 
     def close(names: set[str] | frozenset[str], until: frozenset[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -109,11 +123,11 @@ def blocks(page: str | None) -> list[tuple[str, int, Node]]:
                 return
 
     def said(text: str) -> None:
-        nonlocal linked, owner
+        nonlocal blank, linked, owner
         if not text:
             return
         text = html.unescape(text) if "&" in text else text
-        if not pieces or not "".join(pieces).strip():
+        if blank:
             at = stack[-1]
             while at.tag not in BLOCKS and at.parent is not None and not at.boiler:
                 at = at.parent
@@ -122,6 +136,7 @@ def blocks(page: str | None) -> list[tuple[str, int, Node]]:
             flush()
             owner = stack[-1]
         pieces.append(text)
+        blank = blank and not text.strip()
         if stack[-1].link:
             linked += len(text)
 
@@ -182,16 +197,28 @@ def best(found: list[tuple[str, int, Node]]) -> tuple[str, int] | None:
                     break
     if not scores:
         return None
-    value = lambda x: (scores[x] * (1.5 if x.tag in ("article", "main") else 1.0), -x.path.count(">"))
+    value = lambda x: (scores[x] * (1.5 if x.tag in ("article", "main") else 1.0), -x.depth)
     top = max(scores, key=value)
-    return top.path, int(scores[top])
+    return top.path(), int(scores[top])
+
+
+def within(node: Node, key: bytes, known: dict[Node, bool]) -> bool:
+    """Whether the element or one around it has the path of the key; ``known`` keeps the answers for this key."""
+    passed, at = [], node
+    while at is not None and at not in known and at.key != key:
+        passed.append(at)
+        at = at.parent
+    result = at is not None and known.get(at, True)
+    known.update(dict.fromkeys(passed, result))
+    return result
 
 
 def extract(found: list[tuple[str, int, Node]], paths: list[str]) -> str:
     """Blocks inside containers of the first path that the page has, without boilerplate."""
     own = best(found)
     for path in [*paths, own[0] if own else ""]:
-        texts = [text for text, _, owner in found if not owner.boiler and any(x.path == path for x in owner.line())]
+        key, known = functools.reduce(step, path.split(">"), b""), {}
+        texts = [text for text, _, owner in found if not owner.boiler and within(owner, key, known)]
         if texts:
             return "\n\n".join(texts)
     return ""

@@ -142,6 +142,14 @@ def test_main_text(spark):
     assert htmltext.main_text(got.limit(0).selectExpr("page_id", "url", "text as html")).count() == 0
 
 
+def test_main_text_of_deep_and_long_markup():
+    page = '<div class="a>b n7">' * 20_000 + "<p>in the " + "<i>deep</i> " * 20_000
+    found = htmltext.blocks(page)
+    path, _ = htmltext.best(found)
+    assert path.endswith("div.a-b.nN") and htmltext.extract(found, [path]) == " ".join(["in the"] + ["deep"] * 20_000)
+    assert htmltext.extract(found, ["#>div.other"]) == htmltext.extract(found, [])
+
+
 def test_packing(spark, odd, empty):
     from tokenizers import Tokenizer
 
