@@ -1,9 +1,11 @@
 """Documents scored by masked pseudo-likelihood: a small window network predicts every token from both sides.
 
-The vocabulary comes from word counts over all documents: the most frequent words have an id each, all others share
-ids by the hash of their ending. The network adds one vector per neighbour (two on either side, a table for each
-place), applies tanh, and predicts the token in two steps, its group and its place in the group, so that a prediction
-costs two small softmaxes. It never sees the token itself.
+Every word of the counted corpus has its own probability. The most frequent words are classes of one word; all others
+fall into classes by the hash of their ending. The network adds one vector per neighbour (two on either side, a table
+for each place), applies tanh, and predicts the class of the token in two steps, its group and its place in the group,
+so that a prediction costs two small softmaxes. It never sees the token itself. A word's probability within its class
+is its share of the class's count, with one count a class kept for words that were never counted. The counts stay a
+table that grows with the corpus: the ``KNOWN_WORDS`` most frequent go to the executors, the rest is joined in Spark.
 
 Training covers every window of every document: each task starts from the same weights, goes once over its own windows
 in batches, and gives its weights; Spark averages them, weighted by windows, slice by slice and in two steps so that no
@@ -15,6 +17,7 @@ are scored each; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from collections import Counter
@@ -34,6 +37,7 @@ BATCH = 8192
 RATE = 0.5
 TASK_WORDS = 300_000
 CACHE_WORDS = 400_000
+KNOWN_WORDS = 100_000
 SLICES, SPREAD = 16, 64
 
 SHAPES = {"near": (2 * REACH, VOCABULARY, WIDTH), "bias": (WIDTH,), "group": (WIDTH, GROUPS), "group_bias": (GROUPS,), "place": (GROUPS, WIDTH, PLACES), "place_bias": (GROUPS, PLACES)}
@@ -43,14 +47,20 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def class_of(word: bytes) -> int:
+    """The class of a word that has none of its own."""
+    return 1 + zlib.crc32(word[-3:]) % ENDINGS
+
+
 def counted(docs: DataFrame) -> DataFrame:
-    """word, n: over all documents; tasks add up in bounded dictionaries first."""
+    """word, class, n: over all documents; tasks add up in bounded dictionaries first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            columns = [pa.array(list(seen), pa.binary()), pa.array([class_of(w) for w in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())]
+            batch = pa.RecordBatch.from_arrays(columns, ["word", "class", "n"])
             seen.clear()
             return batch
 
@@ -61,7 +71,7 @@ def counted(docs: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    return docs.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "word binary, class int, n bigint").groupBy("word", "class").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
@@ -77,7 +87,7 @@ class Vocabulary:
         if None in out:
             for k, w in enumerate(own):
                 if out[k] is None:
-                    out[k] = 1 + zlib.crc32(w[-3:]) % ENDINGS
+                    out[k] = class_of(w)
                     if len(ids) < self.limit:
                         ids[w] = out[k]
         return out
@@ -203,43 +213,94 @@ def trained(docs: DataFrame, frequent: list[bytes]) -> Network:
     return Network.unpack(np.concatenate([parts[k] for k in range(SLICES)])) if parts else Network.start()
 
 
-_LOADED: dict[str, tuple[Network, Vocabulary]] = {}
+class Shares:
+    """Log-probabilities of words within their classes: ``logs`` of counts, less ``cost`` by class."""
+
+    def __init__(self, frequent: list[bytes], known: list[tuple[bytes, int]], totals: dict[int, int]):
+        self.cost = np.zeros(VOCABULARY)
+        for k in range(1, 1 + ENDINGS):
+            self.cost[k] = math.log(totals.get(k, 0) + 1)
+        self.logs = {w: math.log(n) for w, n in known} | dict.fromkeys(frequent, 0.0)
+
+    def split(self, own: list[bytes]) -> tuple[float, Counter]:
+        """The sum of the logarithms at hand, and the words whose counts are still to be joined."""
+        found = [self.logs.get(w) for w in own]
+        if None not in found:
+            return sum(found), Counter()
+        return sum(x for x in found if x is not None), Counter(w for w, x in zip(own, found, strict=True) if x is None)
+
+
+def shares_of(counts: DataFrame) -> tuple[list[bytes], list[tuple[bytes, int]], dict[int, int]]:
+    """Words with a class of their own, other frequent words with their counts, and the count of each shared class."""
+    top = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - 1 - ENDINGS + KNOWN_WORDS).select("word", "n").collect()]
+    own, known = top[: VOCABULARY - 1 - ENDINGS], top[VOCABULARY - 1 - ENDINGS :]
+    totals = Counter({r["class"]: r["n"] for r in counts.groupBy("class").agg(F.sum("n").alias("n")).collect()})
+    for w, n in own:
+        totals[class_of(w)] -= n
+    return [w for w, _ in own], known, dict(totals)
 
 
-def loaded(key: str, weights: np.ndarray, frequent: list[bytes]) -> tuple[Network, Vocabulary]:
+_LOADED: dict[str, tuple[Network, Vocabulary, Shares]] = {}
+
+
+def loaded(key: str, weights: np.ndarray, shares: tuple) -> tuple[Network, Vocabulary, Shares]:
     """Set up once in each Python worker; only the last one is kept."""
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = (Network.unpack(weights), Vocabulary(frequent))
+        _LOADED[key] = (Network.unpack(weights), Vocabulary(shares[0]), Shares(*shares))
     return _LOADED[key]
 
 
-def score(docs: DataFrame, network: Network, frequent: list[bytes]) -> DataFrame:
-    """Per row: doc_id, n_tokens, log_likelihood (sum), mean_log_likelihood."""
-    key, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((network.pack(), frequent))
+def score(docs: DataFrame, network: Network, shares: tuple, counts: DataFrame) -> DataFrame:
+    """Per row: doc_id, n_tokens, log_likelihood (sum), mean_log_likelihood.
+
+    A first pass scores the classes and the words it has counts of; the other words, one row for each of a text, are
+    joined to ``counts`` and added. A joined word is rarer than ``KNOWN_WORDS`` others, so none is hot.
+    """
+    from holdfast.plans.storage import stored
+
+    key, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((network.pack(), shares))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"row bigint, doc_id {kind}, n_tokens bigint, total double, word binary, times bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_network, vocabulary = loaded(key, *sent.value)
+        own_network, vocabulary, own_shares = loaded(key, *sent.value)
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
-            sizes, sums = [], []
+            sizes, sums, left = [], [], []
             for own in in_groups(t.as_py() for t in b.column("text")):
                 ids, at = vocabulary.flat(own)
-                logs = np.concatenate([[0.0], *(own_network.pass_over(ids, at[k : k + BATCH]) for k in range(0, len(at), BATCH))])
+                logs = np.concatenate([[0.0], *(own_network.pass_over(ids, at[k : k + BATCH]) - own_shares.cost[ids[at[k : k + BATCH]]] for k in range(0, len(at), BATCH))])
                 ends, n = np.cumsum(logs), [len(x) for x in own]
                 stops = np.cumsum([0, *n])
+                split = [own_shares.split(x) for x in own]
+                left += [(row + len(sizes) + k, w, times) for k, (_, rest) in enumerate(split) for w, times in rest.items()]
                 sizes += n
-                sums += (ends[stops[1:]] - ends[stops[:-1]]).tolist()
-            means = [s / n if n else None for s, n in zip(sums, sizes, strict=True)]
+                sums += [s + x for s, (x, _) in zip((ends[stops[1:]] - ends[stops[:-1]]).tolist(), split, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"]
+                [pa.array(range(row, row + len(sizes)), pa.int64()), b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.nulls(len(sizes), pa.binary()), pa.nulls(len(sizes), pa.int64())],
+                names := ["row", "doc_id", "n_tokens", "total", "word", "times"],
             )
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, log_likelihood double, mean_log_likelihood double")
+            row += len(sizes)
+            for k in range(0, len(left), 65_536):
+                part = left[k : k + 65_536]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[0] for x in part], pa.int64()), pa.nulls(len(part), b.column("doc_id").type), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.float64()), pa.array([x[1] for x in part], pa.binary()), pa.array([x[2] for x in part], pa.int64())],
+                    names,
+                )
+
+    found = stored(docs.select("doc_id", "text").mapInArrow(run, schema), "lm-scores")
+    joined = found.where("word is not null").select("row", "word", "times").join(counts.select("word", "n"), "word", "left")
+    rest = joined.groupBy("row").agg(F.sum(F.col("times") * F.log(F.coalesce("n", F.lit(1)))).alias("more"))
+    rows = found.where("word is null").select("row", "doc_id", "n_tokens", "total").join(rest, "row", "left")
+    total = F.col("total") + F.coalesce("more", F.lit(0.0))
+    return rows.select("doc_id", "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood"))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """Count, train and score over all of ``docs``."""
-    top = counted(docs).orderBy(F.desc("n"), "word").limit(VOCABULARY - 1 - ENDINGS).collect()
-    frequent = [bytes(r["word"]) for r in top]
-    return score(docs, trained(docs, frequent), frequent)
+    from holdfast.plans.storage import stored
+
+    counts = stored(counted(docs), "lm-counts")
+    shares = shares_of(counts)
+    return score(docs, trained(docs, shares[0]), shares, counts)

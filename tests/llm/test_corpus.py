@@ -286,6 +286,18 @@ def test_scores_prefer_the_corpus(spark, odd, empty):
     assert lm.score_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("known", [0, 100_000])
+def test_every_word_has_its_own_probability(spark, monkeypatch, known):
+    monkeypatch.setattr(lm, "KNOWN_WORDS", known)
+    rnd = random.Random(12)
+    filler = [" ".join(f"w{k}" for k in rnd.sample(range(900), 300)) for _ in range(30)]
+    rare = [f"{a}{b}tail" for a in "klmnopqrst" for b in "klmnopqrst"]
+    texts = [*enumerate(filler), *((300 + k, f"w1 w2 {w} w3 w4") for k, w in enumerate(rare)), (500, f"w1 w2 {rare[0]} w3 w4"), (501, None)]
+    by = {r["doc_id"]: r for r in lm.score_documents(frame(spark, texts)).collect()}
+    assert len(by) == len(texts) and by[501]["log_likelihood"] == 0.0
+    assert by[300]["log_likelihood"] - by[301]["log_likelihood"] == pytest.approx(np.log(2), abs=1e-5)
+
+
 def test_pipeline(spark, folder, odd):
     rows = corpus_pipeline.run(spark, folder)
     docs = {r["doc_id"] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id").collect()}
