@@ -7,9 +7,12 @@ so that a prediction costs two small softmaxes. It never sees the token itself.
 is its share of the class's count, with one count a class kept for words that were never counted. The counts stay a
 table that grows with the corpus: the ``KNOWN_WORDS`` most frequent go to the executors, the rest is joined in Spark.
 
-Training covers every window of every document: each task starts from the same weights, goes once over its own windows
-in batches, and gives its weights; Spark averages them, weighted by windows, slice by slice and in two steps so that no
-task gathers more than a fixed share. Scores are sums of conditional log-probabilities over whole texts.
+Training covers every window of every document. Texts, equal ones as one with a weight, are dealt by a hash of what they
+say to shards of about ``SHARD_WORDS`` words, so that the file split plays no part. In each round every shard starts from
+the last average, goes once over its own windows in batches, and gives its weights; Spark averages them, weighted by
+windows, slice by slice and in two steps so that no task gathers more than a fixed share. Rounds end when the mean
+log-probability over all windows no longer gains ``GAIN`` of itself. Scores are sums of conditional log-probabilities
+over whole texts.
 
 Defined results: null, empty and word-less texts have 0 tokens, sum 0, and a null mean; repeated rows count as text and
 are scored each; an empty table gives no rows; extra columns are ignored.
@@ -17,6 +20,7 @@ are scored each; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 import uuid
 import zlib
@@ -34,7 +38,10 @@ VOCABULARY = GROUPS * PLACES
 ENDINGS = 128
 WIDTH, REACH = 16, 2
 BATCH = 8192
+STEP = 2048
 RATE = 0.5
+GAIN = 0.005
+SHARD_WORDS = 200_000
 TASK_WORDS = 300_000
 CACHE_WORDS = 400_000
 KNOWN_WORDS = 100_000
@@ -128,8 +135,8 @@ class Network:
         total = self.w["bias"] + sum(self.w["near"][k][a] for k, a in enumerate(around))
         return np.tanh(total), around
 
-    def pass_over(self, ids: np.ndarray, at: np.ndarray, rate: float | None = None) -> np.ndarray:
-        """Log-probability of each token; with a rate, one step of gradient descent on their mean as well."""
+    def pass_over(self, ids: np.ndarray, at: np.ndarray, rate: float | None = None, weight: np.ndarray | None = None) -> np.ndarray:
+        """Log-probability of each token; with a rate, one step of gradient descent on their (weighted) mean as well."""
         w, token = self.w, ids[at]
         group = token // PLACES
         order = np.argsort(group, kind="stable")
@@ -152,6 +159,10 @@ class Network:
             step = rate / len(at)
             g[row, group] -= 1
             p[row, place] -= 1
+            if weight is not None:
+                even = (weight[order] / weight.mean()).astype(np.float32)[:, None]
+                g *= even
+                p *= even
             back = g @ w["group"].T
             for k, s in spans:
                 back[s] += p[s] @ w["place"][k].T
@@ -181,36 +192,88 @@ def in_groups(texts: Iterator[str | None]) -> Iterator[list[list[bytes]]]:
         yield held
 
 
-def trained(docs: DataFrame, frequent: list[bytes]) -> Network:
-    """The average of what all tasks learn from their own windows, from one start."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+def shards(docs: DataFrame, frequent: list[bytes], n_words: int) -> DataFrame:
+    """shard, ids (16 bits each, texts end to end), sizes and copies of the texts (32 and 64 bits each)."""
+    from holdfast.plans.storage import stored
+
+    sent, n_shards = docs.sparkSession.sparkContext.broadcast(frequent), max(1, -(-n_words // SHARD_WORDS))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(sent.value)
+        for b in batches:
+            texts = [np.array(vocabulary.of(own), "<u2").tobytes() for t in b.column("text") if (own := words(t.as_py()))]
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(x) % n_shards for x in texts], pa.int32()), pa.array(texts, pa.binary())], ["shard", "ids"])
+
+    def gather(key: tuple, t: pa.Table) -> pa.Table:
+        rows = sorted((zlib.crc32(x), x, n) for x, n in zip(t.column("ids").to_pylist(), t.column("n").to_pylist(), strict=True))
+        sizes, copies = np.array([len(x) // 2 for _, x, _ in rows], "<u4"), np.array([n for *_, n in rows], "<u8")
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "ids": pa.array([b"".join(x for _, x, _ in rows)], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary()), "copies": pa.array([copies.tobytes()], pa.binary())})
+
+    rows = docs.select("text").mapInArrow(encode, "shard int, ids binary").groupBy("shard", "ids").agg(F.count("*").alias("n"))
+    return stored(rows.groupBy("shard").applyInArrow(gather, "shard int, ids binary, sizes binary, copies binary"), "lm-shards")
+
+
+def windows(ids: bytes, sizes: bytes, copies: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of a shard with room between texts, where the tokens are, and how often each counts."""
+    own, n = np.frombuffer(ids, "<u2"), np.frombuffer(sizes, "<u4").astype(np.int64)
+    at = np.arange(len(own)) + REACH * (1 + np.repeat(np.arange(len(n)), n))
+    out = np.zeros(len(own) + REACH * (1 + len(n)), np.int32)
+    out[at] = own
+    return out, at, np.repeat(np.frombuffer(copies, "<u8").astype(np.float64), n)
+
+
+def one_round(dealt: DataFrame, network: Network, turn: int) -> tuple[Network, float] | None:
+    """The average of what all shards learn from ``network`` on, and the mean log-probability on the way."""
+    sent = dealt.sparkSession.sparkContext.broadcast(network.pack())
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, vocabulary, n = Network.start(), Vocabulary(sent.value), 0
-        for own in in_groups(t.as_py() for b in batches for t in b.column("text")):
-            ids, at = vocabulary.flat(own)
-            for k in range(0, len(at), BATCH):
-                part = at[k : k + BATCH]
-                network.pass_over(ids, part, RATE / (1 + n / 2e6))
-                n += len(part)
+        total, n, logs = 0.0, 0, 0.0
+        for shard, *parts in (x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("shard", "ids", "sizes", "copies")), strict=True)):
+            own = Network.unpack(sent.value)
+            ids, at, copies = windows(*parts)
+            order = np.random.default_rng((turn, shard)).permutation(len(at))
+            size = max(64, min(STEP, len(order) // 64))
+            for k in range(0, len(order), size):
+                part = order[k : k + size]
+                logs += float(own.pass_over(ids, at[part], RATE / (1 + turn) ** 0.5, copies[part]) @ copies[part])
+            n += int(copies.sum())
+            total = total + own.pack().astype(np.float64) * copies.sum()
         if n:
-            parts = np.array_split(network.pack(), SLICES)
+            pieces = np.array_split(total, SLICES)
             task = TaskContext.get().partitionId() % SPREAD
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(SLICES), pa.int32()), pa.array([task] * SLICES, pa.int32()), pa.array([n] * SLICES, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())],
-                ["slice", "task", "n", "weights"],
+                [pa.array(range(SLICES), pa.int32()), pa.array([task] * SLICES, pa.int32()), pa.array([n] * SLICES, pa.int64()), pa.array([logs] * SLICES, pa.float64()), pa.array([x.tobytes() for x in pieces], pa.binary())],
+                ["slice", "task", "n", "logs", "weights"],
             )
 
-    def mean(key: tuple, t: pa.Table) -> pa.Table:
-        n = t.column("n").to_numpy()
-        total = sum(np.frombuffer(w.as_py(), np.float32).astype(np.float64) * k for w, k in zip(t.column("weights"), n, strict=True)) / n.sum()
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([int(n.sum())], pa.int64()), "weights": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-    schema = "slice int, n bigint, weights binary"
-    rows = docs.select("text").mapInArrow(learn, "slice int, task int, n bigint, weights binary")
-    rows = rows.groupBy("slice", "task").applyInArrow(mean, schema).groupBy("slice").applyInArrow(mean, schema)
-    parts = {r["slice"]: np.frombuffer(bytes(r["weights"]), np.float32) for r in rows.collect()}
-    return Network.unpack(np.concatenate([parts[k] for k in range(SLICES)])) if parts else Network.start()
+    def added(key: tuple, t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(w.as_py(), np.float64) for w in t.column("weights"))
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([sum(t.column("n").to_pylist())], pa.int64()), "logs": pa.array([sum(t.column("logs").to_pylist())], pa.float64()), "weights": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "slice int, n bigint, logs double, weights binary"
+    rows = dealt.mapInArrow(learn, "slice int, task int, n bigint, logs double, weights binary")
+    rows = rows.groupBy("slice", "task").applyInArrow(added, schema).groupBy("slice").applyInArrow(added, schema)
+    parts = {r["slice"]: r for r in rows.collect()}
+    sent.destroy()
+    if not parts:
+        return None
+    flat = np.concatenate([np.frombuffer(bytes(parts[k]["weights"]), np.float64) for k in range(SLICES)])
+    return Network.unpack(flat / parts[0]["n"]), parts[0]["logs"] / parts[0]["n"]
+
+
+def trained(docs: DataFrame, frequent: list[bytes], n_words: int) -> Network:
+    """Rounds of learning and averaging until the mean log-probability stays."""
+    network, last = Network.start(), -math.inf
+    dealt = shards(docs, frequent, n_words)
+    for turn in itertools.count():
+        found = one_round(dealt, network, turn)
+        if found is None:
+            break
+        network, mean = found
+        if mean - last <= GAIN * abs(mean):
+            break
+        last = mean
+    return network
 
 
 class Shares:
@@ -303,4 +366,5 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     counts = stored(counted(docs), "lm-counts")
     shares = shares_of(counts)
-    return score(docs, trained(docs, shares[0]), shares, counts)
+    n_words = counts.agg(F.sum("n")).first()[0] or 0
+    return score(docs, trained(docs, shares[0], n_words), shares, counts)

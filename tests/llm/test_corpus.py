@@ -298,6 +298,17 @@ def test_every_word_has_its_own_probability(spark, monkeypatch, known):
     assert by[300]["log_likelihood"] - by[301]["log_likelihood"] == pytest.approx(np.log(2), abs=1e-5)
 
 
+def test_training_ignores_the_file_split(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_WORDS", 4000)
+    rnd = random.Random(9)
+    texts = [(k, " ".join(x for _ in range(30) for x in rnd.choice([("red", "apple"), ("green", "pear"), ("blue", "plum")]))) for k in range(400)]
+    docs = frame(spark, [*texts, *((1000 + k, "hot text " * 40) for k in range(200)), (2000, None)])
+    means = lambda d: {r["doc_id"]: r["mean_log_likelihood"] for r in lm.score_documents(d).collect()}
+    one, many = means(docs.coalesce(1)), means(docs.repartition(40))
+    assert one.keys() == many.keys() and all(one[k] == pytest.approx(many[k], abs=1e-4) for k in one if one[k] is not None)
+    assert np.mean([many[k] for k in range(400)]) > -0.75  # half of the words leave one choice of three
+
+
 def test_pipeline(spark, folder, odd):
     rows = corpus_pipeline.run(spark, folder)
     docs = {r["doc_id"] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id").collect()}
