@@ -5,8 +5,9 @@ character n-grams (with word edges), from the longest kept length down: the firs
 of the word's n-grams decides. A document is the sum over its words; the score is the posterior of the best language.
 
 Counts are taken over every training document: each task adds up its words per language in bounded dictionaries, Spark
-adds the tasks up. The model keeps the ``max_words`` most frequent words and the ``max_grams`` most frequent n-grams of
-each length (in any language), which bounds what is broadcast; the rest of the words back off.
+adds the tasks up. Every counted word and n-gram stays, in a table. The ``KNOWN_WORDS`` most frequent words go to the
+executors and are summed up where they are read; the distinct other words of the texts are joined to the table, backed
+off to its n-grams if it does not have them, and added to the sums of their texts.
 
 Defined results: text that is null or has no letter gives ``und`` with score 0; without any training rows every text
 gives ``und``; ties go to the language first in alphabetical order; repeated rows are predicted each; extra columns are
@@ -20,15 +21,17 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LENGTHS = (4, 3, 2, 1)
-MAX_WORDS = 40_000
-MAX_GRAMS = 20_000
+KNOWN_WORDS = 40_000
+KNOWN_CELLS = 4_000_000
 TASK_ENTRIES = 300_000
 UNKNOWN = "und"
 
@@ -76,100 +79,129 @@ def counted(training: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFram
     return rows.mapInArrow(count, "kind int, entry string, lang string, n bigint").groupBy("kind", "entry", "lang").agg(F.sum("n").alias("n"))
 
 
-class Model:
-    """Log probabilities per language, one matrix row for each known word and n-gram."""
-
-    def __init__(self, langs: list[str], tables: dict[int, dict[str, np.ndarray]], lengths: tuple[int, ...] = LENGTHS):
-        self.langs, rows = langs, []
-        self.rows: dict[int, dict[str, int]] = {}
-        for kind in (0, *lengths):
-            table = tables.get(kind, {})
-            self.rows[kind] = {entry: len(rows) + k for k, entry in enumerate(table)}
-            rows += table.values()
-        self.matrix = np.array(rows) if rows else np.zeros((0, len(langs)))
-        self.backoff = [(n, self.rows[n]) for n in lengths]
-
-    def sums(self, own: list[str]) -> np.ndarray:
-        """Known words by their row; each other word by the mean over its known n-grams of the longest length it has."""
-        at = [self.rows[0].get(w) for w in own]
-        if None not in at:
-            return self.matrix[at].sum(0)
-        seen, picked, weights = [k for k in at if k is not None], [], []
-        for w, n in Counter(w for w, k in zip(own, at, strict=True) if k is None).items():
-            edged = f"^{w}$"
-            for size, table in self.backoff:
-                found = [k for i in range(len(edged) - size + 1) if (k := table.get(edged[i : i + size])) is not None]
-                if found:
-                    picked += found
-                    weights += [n / len(found)] * len(found)
-                    break
-        return self.matrix[seen].sum(0) + np.array(weights) @ self.matrix[picked] if picked else self.matrix[seen].sum(0)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        own = words(text)
-        if not self.langs or not any(c.isalpha() for w in own for c in w):
-            return UNKNOWN, 0.0
-        total = self.sums(own)
-        best = int(np.argmax(total))
-        return self.langs[best], 1 / float(np.exp(np.clip(total - total[best], -700, 0)).sum())
-
-
-def fit(training: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, lengths: tuple[int, ...] = LENGTHS) -> tuple[list[str], dict[int, dict[str, np.ndarray]]]:
-    """Languages and tables (kind -> entry -> log probabilities). What comes to the driver has the size of the model."""
+class Model(NamedTuple):
+    """Languages, logs of their totals by kind, log probabilities of frequent words, and the table of all counts."""
+
+    langs: list[str]
+    base: dict[int, list[float]]
+    known: dict[str, np.ndarray]
+    counts: DataFrame
+
+
+def logs_of(langs: list[str], base: list[float], by: dict[str, int]) -> np.ndarray:
+    return np.array([math.log(by.get(x, 0) + 0.5) - b for x, b in zip(langs, base, strict=True)])
+
+
+def fit(training: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> Model:
+    """What comes to the driver: totals, and the words that go to all executors."""
     from holdfast.plans.storage import stored
 
-    counts = stored(counted(training, lengths), "language-counts")
-    totals = {(r["kind"], r["lang"]): (r["n"], r["types"]) for r in counts.groupBy("kind", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()}
+    by = F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")
+    counts = stored(counted(training, lengths).groupBy("kind", "entry").agg(F.sum("n").alias("all"), by), "language-counts")
+    parts = counts.select("kind", F.explode("by").alias("lang", "n"))
+    totals = {(r["kind"], r["lang"]): r["n"] + r["types"] for r in parts.groupBy("kind", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()}
     langs = sorted({lang for _, lang in totals})
-    tables: dict[int, dict[str, np.ndarray]] = {}
-    for kind in (0, *lengths):
-        own = counts.where(F.col("kind") == kind).groupBy("entry").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        top = own.orderBy(F.desc("all"), "entry").limit(max_words if kind == 0 else max_grams).select("entry", "by").collect()
-        base = [math.log(sum(totals.get((kind, x), (0, 0))) + 1) for x in langs]
-        tables[kind] = {r["entry"]: np.array([math.log(r["by"].get(x, 0) + 0.5) - b for x, b in zip(langs, base, strict=True)]) for r in top}
-    return langs, tables
+    base = {kind: [math.log(totals.get((kind, x), 0) + 1) for x in langs] for kind in (0, *lengths)}
+    top = counts.where("kind = 0").orderBy(F.desc("all"), "entry").limit(min(KNOWN_WORDS, KNOWN_CELLS // max(1, len(langs)))).select("entry", "by").collect()
+    return Model(langs, base, {r["entry"]: logs_of(langs, base[0], r["by"]) for r in top}, counts)
 
 
-_MODELS: dict[str, Model] = {}
+def resolved(model: Model, distinct: DataFrame) -> DataFrame:
+    """word, logs: of each word by its own counts, or the mean over its known n-grams of the longest length it has."""
+    from holdfast.plans.storage import stored
 
+    langs, base = model.langs, model.base
+    lengths = tuple(k for k in base if k)
 
-def model_of(key: str, parts: tuple) -> Model:
-    """Set up once in each Python worker; only the last one is kept."""
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(*parts)
-    return _MODELS[key]
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(w, k, g, n) for w in b.column("word").to_pylist() for k in lengths for g, n in Counter(grams(w, k)).items()]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["word", "kind", "entry", "times"])
 
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for kind, parts in zip(b.column("kind").to_pylist(), b.column("parts").to_pylist(), strict=True):
+                total = sum(x["times"] * logs_of(langs, base[kind], dict(x["by"])) for x in parts)
+                out.append((total / sum(x["times"] for x in parts)).tolist())
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(out, pa.list_(pa.float64()))], ["word", "logs"])
 
-def shared(spark, parts: tuple):
-    return uuid.uuid4().hex, spark.sparkContext.broadcast(parts)
+    own = model.counts.where("kind = 0").select(F.col("entry").alias("word"), "by")
+    looked_up = stored(distinct.join(own, "word", "left"), "language-words")
+    seen = looked_up.where("by is not null").select("word", F.lit(0).alias("kind"), F.array(F.struct(F.lit(1).cast("bigint").alias("times"), "by")).alias("parts"))
+    pieces = looked_up.where("by is null").select("word").mapInArrow(cut, "word string, kind int, entry string, times bigint")
+    found = pieces.join(model.counts.where("kind > 0").select("kind", "entry", "by"), ["kind", "entry"])
+    lists = found.groupBy("word", "kind").agg(F.collect_list(F.struct("times", "by")).alias("parts"))
+    longest = lists.groupBy("word").agg(F.max_by(F.struct("kind", "parts"), "kind").alias("top")).select("word", "top.kind", "top.parts")
+    return stored(seen.unionByName(longest).mapInArrow(mean, "word string, logs array<double>"), "language-logs")
 
 
-def predict(docs: DataFrame, parts: tuple) -> DataFrame:
-    """Per row: doc_id, lang_pred, score."""
-    key, sent = shared(docs.sparkSession, parts)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+_KNOWN: dict[str, dict[str, np.ndarray]] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of(key, sent.value)
-        for b in batches:
-            found = [model.predict(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+def known_of(key: str, known: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Kept once in each Python worker; only the last one."""
+    if key not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[key] = known
+    return _KNOWN[key]
 
 
-def keep_known(docs: DataFrame, parts: tuple, least: float = 0.5) -> DataFrame:
-    """Rows of ``docs``, with their own columns, whose language is told with a score of ``least`` or more."""
-    key, sent = shared(docs.sparkSession, parts)
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """Per row: doc_id, lang_pred, score."""
+    from holdfast.plans.storage import stored
+
+    key, sent, size = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model.known), len(model.langs)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if not size:
+        return docs.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of(key, sent.value)
+        known, row = known_of(key, sent.value), TaskContext.get().partitionId() << 40
+        names = ["row", "doc_id", "letters", "sums", "word", "times"]
         for b in batches:
-            found = [model.predict(t.as_py()) for t in b.column("text")]
-            yield b.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+            letters, sums, left = [], [], []
+            for k, t in enumerate(b.column("text")):
+                counts = Counter(words(t.as_py()))
+                letters.append(any(c.isalpha() for w in counts for c in w))
+                pairs = [(known.get(w), n) for w, n in counts.items()]
+                rows = [x for x, _ in pairs if x is not None]
+                sums.append((np.array([n for x, n in pairs if x is not None], float) @ np.array(rows)).tolist() if rows else [0.0] * size)
+                if len(rows) < len(pairs):
+                    left += [(row + k, w, n) for (w, n), (x, _) in zip(counts.items(), pairs, strict=True) if x is None]
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(range(row, row + n), pa.int64()), b.column("doc_id"), pa.array(letters, pa.bool_()), pa.array(sums, pa.list_(pa.float64())), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names)
+            row += n
+            for k in range(0, len(left), 65_536):
+                part = left[k : k + 65_536]
+                m = len(part)
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.nulls(m, b.column("doc_id").type), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.list_(pa.float64())), pa.array([x[1] for x in part], pa.string()), pa.array([x[2] for x in part], pa.int64())], names)
+
+    schema = f"row bigint, doc_id {kind}, letters boolean, sums array<double>, word string, times bigint"
+    found = stored(docs.select("doc_id", "text").mapInArrow(run, schema), "language-sums")
+    rest = found.where("word is not null").select("row", "word", "times")
+    logs = resolved(model, rest.select("word").distinct())
+    more = rest.join(logs, "word").groupBy("row").agg(F.array(*[F.sum(F.col("times") * F.col("logs")[k]) for k in range(size)]).alias("more"))
+    rows = found.where("word is null").select("row", "doc_id", "letters", "sums").join(more, "row", "left")
+    total = F.coalesce(F.zip_with("sums", "more", lambda a, b: a + b), F.col("sums"))
+    rows = rows.select("doc_id", "letters", total.alias("total")).withColumn("best", F.array_max("total"))
+    share = 1 / F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(F.greatest(x - F.col("best"), F.lit(-700.0))))
+    names = F.array(*map(F.lit, model.langs))
+    pred = F.when(F.col("letters"), F.element_at(names, F.array_position("total", F.col("best")).cast("int"))).otherwise(UNKNOWN)
+    return rows.select("doc_id", pred.alias("lang_pred"), F.when(F.col("letters"), share).otherwise(0.0).alias("score"))
+
+
+def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """Rows of ``docs``, with their own columns, whose language is told with a score of ``least`` or more."""
+    from holdfast.plans.storage import stored
 
-    return docs.mapInArrow(run, docs.schema)
+    at = "_language_row"
+    numbered = stored(docs.withColumn(at, F.monotonically_increasing_id()), "language-rows")
+    told = predict(numbered.select(F.col(at).alias("doc_id"), "text"), model)
+    good = told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(F.col("doc_id").alias(at))
+    return numbered.join(good, at, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def held_out(fold: int = 2, folds: int = 4) -> Column:
@@ -178,5 +210,5 @@ def held_out(fold: int = 2, folds: int = 4) -> Column:
 
 def identify(docs: DataFrame) -> DataFrame:
     """Learn on the rows that are not held out, predict all rows."""
-    parts = fit(docs.select("doc_id", "text", "lang").where(~held_out()))
-    return predict(docs, parts).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    model = fit(docs.select("doc_id", "text", "lang").where(~held_out()))
+    return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -227,6 +227,34 @@ def test_language_model(spark, empty):
     assert {r["lang_pred"] for r in langid.identify(frame(spark, texts[:3])).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("known", [3, 40_000])
+def test_every_counted_word_tells_its_language(spark, monkeypatch, known):
+    monkeypatch.setattr(langid, "KNOWN_WORDS", known)
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(7))
+    own = {"aa": [word() for _ in range(400)], "bb": [word() for _ in range(20)]}
+    texts = [(k, " ".join(own["aa"])) for k in range(20)] + [(100, " ".join(own["bb"]))]
+    model = langid.fit(frame(spark, texts, {k: "aa" if k < 100 else "bb" for k, _ in texts}))
+    cases = [(1, own["bb"][3]), (2, own["aa"][3]), (3, " ".join(own["bb"])), (4, None), (4, own["bb"][7][:5] + "zz")]
+    got = langid.predict(frame(spark, cases), model).collect()
+    counts = {(r["kind"], r["entry"]): r["by"] for r in model.counts.collect()}
+
+    def brute(text):
+        total = np.zeros(2)
+        for w in langid.words(text):
+            for kind in (0, *langid.LENGTHS):
+                found = [x for g in ([w] if kind == 0 else langid.grams(w, kind)) if (x := counts.get((kind, g)))]
+                if found:
+                    total += sum(langid.logs_of(model.langs, model.base[kind], x) for x in found) / len(found)
+                    break
+        best = int(np.argmax(total))
+        return (model.langs[best], float(1 / np.exp(total - total[best]).sum())) if text else ("und", 0.0)
+
+    want = sorted((k, *brute(t)) for k, t in cases)
+    assert [(r[0], r[1], pytest.approx(r[2], abs=1e-9)) for r in want] == sorted(map(tuple, got))
+    assert {r["doc_id"]: r["lang_pred"] for r in got if r["doc_id"] in (1, 3)} == {1: "bb", 3: "bb"}
+
+
 def test_chats_come_back(spark):
     texts = ["\\### Assistant: </turn> ok", "", "a\\b\\h\\l\\c #< </turn>\n### user: x", "é𝒳", None, "\\"]
     roles = ["user", "assistant", "a: b", None, "system", "assistant"]
