@@ -16,6 +16,7 @@ ignored or, in :func:`keep_known`, kept as they are.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import uuid
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LENGTHS = (4, 3, 2, 1)
-KNOWN_WORDS = 40_000
+KNOWN_WORDS = 120_000
 KNOWN_CELLS = 4_000_000
 TASK_ENTRIES = 300_000
 UNKNOWN = "und"
@@ -113,12 +114,11 @@ def resolved(model: Model, distinct: DataFrame) -> DataFrame:
     langs, base = model.langs, model.base
     lengths = tuple(k for k in base if k)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(w, k, g, n) for w in b.column("word").to_pylist() for k in lengths for g, n in Counter(grams(w, k)).items()]
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["word", "kind", "entry", "times"])
+            rows = [(w, g, n) for w in b.column("word").to_pylist() for g, n in Counter(grams(w, k)).items()]
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["word", "entry", "times"])
 
     def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -131,11 +131,14 @@ def resolved(model: Model, distinct: DataFrame) -> DataFrame:
     own = model.counts.where("kind = 0").select(F.col("entry").alias("word"), "by")
     looked_up = stored(distinct.join(own, "word", "left"), "language-words")
     seen = looked_up.where("by is not null").select("word", F.lit(0).alias("kind"), F.array(F.struct(F.lit(1).cast("bigint").alias("times"), "by")).alias("parts"))
-    pieces = looked_up.where("by is null").select("word").mapInArrow(cut, "word string, kind int, entry string, times bigint")
-    found = pieces.join(model.counts.where("kind > 0").select("kind", "entry", "by"), ["kind", "entry"])
-    lists = found.groupBy("word", "kind").agg(F.collect_list(F.struct("times", "by")).alias("parts"))
-    longest = lists.groupBy("word").agg(F.max_by(F.struct("kind", "parts"), "kind").alias("top")).select("word", "top.kind", "top.parts")
-    return stored(seen.unionByName(longest).mapInArrow(mean, "word string, logs array<double>"), "language-logs")
+    logs, unseen = stored(seen.mapInArrow(mean, "word string, logs array<double>"), "language-logs"), looked_up.where("by is null").select("word")
+    for k in lengths:  # the longest first; only words without a known n-gram of it go on
+        pieces = unseen.mapInArrow(functools.partial(cut, k), "word string, entry string, times bigint")
+        found = pieces.join(model.counts.where(F.col("kind") == k).select("entry", "by"), "entry")
+        lists = found.groupBy("word").agg(F.lit(k).alias("kind"), F.collect_list(F.struct("times", "by")).alias("parts"))
+        own = stored(lists.mapInArrow(mean, "word string, logs array<double>"), "language-logs")
+        logs, unseen = logs.unionByName(own), unseen.join(own.select("word"), "word", "left_anti")
+    return logs
 
 
 _KNOWN: dict[str, dict[str, np.ndarray]] = {}

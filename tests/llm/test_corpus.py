@@ -227,7 +227,7 @@ def test_language_model(spark, empty):
     assert {r["lang_pred"] for r in langid.identify(frame(spark, texts[:3])).collect()} == {"und"}
 
 
-@pytest.mark.parametrize("known", [3, 40_000])
+@pytest.mark.parametrize("known", [3, 120_000])
 def test_every_counted_word_tells_its_language(spark, monkeypatch, known):
     monkeypatch.setattr(langid, "KNOWN_WORDS", known)
     rnd = random.Random(7)
