@@ -6,15 +6,16 @@ vectors; the sum over all pairs costs linear time by the identity sum_{i<j} <v_i
 = (|sum_i v_i x_i|^2 - sum_i |v_i x_i|^2) / 2.
 
 The machine learns in numpy on the driver from at most ``max_rows`` labelled rows, the ones first in the order of a hash
-of their id; their features are made in executors, from whole texts. Scoring runs over all rows in executors.
+of their id; their features are made in executors, from whole texts, and combined to one row for each id. Scoring runs over all rows in executors.
 
 Defined results: a null text is an empty one and has a score like any other; repeated label rows of a document count as
-one, by their mean; without labels every score is 0.5; each of repeated documents is scored; extra columns are ignored;
+one, by their mean; of repeated rows of a labelled document one is learned from, the text with the smallest hash; without labels every score is 0.5; each of repeated documents is scored; extra columns are ignored;
 an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 from collections import Counter
@@ -138,16 +139,29 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machine
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each id of the task, of its text with the smallest hash: ``max_rows`` at most."""
+        held, schema = {}, None
         for b in batches:
-            found = [features(t.as_py()) for t in b.column("text")]
+            schema = b.schema
+            for key, text, label in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("label").to_pylist(), strict=True):
+                text = text.as_py() or ""
+                place = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                if key not in held or place < held[key][0]:
+                    held[key] = (place, label, *(x.tobytes() for x in features(text)))
+        if held:
+            columns = list(zip(*held.values(), strict=True))
+            kinds = (pa.binary(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [b.column("label"), pa.array([f[0].tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())], ["label", "indices", "numbers"]
+                [pa.array(list(held), schema.field("doc_id").type), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "place", "label", "indices", "numbers"]
             )
 
-    found = sorted((r["label"], bytes(r["indices"]), bytes(r["numbers"])) for r in rows.mapInArrow(made, "label int, indices binary, numbers binary").collect())
+    per_task = rows.mapInArrow(made, f"doc_id {kind}, place binary, label int, indices binary, numbers binary")
+    one_each = per_task.groupBy("doc_id").agg(F.min(F.struct("place", "label", "indices", "numbers")).alias("row")).select("row.*")
+    found = sorted((r["label"], bytes(r["indices"]), bytes(r["numbers"])) for r in one_each.collect())
     if not found:
         return None
     machine = Machine.start()

@@ -79,6 +79,15 @@ def test_quality_machine(spark, empty):
     assert {r["score"] for r in quality_fm.classify(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_machine_learns_from_one_row_of_each_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_fm.Machine, "learn", lambda self, rows, labels: seen.append((len(rows), labels.tolist())))
+    docs = frame(spark, [(7, f"hot text {k % 5}") for k in range(3000)] + [(8, "good one"), (9, None)]).repartition(6)
+    labels = spark.createDataFrame([(7, 0), (8, 1), (9, 1)], "doc_id bigint, quality int")
+    quality_fm.fit(docs, labels)
+    assert seen == [(3, [0.0, 1.0, 1.0])]
+
+
 def test_pairs_by_sums_of_squares():
     machine, rnd = quality_fm.Machine.start(), np.random.default_rng(0)
     machine.vectors[:] = rnd.normal(size=machine.vectors.shape)
