@@ -25,6 +25,8 @@ ROUNDS = 40
 MOST_AGAINST_GOOD = 0.002
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
+#: Ends of sentences in the scripts that have one; a text without any says nothing about its sentences.
+STOPS = ".?!。．？！｡।॥؟۔።፧၊။។៕։᙮༎"
 
 #: (name, condition of a vote for, condition of a vote against), over the names of :func:`measured`.
 RULES: list[tuple[str, str, str]] = [
@@ -34,7 +36,7 @@ RULES: list[tuple[str, str, str]] = [
     ("lower case", "4 * n_upper <= word_chars", "2 * n_upper > word_chars"),
     ("no shouting", "100 * n_marks <= n_words", "10 * n_marks > n_words"),
     ("word length", "word_chars between 3 * n_words and 8 * n_words", "word_chars not between 2 * n_words and 12 * n_words"),
-    ("sentences", "n_stops > 0 and n_words <= 40 * n_stops", "n_words > 120 * n_stops"),
+    ("sentences", "n_stops > 0 and n_words <= 40 * n_stops", "n_stops > 0 and n_words > 120 * n_stops"),
     ("varied words", "2 * n_distinct >= n_words or n_words > 400 and n_distinct > 150", "10 * n_distinct < n_words"),
 ]
 
@@ -52,7 +54,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     base = own.select("_row", F.coalesce(F.col("_row.text"), F.lit("")).alias("_text"))
-    split = base.withColumn("_signs", F.regexp_replace("_text", r"[^#*$%&|<>!.?。]+", "")).withColumn("_words", F.filter(F.split("_text", SPACE), lambda w: w != "")).withColumn(
+    split = base.withColumn("_signs", F.regexp_replace("_text", f"[^{SYMBOLS}{STOPS}]+", "")).withColumn("_words", F.filter(F.split("_text", SPACE), lambda w: w != "")).withColumn(
         "_lines", F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     )
     hashed = split.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
@@ -81,7 +83,7 @@ def measured(docs: DataFrame) -> DataFrame:
         F.size(F.array_distinct("_h")).cast("bigint").alias("n_distinct"),
         F.char_length(F.regexp_replace("_text", r"[^\p{Lu}]+", "")).cast("bigint").alias("n_upper"),
         count("!").alias("n_marks"),
-        count(".?!。").alias("n_stops"),
+        count(STOPS).alias("n_stops"),
     )
     # out of a generator, no later filter or rule can be pushed into (and so repeat) the work on arrays
     return found.select("_row", F.inline(F.array(result)))

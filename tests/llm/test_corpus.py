@@ -214,6 +214,15 @@ def test_quality_rules(spark, odd, empty):
     assert rules.keep_good(odd).schema == odd.schema
 
 
+def test_texts_of_other_scripts_are_not_voted_against(spark):
+    rnd = random.Random(11)
+    words = lambda n: [f"word{rnd.randrange(500)}" for _ in range(n)]
+    texts = [(k, " ".join(words(60)) + ".") for k in range(60)]
+    texts += [(100 + k, " ".join(words(60)) + " यह एक वाक्य है।") for k in range(30)] + [(200 + k, " ".join(words(60))) for k in range(30)]
+    rows = rules.digest(frame(spark, texts)).collect()
+    assert all(r["kept"] and "-" not in r["votes"] for r in rows) and {r["votes"][6] for r in rows if r["doc_id"] >= 200} == {"0"}
+
+
 def test_votes_of_a_mixed_corpus():
     good = rules.posteriors({"++++": 900, "+++0": 50, "-+++": 60, "--+-": 40, "0000": 1})
     assert good["++++"] > 0.8 > 0.5 > good["-+++"] > good["--+-"] and good["+++0"] > 0.5
