@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -95,3 +96,63 @@ def op7_window_lm(spark: SparkSession, folder: str) -> DataFrame:
     from holdfast.llm.lm import score_documents
 
     return score_documents(table(spark, folder, "documents"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    from holdfast.llm.periodic import digest, find_runs
+
+    return digest(find_runs(with_planted_runs(table(spark, folder, "documents"))))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where crc32(doc_id) mod 10 is 0, the words from place a on repeat with period p."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.greatest(F.size("words"), F.lit(1)).cast("bigint")
+    chosen = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), g.alias("g"), n.alias("n"))
+    placed = chosen.withColumn("a", F.pmod("g", "n")).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    a, p, n = (F.col(c).cast("int") for c in "apn")
+    repeats = F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    planted = F.concat(F.slice("words", F.lit(1), a), F.slice(repeats, F.lit(1), n - a))
+    return placed.select("doc_id", F.when(F.size("words") > 0, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    from holdfast.llm.lexical import rank_documents
+
+    return rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+SQL["op12_lexical_search"] = f"""
+WITH doc_terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERMS}')) AS term FROM documents
+), sizes AS (SELECT doc_id, count(*) AS n FROM doc_terms GROUP BY doc_id
+), totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes
+), item_terms AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERMS}')) AS term FROM benchmark
+), asked AS (SELECT item_id, term, count(*) AS times FROM item_terms GROUP BY item_id, term
+), counts AS (
+  SELECT doc_id, term, count(*) AS tf FROM doc_terms WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counts, totals GROUP BY term, docs
+), scored AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // terms)))))::BIGINT AS score
+  FROM counts JOIN sizes USING (doc_id) JOIN weights USING (term) JOIN asked USING (term), totals
+  GROUP BY item_id, doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 20
+"""
+
+
+@query
+def op13_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    from holdfast.llm.urlfilter import judge
+
+    rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+    return judge(table(spark, folder, "pages"), spark.createDataFrame(rules, "host string, path string, verdict string"))
