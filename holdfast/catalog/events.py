@@ -8,10 +8,12 @@ from holdfast import fixed
 from holdfast.catalog.customers import even
 from holdfast.catalog.profile_sql import EVENTS, PROFILE
 from holdfast.catalog.registry import events_sql, query
+from holdfast.plans.storage import new_path
 from holdfast.sources.events import customer_events, read_event_stream
 from holdfast.sources.profile import customer_profile
 from holdfast.sources.tables import read_table
 from holdfast.streaming import alerts, counts, jobs
+from holdfast.streaming.last_events import LastEvents
 
 COUNT_SQL = ", ".join(f"count(*) filter (event_type = '{k}') {{over}} as {n}" for n, k in counts.COUNTED.items())
 LAST50 = (
@@ -45,7 +47,13 @@ def _last50_hot(spark, folder):
 
 @query("stream_last50", LAST50_SQL)
 def _stream_last50(spark, folder):
-    return jobs.drain(counts.last_n_counts_stream(stream_events(spark, folder)), "last50").select(*COLUMNS)
+    return LastEvents(new_path(spark, "last50")).drain(stream_events(spark, folder)).select(*COLUMNS)
+
+
+@query("stream_last50_hot", LAST50_SQL)
+def _stream_last50_hot(spark, folder):
+    """The same with every busy customer of a micro-batch cut into runs of 60 events."""
+    return LastEvents(new_path(spark, "last50"), hot_rows=60).drain(stream_events(spark, folder)).select(*COLUMNS)
 
 
 @query("event_overrides", events_sql(LAST50 + """
@@ -80,7 +88,7 @@ def _alerts(spark, folder):
 
 @query("stream_alerts", ALERTS_SQL)
 def _stream_alerts(spark, folder):
-    return readable(jobs.drain(alerts.event_alerts(stream_events(spark, folder)), "alerts"))
+    return readable(alerts.watch_alerts(new_path(spark, "alerts")).drain(stream_events(spark, folder)))
 
 
 @query("event_alerts_profiled", (
@@ -126,17 +134,30 @@ def _tumbling(spark, folder):
     return stamped(counts.windowed_counts(batch_events(spark, folder), slide=None))
 
 
-@query("stream_sliding")
+CLOSED = " where s.window_end <= strftime((select max(ts) from ev) - interval 10 minute, '%Y-%m-%d %H:%M:%S')"
+
+
+@query("stream_sliding", events_sql(
+    _window_sql("date_trunc('minute', ts) - to_minutes(k)", 5).replace(" select customer_id,", ", w as (select customer_id,") + ") select * from w s" + CLOSED))
 def _stream_sliding(spark, folder):
-    """Windows the watermark has closed; the last minutes of the feed stay open."""
+    """Windows the watermark has closed: those that end ten minutes or more before the last event."""
     return stamped(jobs.drain(counts.windowed_counts(stream_events(spark, folder)), "sliding"))
 
 
-@query("event_sessions", events_sql(
+SESSIONS_SQL = events_sql(
     ", g as (select *, case when ts - lag(ts) over (partition by customer_id order by ts, event_id) < interval 30 minute then 0 else 1 end as fresh from ev)"
     ", s as (select *, sum(fresh) over (partition by customer_id order by ts, event_id) as session from g)"
     " select customer_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as window_start,"
     " strftime(max(ts) + interval 30 minute, '%Y-%m-%d %H:%M:%S') as window_end, count(*) as events, "
-    + COUNT_SQL.format(over="") + " from s group by customer_id, session"))
+    + COUNT_SQL.format(over="") + " from s group by customer_id, session")
+
+
+@query("event_sessions", SESSIONS_SQL)
 def _sessions(spark, folder):
     return stamped(counts.session_counts(batch_events(spark, folder)))
+
+
+@query("event_sessions_hot", SESSIONS_SQL)
+def _sessions_hot(spark, folder):
+    """The same with every customer of more than 20 moments cut into slices of time."""
+    return stamped(counts.session_counts(batch_events(spark, folder), hot_rows=20))

@@ -10,8 +10,11 @@ from holdfast.catalog.registry import profile_sql, query
 from holdfast.functions import scores
 from holdfast.operators import business, compare, drift, fairness, features, metrics, scoring
 from holdfast.plans.running import exact_quantiles
-from holdfast.sources.profile import customer_profile, scaled_columns
+from holdfast.plans.storage import new_path
+from holdfast.sources.events import read_event_stream
+from holdfast.sources.profile import customer_profile
 from holdfast.sources.tables import read_table
+from holdfast.streaming import jobs
 
 CLV = even("monthly_charges * greatest(36.0e0 - tenure_months, 1.0e0) * 0.75e0", 2)
 HEURISTIC = (
@@ -355,16 +358,27 @@ def _report(spark, folder):
     return lines.where("line_no > 20 or line_no between 5 and 8")
 
 
-# ---- drift: fact columns before and from 1998, one of them shifted ---------------------------------------
+# ---- drift: fact columns before and from 1998, two of them shifted ---------------------------------------
 SPLIT = "1998-01-01 00:00:00"
 LINE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
+def is_later():
+    return F.col("l_shipdate") >= F.expr(f"timestamp_ntz '{SPLIT}'")
+
+
+def shifted_lines(spark, folder, lines=None):
+    """Lines, those of the current side with shifted columns."""
+    lines = read_table(spark, folder, "lineitem") if lines is None else lines
+    factors = {"l_quantity": 2.5, "l_extendedprice": 1.3}
+    return lines.select("l_shipdate", *[
+        (F.when(is_later(), F.col(c) * F.lit(factors[c])).otherwise(F.col(c)) if c in factors else F.col(c)).alias(c) for c in LINE_COLUMNS
+    ])
+
+
 def reference_and_current(spark, folder):
-    lines = read_table(spark, folder, "lineitem").select("l_shipdate", *LINE_COLUMNS)
-    before = F.col("l_shipdate") < F.expr(f"timestamp_ntz '{SPLIT}'")
-    current = scaled_columns(lines.where(~before), {"l_quantity": 2.5, "l_extendedprice": 1.3})
-    return lines.where(before).drop("l_shipdate"), current.drop("l_shipdate")
+    lines = shifted_lines(spark, folder)
+    return lines.where(~is_later()).drop("l_shipdate"), lines.where(is_later()).drop("l_shipdate")
 
 
 SHIFTED = {"l_quantity": "l_quantity * 2.5e0", "l_extendedprice": "l_extendedprice * 1.3e0"}
@@ -423,14 +437,65 @@ AUDIT = (
 
 @query("drift_audit", "with " + AUDIT + " select * from audit")
 def _audit(spark, folder):
-    return drift.drift_audit(*reference_and_current(spark, folder), edge_digits=6)
+    return drift.drift_audit_within(shifted_lines(spark, folder), is_later(), LINE_COLUMNS, edge_digits=6)
+
+
+PROFILE_COLUMNS = [*fixed.NUMERICAL]
+LARGER = {"monthly_charges": 1.3, "tenure_months": 0.5}
+
+def _profile_pair() -> str:
+    side = " union all ".join(
+        f"select '{c}' as feature, {c}::double{f' * {LARGER[c]}e0' if c in LARGER else ''} as value from profile where customer_id % 2 = 1 and {c} is not null"
+        for c in PROFILE_COLUMNS
+    )
+    base = " union all ".join(f"select '{c}' as feature, {c}::double as value from profile where customer_id % 2 = 0 and {c} is not null" for c in PROFILE_COLUMNS)
+    return f", r as ({base}), c as ({side})"
+
+
+STATUS_SQL = f"case when psi >= 0.25 then '{fixed.DRIFT_HIGH}' when psi >= 0.1 then '{fixed.DRIFT_MODERATE}' else '{fixed.DRIFT_NONE}' end"
+
+
+@query("drift_audit_profile", profile_sql(
+    _profile_pair() + PSI + KS + f" select feature, coalesce(psi, 0e0) as psi, ks_statistic, p_value, ks_drift_detected, {STATUS_SQL} as drift_status"
+    " from ks left join psi using (feature)"))
+def _audit_profile(spark, folder):
+    """All numeric columns of the profile; the odd customers are the current side, two of their columns shifted."""
+    odd = F.col("customer_id") % 2 == 1
+    profile = customer_profile(spark, folder)
+    moved = profile.withColumns({c: F.when(odd, F.col(c).cast("double") * F.lit(k)).otherwise(F.col(c).cast("double")) for c, k in LARGER.items()})
+    return drift.drift_audit_within(moved, odd, PROFILE_COLUMNS, edge_digits=6)
+
+
+MARKED_KS = f"""
+, rv as (select feature, value, count(*) as n from r group by all)
+, rc as (select *, sum(n) over (partition by feature order by value) as cum, sum(n) over (partition by feature) as total from rv)
+, grid as (select feature, value as g from rc where floor(cum * 200 / total::double) > floor((cum - n) * 200 / total::double) union select feature, e from ed)
+, cv as (select feature, value, count(*) as n from c group by all)
+, rg as (select grid.feature, g, coalesce(sum(n) filter (value <= g), 0) as le, coalesce(sum(n) filter (value < g), 0) as lt, sum(n) as t
+    from grid join rv using (feature) group by all)
+, cg as (select grid.feature, g, coalesce(sum(n) filter (value <= g), 0) as le, coalesce(sum(n) filter (value < g), 0) as lt, sum(n) as t
+    from grid join cv using (feature) group by all)
+, dd as (select feature, max(greatest(abs(rg.le / rg.t - cg.le / cg.t), abs(rg.lt / rg.t - cg.lt / cg.t))) as d,
+    max(rg.t)::double as n, max(cg.t)::double as m from rg join cg using (feature, g) group by feature)
+""" + KS[KS.index(", lam as"):]
+
+
+@query("drift_watch", "with " + PAIR + PSI + MARKED_KS
+       + f" select feature, psi, ks_statistic, p_value, ks_drift_detected, {STATUS_SQL} as drift_status from psi join ks using (feature)")
+def _drift_watch(spark, folder):
+    """The later lines arrive as a stream and are counted into the profile of the earlier ones."""
+    schema = read_table(spark, folder, "lineitem").schema
+    current = shifted_lines(spark, folder, read_event_stream(spark, folder, schema=schema, glob="lineitem.parquet")).where(is_later())
+    reference, path = reference_and_current(spark, folder)[0], new_path(spark, "drift-watch")
+    jobs.start_drift_watch(current, reference, path, LINE_COLUMNS, available_now=True, edge_digits=6).awaitTermination()
+    return jobs.watched_drift(spark, path)
 
 
 @query("drift_verdict", "with " + AUDIT + " select count(*) as total_features_audited, count(*) filter (psi >= 0.25) as high_drift_feature_count,"
        " coalesce(string_agg(case when psi >= 0.25 then feature end, ',' order by feature), '') as high_drift_features,"
        " bool_or(psi >= 0.25) as dataset_drift_detected from audit")
 def _drift_verdict(spark, folder):
-    audit = drift.drift_audit(*reference_and_current(spark, folder), edge_digits=6)
+    audit = drift.drift_audit_within(shifted_lines(spark, folder), is_later(), LINE_COLUMNS, edge_digits=6)
     return drift.drift_verdict(audit).withColumn("high_drift_features", F.array_join("high_drift_features", ","))
 
 
@@ -457,7 +522,7 @@ def _decay(spark, folder):
     f" case when concept_drift_detected then 'Model PR AUC (' || {four('current_pr_auc')} || ') fell below threshold (0.8000).' end) as trigger_reasons,"
     f" case when k > 0 or concept_drift_detected then '{fixed.ACTION_RETRAIN}' else '{fixed.ACTION_KEEP}' end as recommended_action from decay, vd"))
 def _retrain(spark, folder):
-    audit = drift.drift_audit(*reference_and_current(spark, folder), edge_digits=6)
+    audit = drift.drift_audit_within(shifted_lines(spark, folder), is_later(), LINE_COLUMNS, edge_digits=6)
     decision = drift.retrain_decision(audit, decay(spark, folder))
     return decision.withColumn("trigger_reasons", F.array_join("trigger_reasons", "; "))
 

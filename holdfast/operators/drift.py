@@ -12,6 +12,7 @@ from holdfast.functions.numeric import half_even, ratio_or_null
 from holdfast.operators.metrics import classification_metrics
 from holdfast.plans.running import long_form, pick_quantiles, running_totals
 from holdfast.plans.slices import position
+from holdfast.plans.storage import stored
 
 NUMERIC_KINDS = ("int", "bigint", "smallint", "tinyint", "double", "float")
 
@@ -22,17 +23,25 @@ def shared_numeric(ref: DataFrame, cur: DataFrame, cols: Sequence[str] | None =
     return [c for c in wanted if c in ref.columns and c in cur.columns]
 
 
-def paired_counts(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Rows per (feature, value) on each side: both tables and all features in one pre-aggregated shuffle."""
-    sides = long_form(ref, cols).withColumn("_side", F.lit(0)).unionByName(long_form(cur, cols).withColumn("_side", F.lit(1)))
+def side_counts(df: DataFrame, is_current: Column, cols: Sequence[str]) -> DataFrame:
+    """Rows per (feature, value) on each side of a flag (null: on neither): one scan and one pre-aggregated shuffle for all features."""
+    flagged = df.where(is_current.isNotNull()).select(is_current.alias("_current"), *cols)
+    sides = long_form(flagged, cols, ["_current"])
     known = sides.where(F.col("value").isNotNull() & ~F.isnan("value"))
     return known.groupBy("feature", "value").agg(
-        F.count_if(F.col("_side") == 0).alias("ref_n"), F.count_if(F.col("_side") == 1).alias("cur_n")
+        F.count_if(~F.col("_current")).alias("ref_n"), F.count_if(F.col("_current")).alias("cur_n")
     )
 
 
+def paired_counts(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows per (feature, value) in two tables, each read once."""
+    both = ref.select(F.lit(False).alias("_side"), *cols).unionByName(cur.select(F.lit(True).alias("_side"), *cols))
+    return side_counts(both, F.col("_side"), cols)
+
+
 def _points(counts: DataFrame, parts: int | None) -> DataFrame:
-    return running_totals(counts, "value", ["ref_n", "cur_n"], ["feature"], parts=parts)
+    """Running counts of both sides. The counts are written first: marks, sums and statistics read them, not the tables."""
+    return running_totals(stored(counts, "drift-counts"), "value", ["ref_n", "cur_n"], ["feature"], parts=parts)
 
 
 def _psi(points: DataFrame, bins: int, eps: float, edge_digits: int | None) -> DataFrame:
@@ -130,14 +139,24 @@ def drift_status(value: Column, high: float = fixed.PSI_HIGH, moderate: float =
     return F.when(value >= high, fixed.DRIFT_HIGH).when(value >= moderate, fixed.DRIFT_MODERATE).otherwise(fixed.DRIFT_NONE)
 
 
+def _audit(counts: DataFrame, cols: Sequence[str], high: float, moderate: float, edge_digits: int | None, parts: int | None) -> DataFrame:
+    points = _points(counts, parts)
+    both = _psi(points, 10, 1e-4, edge_digits).join(_ks(points, 0.05), "feature", "full_outer")
+    full = _all_features(both, cols, {"psi": 0.0, "ks_statistic": 0.0, "p_value": 1.0, "ks_drift_detected": False})
+    return full.withColumn("drift_status", drift_status(F.col("psi"), high, moderate))
+
+
 def drift_audit(ref: DataFrame, cur: DataFrame, cols: Sequence[str] | None = None, high: float = fixed.PSI_HIGH,
                 moderate: float = fixed.PSI_MODERATE, edge_digits: int | None = None, parts: int | None = None) -> DataFrame:
     """PSI, KS and status per feature; both statistics read the same running counts."""
     cols = shared_numeric(ref, cur, cols)
-    points = _points(paired_counts(ref, cur, cols), parts)
-    both = _psi(points, 10, 1e-4, edge_digits).join(_ks(points, 0.05), "feature", "full_outer")
-    full = _all_features(both, cols, {"psi": 0.0, "ks_statistic": 0.0, "p_value": 1.0, "ks_drift_detected": False})
-    return full.withColumn("drift_status", drift_status(F.col("psi"), high, moderate))
+    return _audit(paired_counts(ref, cur, cols), cols, high, moderate, edge_digits, parts)
+
+
+def drift_audit_within(df: DataFrame, is_current: Column, cols: Sequence[str], high: float = fixed.PSI_HIGH,
+                       moderate: float = fixed.PSI_MODERATE, edge_digits: int | None = None, parts: int | None = None) -> DataFrame:
+    """The same for two parts of one table, which is read once."""
+    return _audit(side_counts(df, is_current, cols), list(cols), high, moderate, edge_digits, parts)
 
 
 def drift_verdict(audit: DataFrame) -> DataFrame:

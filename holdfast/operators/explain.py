@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast import fixed
-from holdfast.functions.scores import feature_reason
+from holdfast.functions.numeric import half_even
+from holdfast.functions.scores import feature_reason, risk_tier, tier_action
 from holdfast.operators.prep import feature_names, helper_columns
 from holdfast.plans.running import exact_quantiles
 
 
 def global_importances(model: PipelineModel) -> DataFrame:
-    """(feature, importance) of the fitted classifier, strongest first: one row per vector position."""
+    """(feature, importance, position) of the fitted classifier, strongest first, equal ones by vector position."""
     from pyspark.sql import SparkSession
 
     names, classifier = feature_names(model), model.stages[-1]
@@ -27,15 +28,22 @@ def global_importances(model: PipelineModel) -> DataFrame:
         values = classifier.coefficients.toArray()
     else:
         values = [1.0] * len(names)
-    rows = [(n, float(v)) for n, v in zip(names, values)]
+    rows = [(n, float(v), i) for i, (n, v) in enumerate(zip(names, values))]
     spark = SparkSession.getActiveSession()
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc(F.abs("importance")), "feature")
+    table = spark.createDataFrame(rows, "feature string, importance double, position int")
+    return table.orderBy(F.desc(F.abs("importance")), "position")
+
+
+def tie_column(importances: DataFrame) -> str:
+    """What orders equal importances: the position in the model, or the name where none is given."""
+    return "position" if "position" in importances.columns else "feature"
 
 
 def top_drivers(importances: DataFrame, top_k: int) -> Column:
     """Scalar subquery: array of (feature, importance), strongest first."""
-    strongest = importances.orderBy(F.desc(F.abs("importance")), "feature").limit(top_k)
-    ordered = F.array_sort(F.collect_list(F.struct((-F.abs("importance")).alias("o"), "feature", "importance")))
+    tie = tie_column(importances)
+    strongest = importances.orderBy(F.desc(F.abs("importance")), tie).limit(top_k)
+    ordered = F.array_sort(F.collect_list(F.struct((-F.abs("importance")).alias("o"), F.col(tie).alias("t"), "feature", "importance")))
     return strongest.agg(ordered.alias("d")).scalar()
 
 
@@ -65,11 +73,13 @@ def explain_global(df: DataFrame, importances: DataFrame, values: Sequence[str],
 
 
 def rank_drivers(df: DataFrame, contributions: str, top_k: int) -> DataFrame:
-    """Turn an array of (feature, value, impact_score) into the ``top_k`` drivers with reasons."""
+    """Turn an array of (feature, value, impact_score) into the ``top_k`` drivers with reasons; equal ones in array order."""
     ordered = F.array_sort(
         F.transform(
             contributions,
-            lambda c: F.struct((-F.abs(c["impact_score"])).alias("o"), c["feature"].alias("feature"), c["value"].alias("value"), c["impact_score"].alias("impact_score")),
+            lambda c, i: F.struct(
+                (-F.abs(c["impact_score"])).alias("o"), i.alias("i"), c["feature"].alias("feature"), c["value"].alias("value"), c["impact_score"].alias("impact_score")
+            ),
         )
     )
     drivers = F.transform(
@@ -110,17 +120,30 @@ def mean_abs_contribution(df: DataFrame, names: Sequence[str], contributions: st
     return table.orderBy(F.desc("importance"), "feature")
 
 
-def explain_model(df: DataFrame, model: PipelineModel, top_k: int = 4) -> DataFrame:
-    """Per-row contributions of a fitted pipeline whose classifier is linear or made of trees."""
+def feature_means(df: DataFrame, model: PipelineModel) -> list[float]:
+    """Mean of every vector position: the background that linear contributions are measured from."""
+    prepared = PipelineModel(stages=model.stages[:-1]).transform(df)
+    return [float(v) for v in prepared.agg(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray()]
+
+
+def explain_model(df: DataFrame, model: PipelineModel, top_k: int = 4, means: Sequence[float] | None = None) -> DataFrame:
+    """Per-row contributions of a fitted pipeline whose classifier is linear or made of trees.
+
+    Linear contributions are measured from ``means`` (of the training table, say), else from the means of ``df``. With
+    ``means`` given, and for trees, every row is explained on its own, so streams and single rows get the same reasons.
+    """
     names = feature_names(model)
     classifier = model.stages[-1]
     if hasattr(classifier, "coefficients"):
         prepared = PipelineModel(stages=model.stages[:-1]).transform(df)
         prepared = prepared.drop(*helper_columns(prepared))
         weights = [float(w) for w in classifier.coefficients.toArray()]
-        means = prepared.agg(vector_to_array(Summarizer.mean(F.col("features"))).alias("m")).scalar()
+        if means is None:
+            background = prepared.agg(vector_to_array(Summarizer.mean(F.col("features"))).alias("m")).scalar()
+        else:
+            background = F.array(*[F.lit(float(m)) for m in means])
         x = vector_to_array("features")
-        wide = prepared.withColumns({"_x": x, "_means": means, "_w": F.array(*[F.lit(w) for w in weights]), "_n": F.array(*[F.lit(n) for n in names])})
+        wide = prepared.withColumns({"_x": x, "_means": background, "_w": F.array(*[F.lit(w) for w in weights]), "_n": F.array(*[F.lit(n) for n in names])})
         impact = F.zip_with(F.zip_with("_x", "_means", lambda a, m: a - m), "_w", lambda gap, w: gap * w)
         wide = wide.withColumn("contributions", F.transform(
             F.arrays_zip(F.col("_n").alias("feature"), F.col("_x").alias("value"), impact.alias("impact_score")),
@@ -137,6 +160,20 @@ def explain_customer(explained: DataFrame, customer_id) -> DataFrame:
     return explained.where(F.col(fixed.ID) == customer_id)
 
 
+def explanation_record(explained: DataFrame, prob: str = fixed.PROBABILITY, key: str = fixed.ID) -> DataFrame:
+    """What a retention desk sees of every explained customer: probability, tier, action, narrative and drivers."""
+    tier = risk_tier(F.col(prob))
+    reasons = F.array_join(F.slice(F.col("top_drivers.business_reason"), 1, 3), "; ")
+    return explained.select(
+        key,
+        half_even(F.col(prob), 4).alias("churn_probability"),
+        tier.alias("risk_level"),
+        tier_action(tier).alias("recommended_retention_action"),
+        F.concat(F.lit("Primary churn drivers for customer "), F.col(key).cast("string"), F.lit(": "), reasons, F.lit(".")).alias("summary_narrative"),
+        "top_drivers",
+    )
+
+
 def grid_values(df: DataFrame, feature: str, resolution: int = 20) -> list[float]:
     """Distinct values if there are few, else even steps between the 5 % and 95 % quantile. A bounded fit step."""
     value = F.col(feature).cast("double")

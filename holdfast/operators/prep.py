@@ -13,6 +13,9 @@ from holdfast import fixed
 from holdfast.functions.numeric import known, present
 from holdfast.operators.quality import having
 from holdfast.plans.running import approx_quantiles, long_form, quantile_row
+from holdfast.plans.storage import stored
+
+MIN_SHARE = 0.001
 
 
 def _quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], exact: bool) -> DataFrame:
@@ -152,8 +155,11 @@ def _quoted(text: str) -> str:
 
 
 def fit_preprocessor(train: DataFrame, num_cols: Sequence[str] | None = None, cat_cols: Sequence[str] | None = None,
-                     scaler: str = "robust", impute: str = "median", exact: bool = True) -> PipelineModel:
-    """Impute, scale and one-hot encode, fitted on ``train`` only.
+                     scaler: str = "robust", impute: str = "median", exact: bool = True, min_share: float = MIN_SHARE) -> PipelineModel:
+    """Impute, scale and one-hot encode, fitted on ``train`` only. NaN is missing.
+
+    A category has a position of its own if at least ``min_share`` of the rows that have any carry it, so a column has at
+    most 1 / min_share positions; rarer ones encode as zeros, like unknown ones.
 
     The fitted numbers (one row per column) become constants of a SQL projection,
     so the result is an ordinary ``PipelineModel``: it saves, loads and scores in
@@ -162,10 +168,10 @@ def fit_preprocessor(train: DataFrame, num_cols: Sequence[str] | None = None, ca
     num_cols = list(num_cols if num_cols is not None else having(train, fixed.MODEL_NUMERICAL))
     cat_cols = list(cat_cols if cat_cols is not None else having(train, fixed.CATEGORICAL))
     center, scale, fill = _fit_numbers(train, num_cols, scaler, impute, exact) if num_cols else ({}, {}, {})
-    values = _fit_categories(train, cat_cols) if cat_cols else {}
+    values = _fit_categories(train, cat_cols, min_share) if cat_cols else {}
     parts = ["*"]
     for c in num_cols:
-        parts.append(f"(coalesce(cast(`{c}` as double), {fill[c]!r}D) - {center[c]!r}D) / {scale[c]!r}D as `num__{c}`")
+        parts.append(f"(coalesce(nullif(cast(`{c}` as double), double('NaN')), {fill[c]!r}D) - {center[c]!r}D) / {scale[c]!r}D as `num__{c}`")
     for c in cat_cols:
         parts.append(f"coalesce(cast(`{c}` as string), {_quoted(values[c][0])}) as `cat__{c}`")
     stages: list = [SQLTransformer(statement=f"SELECT {', '.join(parts)} FROM __THIS__")]
@@ -186,6 +192,7 @@ def fit_preprocessor(train: DataFrame, num_cols: Sequence[str] | None = None, ca
 
 def _fit_numbers(train: DataFrame, cols: list[str], scaler: str, impute: str, exact: bool):
     """Centre, scale and fill value per column. Scaling sees the filled column; columns without gaps need no second pass."""
+    train = train.select(*[known(F.col(c).cast("double")).alias(c) for c in cols])
     gaps = train.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first().asDict()
     found = {r["feature"]: r["quantiles"] for r in _quantiles(train, cols, [0.25, 0.5, 0.75], exact).collect()}
     moments = {}
@@ -208,15 +215,23 @@ def _fit_numbers(train: DataFrame, cols: list[str], scaler: str, impute: str, ex
     return center, scale, {c: float(v) for c, v in fill.items()}
 
 
-def _fit_categories(train: DataFrame, cols: list[str]) -> dict[str, tuple[str, list[str]]]:
-    """Most frequent value and the alphabetic list of values per column, from one pass of pre-aggregated counts."""
-    long = long_form(train, cols, kind="string").where(F.col("value").isNotNull())
+def category_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The dictionary of every column as a table: (feature, value, n, share), nulls left out."""
+    long = long_form(df, cols, kind="string").where(F.col("value").isNotNull())
     counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    found = counts.groupBy("feature").agg(
-        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"), F.array_sort(F.collect_set("value")).alias("labels")
-    )
-    rows = {r["feature"]: (r["mode"], list(r["labels"])) for r in found.collect()}
-    return {c: rows.get(c, ("", [""])) for c in cols}
+    totals = counts.groupBy("feature").agg(F.sum("n").alias("_total"))
+    return counts.join(F.broadcast(totals), "feature").select("feature", "value", "n", (F.col("n") / F.col("_total")).alias("share"))
+
+
+def _fit_categories(train: DataFrame, cols: list[str], min_share: float) -> dict[str, tuple[str, list[str]]]:
+    """Most frequent value and the alphabetic list of frequent values per column. The dictionary stays a table; what
+    reaches the driver are the values with ``min_share`` or more, at most 1 / min_share of a column, and one mode."""
+    counted = stored(category_counts(train, cols), "categories")
+    modes = {r["feature"]: r["mode"] for r in counted.groupBy("feature").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode")).collect()}
+    labels: dict[str, list[str]] = {}
+    for r in counted.where(F.col("share") >= min_share).select("feature", "value").orderBy("feature", "value").collect():
+        labels.setdefault(r["feature"], []).append(r["value"])
+    return {c: (modes.get(c, ""), labels.get(c, [""])) for c in cols}
 
 
 def helper_columns(df: DataFrame) -> list[str]:

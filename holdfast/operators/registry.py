@@ -1,19 +1,21 @@
-"""Model versions as an append-only table; champion and predecessor are derived, never stored."""
+"""Model versions as an append-only log; champion and predecessor are derived, never stored."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast import fixed
 from holdfast.functions.numeric import half_even
 from holdfast.functions.scores import percent_text
+from holdfast.plans.storage import create_file
 
 REGISTER, PROMOTE, ROLLBACK = "register", "promote", "rollback"
 
@@ -95,20 +97,30 @@ def gate(pairs: DataFrame, margin: float = fixed.GATE_MARGIN, champion: str = "c
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
+    """All actions: one small file each, named by its number."""
     try:
-        return spark.read.schema(SCHEMA).parquet(f"{path}/log")
+        return spark.read.schema(SCHEMA).json(f"{path}/log")
     except AnalysisException:
         return spark.createDataFrame([], SCHEMA)
 
 
-def _append(spark: SparkSession, path: str, action: str, tag: str | None, file: str | None = None, sha: str | None = None,
-            metrics: Mapping[str, float] | None = None, description: str | None = None) -> DataFrame:
-    last = read_registry(spark, path).agg(F.max("seq")).first()[0] or 0
-    stamp = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-    values = {k: float(v) for k, v in metrics.items()} if metrics else None
-    row = (last + 1, action, tag, file, sha, stamp, values, description)
-    spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/log")
-    return read_registry(spark, path)
+def commit(spark: SparkSession, path: str, decide: Callable[[DataFrame], Mapping | None]) -> Mapping | None:
+    """Append one action, decided on the log as it stands.
+
+    ``decide`` sees all earlier actions and returns the fields of the new one, or None for no action. The action becomes
+    the file of the next number, which can be created once: if another writer was faster, the log is read again and
+    ``decide`` is asked again. So numbers are unique and every action was decided knowing all actions before it.
+    """
+    while True:
+        log = read_registry(spark, path)
+        seq = (log.agg(F.max("seq")).first()[0] or 0) + 1
+        action = decide(log)
+        if action is None:
+            return None
+        stamp = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+        row = {"seq": seq, "timestamp": stamp, **action}
+        if create_file(spark, f"{path}/log/{seq:012d}.json", json.dumps(row) + "\n"):
+            return row
 
 
 def files_digest(spark: SparkSession, folder: str) -> str:
@@ -123,7 +135,12 @@ def register_model(spark: SparkSession, path: str, model: PipelineModel, tag: st
     """Save the whole pipeline (preprocessing included) and append its registration."""
     file = f"{path}/models/{tag}"
     model.write().overwrite().save(file)
-    return _append(spark, path, REGISTER, tag, file, files_digest(spark, file), metrics, description)
+    entry = {
+        "action": REGISTER, "version_tag": tag, "filepath": file, "sha256": files_digest(spark, file),
+        "metrics": {k: float(v) for k, v in metrics.items()}, "description": description,
+    }
+    commit(spark, path, lambda log: entry)
+    return read_registry(spark, path)
 
 
 def _registered(log: DataFrame, tag: str) -> DataFrame:
@@ -131,9 +148,38 @@ def _registered(log: DataFrame, tag: str) -> DataFrame:
 
 
 def promote(spark: SparkSession, path: str, tag: str) -> DataFrame:
-    if _registered(read_registry(spark, path), tag).isEmpty():
-        raise ValueError(f"Version '{tag}' not found in model registry!")
-    return _append(spark, path, PROMOTE, tag)
+    def decide(log: DataFrame) -> Mapping:
+        if _registered(log, tag).isEmpty():
+            raise ValueError(f"Version '{tag}' not found in model registry!")
+        return {"action": PROMOTE, "version_tag": tag}
+
+    commit(spark, path, decide)
+    return read_registry(spark, path)
+
+
+def challenge(spark: SparkSession, path: str, tag: str, metric: str = "pr_auc", margin: float = fixed.GATE_MARGIN) -> DataFrame:
+    """Put a registered version through the gate against the champion and promote it if it passes. Returns the decision.
+
+    If the champion changes meanwhile, the gate is asked again with the new one: two challengers never both beat the
+    same champion.
+    """
+    decisions: list[DataFrame] = []
+
+    def decide(log: DataFrame) -> Mapping | None:
+        new = latest_metrics(log, tag).first()
+        if new is None:
+            raise ValueError(f"Version '{tag}' not found in model registry!")
+        state = registry_state(log).first()
+        old = latest_metrics(log, state["active_version"]).first() if state else None
+        pair = spark.createDataFrame(
+            [(tag, old["metrics"][metric] if old else None, new["metrics"][metric])],
+            "version_tag string, champion_pr_auc double, challenger_pr_auc double",
+        )
+        decisions.append(gate(pair, margin))
+        return {"action": PROMOTE, "version_tag": tag} if decisions[-1].first()["gate_passed"] else None
+
+    commit(spark, path, decide)
+    return decisions[-1]
 
 
 def active_versions(spark: SparkSession, path: str) -> tuple[str | None, str | None]:
@@ -143,10 +189,12 @@ def active_versions(spark: SparkSession, path: str) -> tuple[str | None, str | N
 
 def rollback(spark: SparkSession, path: str) -> bool:
     """Swap active and previous version; False when there is nothing to go back to."""
-    if active_versions(spark, path)[1] is None:
-        return False
-    _append(spark, path, ROLLBACK, None)
-    return True
+
+    def decide(log: DataFrame) -> Mapping | None:
+        state = registry_state(log).first()
+        return {"action": ROLLBACK} if state and state["previous_version"] is not None else None
+
+    return commit(spark, path, decide) is not None
 
 
 def resolve_model(spark: SparkSession, path: str, fallbacks: Sequence[str] = ()) -> PipelineModel | None:
@@ -161,5 +209,5 @@ def resolve_model(spark: SparkSession, path: str, fallbacks: Sequence[str] = ())
     return None
 
 
-def latest_metrics(log: DataFrame, tag: Column | str) -> DataFrame:
-    return log.where((F.col("action") == REGISTER) & (F.col("version_tag") == tag)).orderBy(F.desc("seq")).select("metrics").limit(1)
+def latest_metrics(log: DataFrame, tag: str) -> DataFrame:
+    return _registered(log, tag).orderBy(F.desc("seq")).select("metrics").limit(1)

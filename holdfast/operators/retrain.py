@@ -17,10 +17,16 @@ from holdfast.operators.splits import stratified_split
 
 
 def retrain_cycle(df: DataFrame, path: str, margin: float = fixed.GATE_MARGIN, seed: int = 42, tag: str | None = None,
-                  estimator: Estimator | None = None, rounds: int = 20, max_rounds: int = 500) -> DataFrame:
-    """Fit a challenger on 75 % of a customer table and promote it if it passes the gate. Returns the decision."""
+                  estimator: Estimator | None = None, rounds: int = 20, max_rounds: int = 500, order_col: str | None = None) -> DataFrame:
+    """Fit a challenger on 75 % of a customer table and promote it if it passes the gate. Returns the decision.
+
+    Of repeated customers the first by ``order_col`` stays; without one, the first by all columns.
+    """
     spark = df.sparkSession
-    featured = add_domain_features(clean_customers(df))
+    if order_col is None:
+        order_col = "_order"
+        df = df.withColumn(order_col, F.to_json(F.struct(*sorted(df.columns))))
+    featured = add_domain_features(clean_customers(df, order_col=order_col)).drop("_order")
     with models.kept(stratified_split(featured, 0.25, seed=seed)) as parts:
         train, valid = parts.where("is_test = 0"), parts.where("is_test = 1")
         prep = fit_preprocessor(train)
@@ -32,16 +38,8 @@ def retrain_cycle(df: DataFrame, path: str, margin: float = fixed.GATE_MARGIN, s
         found = models.measure(models.add_probability(classifier, held_out))
     metrics = {m: float(found[m]) for m in [*models.CURVE, "brier_score"]}
     tag = tag or f"v1_{datetime.now(timezone.utc).strftime('%Y%m%d%H%M%S%f')}"
-    champion = registry.active_versions(spark, path)[0]
     model = PipelineModel(stages=[*prep.stages, classifier])
-    log = registry.register_model(spark, path, model, tag, metrics, "Challenger model candidate")
-    old = None
-    if champion is not None:
-        row = registry.latest_metrics(log, champion).first()
-        old = row["metrics"]["pr_auc"] if row else None
-    pair = spark.createDataFrame([(tag, old, metrics["pr_auc"])], "version_tag string, champion_pr_auc double, challenger_pr_auc double")
-    decision = registry.gate(pair, margin).first()
-    if decision["gate_passed"]:
-        registry.promote(spark, path, tag)
+    registry.register_model(spark, path, model, tag, metrics, "Challenger model candidate")
+    decision = registry.challenge(spark, path, tag, margin=margin)
     active = registry.active_versions(spark, path)[0]
-    return spark.createDataFrame([decision], registry.gate(pair, margin).schema).withColumn("active_champion_version", F.lit(active))
+    return decision.withColumn("active_champion_version", F.lit(active))

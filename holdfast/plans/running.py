@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.plans.slices import SLICE, add_slice, default_parts
+from holdfast.plans.salted import join_salted
+from holdfast.plans.slices import SLICE, add_slice, default_parts, ordinal
 
 
 def running_totals(
@@ -56,6 +57,30 @@ def ranked(
     return out.withColumnsRenamed({"cum__one": "rank", "total__one": "group_rows"}).drop("_one")
 
 
+def ranked_through_ties(
+    df: DataFrame, value: str, tie: str, groups: Sequence[str] = (), hot_rows: int = 1_000_000, parts: int | None = None
+) -> DataFrame:
+    """:func:`ranked` for values that very many rows of a group share: equal values are cut by ``tie`` as well.
+
+    Rows are counted per (group, value) and the counts are run up, which gives the rank of the first row of each value.
+    Values with more than ``hot_rows`` rows are ranked in slices of ``tie``, all others within their value. No task
+    holds more than the larger of ``hot_rows`` and a slice.
+    """
+    at = [*groups, value]
+    points = running_totals(df.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")), value, ["_n"], groups, parts=parts)
+    before = points.select(*at, "_n", (F.col("cum__n") - F.col("_n")).alias("_before"), F.col("total__n").alias("group_rows"))
+    hot = before.where(F.col("_n") > hot_rows).drop("_n").withColumn("_hot", F.lit(True))
+    marked = join_salted(df, hot, at, [tie])
+    light = marked.where(F.col("_hot").isNull()).drop("_before", "group_rows").join(before.where(F.col("_n") <= hot_rows), at)
+    within = F.row_number().over(Window.partitionBy(*at).orderBy(tie))
+    few = light.withColumn("rank", F.col("_before") + within)
+    heavy = marked.where(F.col("_hot")).withColumnRenamed("group_rows", "_group_rows")
+    cut = ranked(heavy.withColumn("_tie", ordinal(heavy, tie)), "_tie", at, [tie], parts)
+    many = cut.withColumn("rank", F.col("_before") + F.col("rank")).withColumn("group_rows", F.col("_group_rows"))
+    columns = [*df.columns, "rank", "group_rows"]
+    return few.select(*columns).unionAll(many.select(*columns))
+
+
 def value_counts(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """One row per (group, value) with ``n``; nulls and NaN dropped, combined before the shuffle."""
     kept = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))

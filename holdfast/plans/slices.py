@@ -67,3 +67,19 @@ def add_slice(df: DataFrame, value: str, parts: int, counts: list[str] | None =
         further = (ahead <= F.size(marks)) & (F.try_element_at(marks, ahead) < F.col(value))
         found = found.withColumn(SLICE, F.when(further, ahead).otherwise(at))
     return found.drop(MARKS)
+
+
+def ordinal(df: DataFrame, column: str) -> Column:
+    """A number in the order of ``column`` (equal numbers are possible): its own value, or for text a code of the first
+    six bytes after what all values begin with."""
+    kind = dict(df.dtypes)[column]
+    if kind != "string":
+        return F.col(column)
+    ends = df.agg(F.encode(F.min(column), "UTF-8").alias("low"), F.encode(F.max(column), "UTF-8").alias("high"))
+    alike = F.filter(
+        F.sequence(F.lit(1), F.least(F.length("low"), F.length("high")) + 1),
+        lambda n: F.substring(F.col("low"), F.lit(1), n) == F.substring(F.col("high"), F.lit(1), n),
+    )
+    shared = ends.select(F.least(F.size(alike), F.length("low")).alias("n")).scalar()
+    code = F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), shared + 1, F.lit(6))), 12, "0")
+    return F.conv(code, 16, 10).cast("bigint")

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -33,3 +34,39 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file through the file system it is on; nothing happens if it is not there."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def create_file(spark: SparkSession, path: str, content: str) -> bool:
+    """Create a file with its whole content, or return False if ``path`` is taken: of several writers one wins.
+
+    The content goes to a file of its own first, which is then moved (linked, on a local disk) to ``path`` in one step.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(conf)
+    draft = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
+    stream = files.create(draft, False)
+    stream.write(bytearray(content.encode()))
+    stream.close()
+    try:
+        if files.getScheme() == "file":
+            jvm.java.nio.file.Files.createLink(*[jvm.java.io.File(p.toUri().getPath()).toPath() for p in (target, draft)])
+        else:
+            rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+            options = spark.sparkContext._gateway.new_array(rename, 1)
+            options[0] = rename.valueOf("NONE")
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(draft, target, options)
+    except Py4JJavaError:
+        if files.exists(target):
+            return False
+        raise
+    finally:
+        files.delete(draft, False)
+    return True

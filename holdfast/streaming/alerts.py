@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import Any
 
 from pyspark.ml import PipelineModel
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 from holdfast import fixed
 from holdfast.functions import scores
 from holdfast.functions.numeric import half_even
+from holdfast.operators.explain import explain_model
 from holdfast.operators.features import add_domain_features
 from holdfast.operators.prep import helper_columns
 from holdfast.streaming.counts import last_n_counts, last_n_counts_stream
+from holdfast.streaming.last_events import LastEvents
 
 
 def event_overrides() -> dict[str, Column]:
@@ -82,11 +85,33 @@ def alert_payload(scored: DataFrame, threshold: float = fixed.ALERT_THRESHOLD, r
     )
 
 
-def event_alerts(events: DataFrame, threshold: float = fixed.ALERT_THRESHOLD, last_n: int = fixed.BUFFER_EVENTS,
-                 profiles: DataFrame | None = None, model: PipelineModel | None = None, **options) -> DataFrame:
-    """Alerts from customer events, as a table or as a stream."""
+def alerts_of(counted: DataFrame, threshold: float = fixed.ALERT_THRESHOLD, profiles: DataFrame | None = None,
+              model: PipelineModel | None = None, means: Sequence[float] | None = None) -> DataFrame:
+    """Alerts from counted events. With a model, each alert carries the three features that moved its own score most.
+
+    Only events at the threshold are explained. ``means`` of the training table (``explain.feature_means``) are the
+    background of a linear model; trees need none.
+    """
+    scored = score_events(counted, profiles, model)
+    if model is None:
+        return alert_payload(scored, threshold)
+    if means is None and hasattr(model.stages[-1], "coefficients"):
+        raise ValueError("alerts of a linear model need the means of its training table")
+    explained = explain_model(scored.where(F.col("churn_probability") >= threshold), model, 3, means)
+    return alert_payload(explained, threshold, F.col("top_drivers.business_reason"))
+
+
+def event_alerts(events: DataFrame, threshold: float = fixed.ALERT_THRESHOLD, last_n: int = fixed.BUFFER_EVENTS, profiles: DataFrame | None = None,
+                 model: PipelineModel | None = None, means: Sequence[float] | None = None, **options) -> DataFrame:
+    """Alerts from customer events, as a table or as a stream with keyed state (see ``watch_alerts`` for busy customers)."""
     counted = last_n_counts_stream(events, last_n, **options) if events.isStreaming else last_n_counts(events, last_n, **options)
-    return alert_payload(score_events(counted, profiles, model), threshold)
+    return alerts_of(counted, threshold, profiles, model, means)
+
+
+def watch_alerts(path: str, threshold: float = fixed.ALERT_THRESHOLD, last_n: int = fixed.BUFFER_EVENTS, profiles: DataFrame | None = None,
+                 model: PipelineModel | None = None, means: Sequence[float] | None = None, **options) -> LastEvents:
+    """Alerts of a stream whose state is a table below ``path``: no task holds a whole customer."""
+    return LastEvents(path, last_n, then=lambda counted: alerts_of(counted, threshold, profiles, model, means), **options)
 
 
 def alert_totals(events: DataFrame, alerts: DataFrame) -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast import fixed
-from holdfast.plans.running import ranked
+from holdfast.plans.running import ranked_through_ties
+from holdfast.plans.salted import join_salted
+from holdfast.plans.slices import SLICE, add_slice, default_parts
 
 COUNTED = {
     "tickets": "support_ticket_opened",
@@ -27,6 +30,14 @@ def _counts(window=None) -> list[Column]:
     return out
 
 
+def _split(events: DataFrame, hot_rows: int, key: str, time: str, tie: str) -> tuple[DataFrame, DataFrame]:
+    """Events of ordinary customers; events of customers with more than ``hot_rows``, with rank and group_rows."""
+    hot_keys = events.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    marked = join_salted(events, hot_keys.select(key, F.lit(True).alias("_hot")), [key], [tie])
+    plain = marked.where(F.col("_hot").isNull()).drop("_hot")
+    return plain, ranked_through_ties(marked.where(F.col("_hot")).drop("_hot"), time, tie, [key], hot_rows)
+
+
 def last_n_counts(
     events: DataFrame,
     n: int = fixed.BUFFER_EVENTS,
@@ -34,6 +45,7 @@ def last_n_counts(
     key: str = "customer_id",
     time: str = "ts",
     tie: str = "event_id",
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """Counts by type over the last ``n`` events of the customer, the current one included (table form).
 
@@ -41,21 +53,49 @@ def last_n_counts(
     ``hot_rows`` events is cut into runs of ``hot_rows`` consecutive events; each
     run also receives the n-1 events before it, from however many runs they are
     in, so its counts are exact and no task holds more than one run and those.
+    Ranks of a hot customer come from slices of (time, tie), so equal time stamps
+    do not gather in a task either.
+
+    ``earlier`` are the events that came before all of ``events``, as
+    :func:`latest_events` returns them; they are counted but not returned.
     """
-    hot_keys = events.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    marked = events.join(hot_keys.select(key, F.lit(True).alias("_hot")), key, "left")
-    plain = marked.where(F.col("_hot").isNull()).drop("_hot").withColumns(
-        {"_run": F.lit(0).cast("long"), "_lead_in": F.lit(False)}
-    )
-    hot = ranked(marked.where(F.col("_hot")).drop("_hot"), time, [key], [tie])
+    plain, hot = _split(events, hot_rows, key, time, tie)
+    names = [*events.columns, "_place", "_run", "_lead_in"]
+    parts = [plain.select("*", F.lit(1).cast("long").alias("_place"), F.lit(0).cast("long").alias("_run"), F.lit(False).alias("_lead_in"))]
     place = F.col("rank") - 1
     run = F.floor(place / hot_rows)
     homes = F.sequence(run, F.floor((place + (n - 1)) / hot_rows))
-    cut = hot.select("*", run.alias("_own"), F.explode(homes).alias("_run")).withColumn("_lead_in", F.col("_run") != F.col("_own"))
-    every = plain.unionByName(cut.select(*plain.columns))
-    recent = Window.partitionBy(key, "_run").orderBy(time, tie).rowsBetween(-(n - 1), 0)
+    cut = hot.select("*", run.alias("_own"), F.explode(homes).alias("_run"), F.col("rank").alias("_place"))
+    parts.append(cut.withColumn("_lead_in", F.col("_run") != F.col("_own")).select(*names))
+    if earlier is not None:
+        before = earlier.withColumn("_place", F.col("place").cast("long")).drop("place")
+        runs = F.sequence(F.lit(0), F.floor((F.col("_place") + (n - 2)) / hot_rows))  # the runs its n-1 successors are in
+        lead = before.where(F.col("_place") + n - 1 > 0).select("*", F.explode(runs).alias("_run"), F.lit(True).alias("_lead_in"))
+        parts.append(lead.select(*[F.col(c) if c in lead.columns else F.lit(None).alias(c) for c in names]))
+    every = reduce(DataFrame.unionAll, [p.select(*names) for p in parts])
+    recent = Window.partitionBy(key, "_run").orderBy("_place", time, tie).rowsBetween(-(n - 1), 0)
     counted = every.select("*", *_counts(recent))
-    return counted.where(~F.col("_lead_in")).drop("_run", "_lead_in")
+    return counted.where(~F.col("_lead_in")).drop("_place", "_run", "_lead_in")
+
+
+def latest_events(
+    events: DataFrame,
+    earlier: DataFrame | None = None,
+    n: int = fixed.BUFFER_EVENTS,
+    hot_rows: int = HOT_ROWS,
+    key: str = "customer_id",
+    time: str = "ts",
+    tie: str = "event_id",
+) -> DataFrame:
+    """The last n-1 events of every customer in ``events`` and ``earlier``, with ``place`` (0 the newest, -1 before it ...)."""
+    plain, hot = _split(events, hot_rows, key, time, tie)
+    newest = hot.where(F.col("rank") > F.col("group_rows") - (n - 1))
+    parts = [plain.withColumn("_place", F.lit(1).cast("long")), newest.withColumn("_place", F.col("rank")).drop("rank", "group_rows")]
+    if earlier is not None:
+        parts.append(earlier.withColumn("_place", F.col("place").cast("long")).drop("place").select(*parts[0].columns))
+    back = Window.partitionBy(key).orderBy(F.desc("_place"), F.desc(time), F.desc(tie))
+    numbered = reduce(DataFrame.unionAll, [p.select(*parts[0].columns) for p in parts]).withColumn("_back", F.row_number().over(back))
+    return numbered.where(F.col("_back") < n).select(*events.columns, (1 - F.col("_back")).cast("long").alias("place"))
 
 
 def last_n_counts_stream(events: DataFrame, n: int = fixed.BUFFER_EVENTS, idle_days: int | None = None) -> DataFrame:
@@ -127,17 +167,50 @@ def windowed_counts(
     )
 
 
-def session_counts(events: DataFrame, gap: str = "30 minutes", lateness: str = "10 minutes", key: str = "customer_id") -> DataFrame:
+def session_counts(
+    events: DataFrame, gap: str = "30 minutes", lateness: str = "10 minutes", key: str = "customer_id", hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Counts per activity session of a customer (events closer than ``gap``)."""
-    if events.isStreaming:
-        events = events.withWatermark("ts", lateness)
+    if not events.isStreaming:
+        return sessions_of_table(events, gap, key, hot_rows)
     return (
-        events.groupBy(F.session_window("ts", gap).alias("span"), key)
+        events.withWatermark("ts", lateness)
+        .groupBy(F.session_window("ts", gap).alias("span"), key)
         .agg(F.count(F.lit(1)).alias("events"), *_counts())
         .select(key, F.col("span.start").alias("window_start"), F.col("span.end").alias("window_end"), "events", *COUNTED)
     )
 
 
+def sessions_of_table(events: DataFrame, gap: str = "30 minutes", key: str = "customer_id", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Sessions by a segmented scan.
+
+    Events of one customer and time stamp are combined first. Customers with more than ``hot_rows`` time stamps are cut
+    into slices of time; gaps are looked for inside a slice only. What a session can share with a neighbouring slice is
+    the first and last stretch of a slice: those, two rows per slice at most, are joined up as (first, last, counts).
+    """
+    names = ["events", *COUNTED]
+    wide = F.expr(f"interval {gap}")
+    moments = events.where(F.col("ts").isNotNull()).groupBy(key, "ts").agg(F.count(F.lit(1)).alias("events"), *_counts())
+    hot_keys = moments.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    marked = join_salted(moments, hot_keys.select(key, F.lit(True).alias("_hot")), [key], ["ts"])
+    plain = marked.where(F.col("_hot").isNull()).withColumn(SLICE, F.lit(0))
+    hot = add_slice(marked.where(F.col("_hot")), "ts", default_parts(events))
+    inside = Window.partitionBy(key, SLICE).orderBy("ts")
+    starts = F.when(F.col("ts") < F.lag("ts").over(inside) + wide, 0).otherwise(1)
+    numbered = plain.unionByName(hot).withColumn("_starts", starts).withColumn("_stretch", F.sum("_starts").over(inside))
+    stretches = numbered.groupBy(key, SLICE, "_stretch").agg(
+        F.first("_hot").alias("_hot"), F.min("ts").alias("first"), F.max("ts").alias("last"), *[F.sum(c).alias(c) for c in names]
+    )
+    edge = F.col("_hot").isNotNull() & ((F.col("_stretch") == 1) | (F.col("_stretch") == F.max("_stretch").over(Window.partitionBy(key, SLICE))))
+    told = stretches.withColumn("_edge", edge)
+    along = Window.partitionBy(key).orderBy("first")
+    joins_up = F.when(F.col("first") < F.lag("last").over(along) + wide, 0).otherwise(1)
+    edges = told.where("_edge").withColumn("_starts", joins_up).withColumn("_session", F.sum("_starts").over(along))
+    joined = edges.groupBy(key, "_session").agg(F.min("first").alias("first"), F.max("last").alias("last"), *[F.sum(c).alias(c) for c in names])
+    shown = [key, F.col("first").alias("window_start"), (F.col("last") + wide).alias("window_end"), *names]
+    return told.where(~F.col("_edge")).select(*shown).unionAll(joined.select(*shown))
+
+
 def once_per_event(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """Drop repeated deliveries of an event."""
     if events.isStreaming:
