@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,12 +29,23 @@ def _counts(window=None) -> list[Column]:
     return out
 
 
-def _split(events: DataFrame, hot_rows: int, key: str, time: str, tie: str) -> tuple[DataFrame, DataFrame]:
-    """Events of ordinary customers; events of customers with more than ``hot_rows``, with rank and group_rows."""
-    hot_keys = events.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    marked = join_salted(events, hot_keys.select(key, F.lit(True).alias("_hot")), [key], [tie])
-    plain = marked.where(F.col("_hot").isNull()).drop("_hot")
-    return plain, ranked_through_ties(marked.where(F.col("_hot")).drop("_hot"), time, tie, [key], hot_rows)
+def _hot_keys(df: DataFrame, hot_rows: int, key: str) -> DataFrame | None:
+    """The keys with more than ``hot_rows`` rows, None if there are none (one pass of pre-aggregated counts): the usual
+    table then needs no plan for them. A key that grows later is still counted right, in one task."""
+    keys = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(key, F.lit(True).alias("_hot"))
+    return None if keys.isEmpty() else keys
+
+
+def placed(events: DataFrame, hot_rows: int = HOT_ROWS, key: str = "customer_id", time: str = "ts", tie: str = "event_id") -> DataFrame:
+    """Add ``place`` and ``of``: rank and number of events where a customer has more than ``hot_rows`` of them, else null."""
+    hot_keys = _hot_keys(events, hot_rows, key)
+    unplaced = {"place": F.lit(None).cast("long"), "of": F.lit(None).cast("long")}
+    if hot_keys is None:
+        return events.withColumns(unplaced)
+    marked = join_salted(events, hot_keys, [key], [tie])
+    hot = ranked_through_ties(marked.where(F.col("_hot")).drop("_hot"), time, tie, [key], hot_rows)
+    plain = marked.where(F.col("_hot").isNull()).drop("_hot").withColumns(unplaced)
+    return plain.unionAll(hot.withColumnsRenamed({"rank": "place", "group_rows": "of"}).select(*plain.columns))
 
 
 def last_n_counts(
@@ -59,43 +69,39 @@ def last_n_counts(
     ``earlier`` are the events that came before all of ``events``, as
     :func:`latest_events` returns them; they are counted but not returned.
     """
-    plain, hot = _split(events, hot_rows, key, time, tie)
-    names = [*events.columns, "_place", "_run", "_lead_in"]
-    parts = [plain.select("*", F.lit(1).cast("long").alias("_place"), F.lit(0).cast("long").alias("_run"), F.lit(False).alias("_lead_in"))]
-    place = F.col("rank") - 1
-    run = F.floor(place / hot_rows)
-    homes = F.sequence(run, F.floor((place + (n - 1)) / hot_rows))
-    cut = hot.select("*", run.alias("_own"), F.explode(homes).alias("_run"), F.col("rank").alias("_place"))
-    parts.append(cut.withColumn("_lead_in", F.col("_run") != F.col("_own")).select(*names))
+    return counted_events(placed(events, hot_rows, key, time, tie), n, hot_rows, key, time, tie, earlier)
+
+
+def counted_events(ordered: DataFrame, n: int, hot_rows: int, key: str = "customer_id", time: str = "ts", tie: str = "event_id",
+                   earlier: DataFrame | None = None) -> DataFrame:
+    """:func:`last_n_counts` of events that :func:`placed` has put in order."""
+    names = [c for c in ordered.columns if c not in ("place", "of")]
+    first = F.coalesce(F.floor((F.col("place") - 1) / hot_rows), F.lit(0))
+    last = F.coalesce(F.floor((F.col("place") + (n - 2)) / hot_rows), F.lit(0))
+    every = ordered.select(*names, F.coalesce("place", F.lit(1)).alias("_place"), first.alias("_own"), F.explode(F.sequence(first, last)).alias("_run"))
     if earlier is not None:
-        before = earlier.withColumn("_place", F.col("place").cast("long")).drop("place")
-        runs = F.sequence(F.lit(0), F.floor((F.col("_place") + (n - 2)) / hot_rows))  # the runs its n-1 successors are in
-        lead = before.where(F.col("_place") + n - 1 > 0).select("*", F.explode(runs).alias("_run"), F.lit(True).alias("_lead_in"))
-        parts.append(lead.select(*[F.col(c) if c in lead.columns else F.lit(None).alias(c) for c in names]))
-    every = reduce(DataFrame.unionAll, [p.select(*names) for p in parts])
+        # a run also needs what came before the batch: the events up to n-1 places ahead of its own
+        runs = F.sequence(F.lit(0).cast("long"), F.floor((F.col("place") + (n - 2)) / hot_rows))
+        lead = earlier.where(F.col("place") + n > 1).select(
+            *[F.col(c) if c in earlier.columns else F.lit(None).alias(c) for c in names],
+            F.col("place").alias("_place"), F.lit(-1).cast("long").alias("_own"), F.explode(runs).alias("_run"),
+        )
+        every = every.unionAll(lead)
     recent = Window.partitionBy(key, "_run").orderBy("_place", time, tie).rowsBetween(-(n - 1), 0)
-    counted = every.select("*", *_counts(recent))
-    return counted.where(~F.col("_lead_in")).drop("_place", "_run", "_lead_in")
+    return every.select("*", *_counts(recent)).where(F.col("_own") == F.col("_run")).drop("_place", "_run", "_own")
 
 
-def latest_events(
-    events: DataFrame,
-    earlier: DataFrame | None = None,
-    n: int = fixed.BUFFER_EVENTS,
-    hot_rows: int = HOT_ROWS,
-    key: str = "customer_id",
-    time: str = "ts",
-    tie: str = "event_id",
-) -> DataFrame:
-    """The last n-1 events of every customer in ``events`` and ``earlier``, with ``place`` (0 the newest, -1 before it ...)."""
-    plain, hot = _split(events, hot_rows, key, time, tie)
-    newest = hot.where(F.col("rank") > F.col("group_rows") - (n - 1))
-    parts = [plain.withColumn("_place", F.lit(1).cast("long")), newest.withColumn("_place", F.col("rank")).drop("rank", "group_rows")]
+def latest_events(ordered: DataFrame, n: int, earlier: DataFrame | None = None, key: str = "customer_id", time: str = "ts", tie: str = "event_id") -> DataFrame:
+    """The last n-1 events of every customer in ``earlier`` and then ``ordered`` (from :func:`placed`), with ``place``
+    (0 the newest, -1 before it ...)."""
+    names = [c for c in ordered.columns if c not in ("place", "of")]
+    newest = F.col("of").isNull() | (F.col("place") > F.col("of") - (n - 1))
+    every = ordered.where(newest).select(*names, F.coalesce("place", F.lit(1)).alias("_place"))
     if earlier is not None:
-        parts.append(earlier.withColumn("_place", F.col("place").cast("long")).drop("place").select(*parts[0].columns))
+        every = every.unionAll(earlier.select(*names, F.col("place").alias("_place")))
     back = Window.partitionBy(key).orderBy(F.desc("_place"), F.desc(time), F.desc(tie))
-    numbered = reduce(DataFrame.unionAll, [p.select(*parts[0].columns) for p in parts]).withColumn("_back", F.row_number().over(back))
-    return numbered.where(F.col("_back") < n).select(*events.columns, (1 - F.col("_back")).cast("long").alias("place"))
+    numbered = every.withColumn("_back", F.row_number().over(back)).where(F.col("_back") < n)
+    return numbered.select(*names, (1 - F.col("_back")).cast("long").alias("place"))
 
 
 def last_n_counts_stream(events: DataFrame, n: int = fixed.BUFFER_EVENTS, idle_days: int | None = None) -> DataFrame:
@@ -191,23 +197,28 @@ def sessions_of_table(events: DataFrame, gap: str = "30 minutes", key: str = "cu
     names = ["events", *COUNTED]
     wide = F.expr(f"interval {gap}")
     moments = events.where(F.col("ts").isNotNull()).groupBy(key, "ts").agg(F.count(F.lit(1)).alias("events"), *_counts())
-    hot_keys = moments.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    marked = join_salted(moments, hot_keys.select(key, F.lit(True).alias("_hot")), [key], ["ts"])
-    plain = marked.where(F.col("_hot").isNull()).withColumn(SLICE, F.lit(0))
-    hot = add_slice(marked.where(F.col("_hot")), "ts", default_parts(events))
+    hot_keys = _hot_keys(moments, hot_rows, key)
+    if hot_keys is None:
+        cut = moments.withColumns({"_hot": F.lit(None).cast("boolean"), SLICE: F.lit(0)})
+    else:
+        marked = join_salted(moments, hot_keys, [key], ["ts"])
+        hot = add_slice(marked.where(F.col("_hot")), "ts", default_parts(events))
+        cut = marked.where(F.col("_hot").isNull()).withColumn(SLICE, F.lit(0)).unionByName(hot)
     inside = Window.partitionBy(key, SLICE).orderBy("ts")
     starts = F.when(F.col("ts") < F.lag("ts").over(inside) + wide, 0).otherwise(1)
-    numbered = plain.unionByName(hot).withColumn("_starts", starts).withColumn("_stretch", F.sum("_starts").over(inside))
+    numbered = cut.withColumn("_starts", starts).withColumn("_stretch", F.sum("_starts").over(inside))
     stretches = numbered.groupBy(key, SLICE, "_stretch").agg(
         F.first("_hot").alias("_hot"), F.min("ts").alias("first"), F.max("ts").alias("last"), *[F.sum(c).alias(c) for c in names]
     )
+    shown = [key, F.col("first").alias("window_start"), (F.col("last") + wide).alias("window_end"), *names]
+    if hot_keys is None:
+        return stretches.select(*shown)
     edge = F.col("_hot").isNotNull() & ((F.col("_stretch") == 1) | (F.col("_stretch") == F.max("_stretch").over(Window.partitionBy(key, SLICE))))
     told = stretches.withColumn("_edge", edge)
     along = Window.partitionBy(key).orderBy("first")
     joins_up = F.when(F.col("first") < F.lag("last").over(along) + wide, 0).otherwise(1)
     edges = told.where("_edge").withColumn("_starts", joins_up).withColumn("_session", F.sum("_starts").over(along))
     joined = edges.groupBy(key, "_session").agg(F.min("first").alias("first"), F.max("last").alias("last"), *[F.sum(c).alias(c) for c in names])
-    shown = [key, F.col("first").alias("window_start"), (F.col("last") + wide).alias("window_end"), *names]
     return told.where(~F.col("_edge")).select(*shown).unionAll(joined.select(*shown))
 
 

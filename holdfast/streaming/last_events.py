@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from holdfast import fixed
 from holdfast.plans.storage import new_path, remove
-from holdfast.streaming.counts import HOT_ROWS, last_n_counts, latest_events
+from holdfast.streaming.counts import HOT_ROWS, counted_events, latest_events, placed
 
 EVENT = ["event_id", "customer_id", "ts", "event_type"]
 
@@ -52,14 +52,14 @@ class LastEvents:
     def take(self, batch: DataFrame, epoch: int) -> None:
         """Count one micro-batch; also what ``foreachBatch`` calls."""
         spark = batch.sparkSession
-        fresh = batch.select(*EVENT).persist()
+        fresh = placed(batch.select(*EVENT), self.hot_rows).persist()
         try:
             before = self.state_before(spark, epoch)
             earlier = None if before is None else before.join(fresh.select("customer_id").distinct(), "customer_id", "left_semi").select(*EVENT, "place")
-            counted = last_n_counts(fresh, self.n, self.hot_rows, earlier=earlier)
+            counted = counted_events(fresh, self.n, self.hot_rows, earlier=earlier)
             rows = counted if self.then is None else self.then(counted)
             rows.write.mode("overwrite").parquet(self.output(epoch))
-            state = latest_events(fresh, earlier, self.n, self.hot_rows)
+            state = latest_events(fresh, self.n, earlier)
             if (epoch + 1) % self.full_every == 0:
                 if before is not None:
                     untouched = before.join(fresh.select("customer_id").distinct(), "customer_id", "left_anti")
