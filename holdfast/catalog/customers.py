@@ -5,16 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from holdfast import fixed
+from holdfast.catalog.fixtures import add_leakage_columns, raw_profile
 from holdfast.catalog.registry import profile_sql, query
 from holdfast.functions import scores
 from holdfast.operators import cleaning, features, leakage, quality, validation, versions
-from holdfast.sources.profile import (
-    add_leakage_columns,
-    base_charge,
-    customer_profile,
-    pays_automatically,
-    raw_profile,
-)
+from holdfast.sources.profile import base_charge, customer_profile, pays_automatically
 
 NUM, CAT = fixed.NUMERICAL, fixed.CATEGORICAL
 LEAK_SQL = """case when churn_label = 1 then '2001-06-01' end as cancellation_processed_date,
@@ -55,30 +50,30 @@ def _profile(spark, folder):
     return customer_profile(spark, folder)
 
 
-CLEAN_COLUMNS = ["customer_id", "gender", "partner", "dependents", "monthly_charges", "total_charges", "tenure_months", "churn_label"]
+CLEAN_COLUMNS = ["customer_id", *CAT, *NUM, *fixed.LEAKAGE, "churn_label"]
+
+
+def typed_sql() -> str:
+    """All columns of the messy table as coercion leaves them."""
+    parts = [
+        f"trim({c}, ' ' || chr(9)) as {c}" if c in CAT else f"cast({c} as double) as {c}" if c in NUM else f"cast({c} as varchar) as {c}" if c in fixed.LEAKAGE else c
+        for c in CLEAN_COLUMNS
+    ]
+    return ", ".join(parts)
 
 
 @query(
     "clean_dedup",
-    profile_sql(
-        messy_sql()
-        + " select customer_id, arrival, partner, churn_label from messy"
-        + " qualify row_number() over (partition by customer_id order by arrival) = 1"
-    ),
+    profile_sql(messy_sql() + f" select {typed_sql()}, arrival from messy qualify row_number() over (partition by customer_id order by arrival) = 1"),
 )
 def _clean_dedup(spark, folder):
-    kept = cleaning.dedup_by_key(raw_profile(spark, folder), order_col="arrival")
-    return kept.select("customer_id", "arrival", "partner", F.col("churn_label").cast("int").alias("churn_label"))
+    """The first copy of every customer, all columns (typed, so that engines write them alike)."""
+    return cleaning.coerce_types(cleaning.dedup_by_key(raw_profile(spark, folder), order_col="arrival"))
 
 
-@query(
-    "clean_rows",
-    profile_sql(messy_sql() + " select distinct customer_id, partner, dependents, monthly_charges, churn_label from messy"),
-)
+@query("clean_rows", profile_sql(messy_sql() + f" select distinct {typed_sql()} from messy"))
 def _clean_rows(spark, folder):
-    keyed = raw_profile(spark, folder).select("customer_id", "partner", "dependents", "monthly_charges", "churn_label")
-    kept = cleaning.dedup_rows(keyed)
-    return kept.withColumns({"monthly_charges": cleaning.coerce_number("monthly_charges"), "churn_label": F.col("churn_label").cast("int")})
+    return cleaning.coerce_types(cleaning.dedup_rows(raw_profile(spark, folder).drop("arrival")))
 
 
 @query(
@@ -86,8 +81,7 @@ def _clean_rows(spark, folder):
     profile_sql(
         messy_sql()
         + ", kept as (select * from messy qualify row_number() over (partition by customer_id order by arrival) = 1)"
-        + " select customer_id, gender, trim(partner, ' ' || chr(9)) as partner, trim(dependents, ' ' || chr(9)) as dependents,"
-        + " monthly_charges, total_charges, cast(tenure_months as double) as tenure_months, churn_label from kept"
+        + f" select {typed_sql()} from kept"
     ),
 )
 def _clean_coerce(spark, folder):
@@ -204,12 +198,13 @@ def _manifest(spark, folder):
     return manifest.withColumns({"churn_rate": F.round("churn_rate", 9), **{c: F.array_join(c, ",") for c in lists}})
 
 
-HASHED = ["customer_id", "gender", "contract_type", "tenure_months", "monthly_charges", "total_charges", "churn_label"]
+HASHED = ["customer_id", *CAT, *NUM, "churn_label", "churn_probability"]
+FRACTIONS = ["monthly_charges", "total_charges", "avg_monthly_gb_download", "app_usage_hours", "feature_usage_score", "change_in_usage_pct", "churn_probability"]
 
 
 def _hash_sql() -> str:
     def text(c: str) -> str:
-        v = f"cast({f'cast({c} as decimal(38,10))' if c.endswith('charges') else c} as varchar)"
+        v = f"cast({f'cast({c} as decimal(38,10))' if c in FRACTIONS else c} as varchar)"
         return f"coalesce(length({v}) || ':' || {v}, '-')"
 
     row = " || '|' || ".join(text(c) for c in HASHED)
@@ -251,50 +246,63 @@ def _semantics(spark, folder):
     return leakage.leakage_semantics(add_leakage_columns(customer_profile(spark, folder)))
 
 
+#: What each field of a request is in the profile (empty: absent), with every seventh or so null, wrong or out of bounds.
+REQUEST_SQL = {
+    "gender": "gender", "partner": "case when customer_id % 23 = 0 then 'maybe' else partner end", "dependents": "dependents",
+    "phone_service": "case customer_id % 3 when 0 then 'Yes' when 1 then 'No' end", "multiple_lines": "case when customer_id % 29 = 0 then 'Many' end",
+    "internet_service": "case customer_id % 4 when 0 then 'DSL' when 1 then 'Fibre' end", "online_security": "partner", "online_backup": "dependents",
+    "device_protection": "case when customer_id % 31 = 0 then 'yes' else 'Yes' end", "tech_support": "case when customer_id % 5 = 0 then 'No internet service' end",
+    "streaming_tv": "partner", "streaming_movies": "case when customer_id % 37 = 0 then '' else 'No' end", "contract_type": "case when customer_id % 41 <> 0 then contract_type end",
+    "paperless_billing": "auto_pay_enabled", "payment_method": "case when payment_method in ('Credit card', 'Bank transfer') then payment_method || ' (automatic)' else payment_method end",
+    "plan_tier": "case when customer_id % 17 = 0 then 'Gold' else plan_tier end", "geography": "case when customer_id % 2 = 0 then 'Europe' else geography end",
+    "competitor_offer_viewed": "competitor_offer_viewed", "price_increase_applied_30d": "price_increase_applied_30d",
+    "senior_citizen": "cast(customer_id % 3 as int)", "tenure_months": "case when customer_id % 43 = 0 then tenure_months + 100 else tenure_months end",
+    "monthly_charges": "case when customer_id % 13 = 0 then -monthly_charges else monthly_charges end", "total_charges": "total_charges",
+    "support_tickets_30d": "case when customer_id % 47 = 0 then support_tickets_30d + 51 else support_tickets_30d end",
+    "resolution_satisfaction_score": "case when customer_id % 53 = 0 then 0.5e0 when customer_id % 59 = 0 then 6e0 else cast(resolution_satisfaction_score as double) end",
+    "app_logins_30d": "case when customer_id % 61 = 0 then -1 when customer_id % 67 = 0 then 501 else login_frequency_30d end",
+    "payment_failures_90d": "case when customer_id % 19 <> 0 then payment_failures_90d end",
+    "change_in_usage_pct": "case when customer_id % 71 = 0 then -1.5e0 else least(change_in_usage_pct, 5.5e0) end",
+}
+
+
 def requests(spark, folder):
-    """The profile in request form, some requests invalid."""
-    key = F.col("customer_id")
-    return customer_profile(spark, folder).select(
-        "customer_id", "gender", "partner", "dependents", "tenure_months", "contract_type", "total_charges",
-        "support_tickets_30d", "competitor_offer_viewed", "price_increase_applied_30d",
-        F.when(key % 13 == 0, -F.col("monthly_charges")).otherwise(F.col("monthly_charges")).alias("monthly_charges"),
-        F.when(key % 17 == 0, "Gold").otherwise(F.col("plan_tier")).alias("plan_tier"),
-        F.when(key % 19 == 0, F.lit(None)).otherwise(F.col("payment_failures_90d")).alias("payment_failures_90d"),
-        F.col("resolution_satisfaction_score").cast("double").alias("resolution_satisfaction_score"),
-        F.least("change_in_usage_pct", F.lit(5.0)).alias("change_in_usage_pct"),
+    """The profile in request form, all 28 fields, each rule broken by some."""
+    profile = customer_profile(spark, folder)
+    return profile.select("customer_id", *[F.expr(e.replace("e0 ", "D ").replace("e0)", "D)")).alias(n) for n, e in REQUEST_SQL.items()])
+
+
+def _request_sql() -> str:
+    """The requests with defaults filled, and the reasons against each."""
+    fields = ", ".join(f"{e} as {n}" for n, e in REQUEST_SQL.items())
+
+    def literal(v) -> str:
+        return f"'{v}'" if isinstance(v, str) else f"{v}e0" if isinstance(v, float) else str(v)
+
+    defaults = {n: d for n, (_, d) in fixed.REQUEST_CHOICES.items()} | {n: d for n, (_, _, d) in fixed.REQUEST_BOUNDS.items()}
+    filled = ", ".join(f"coalesce({n}, {literal(d)}) as {n}" for n, d in defaults.items())
+    checks = [
+        f"case when {n} not in ({', '.join(literal(a) for a in allowed)}) then '{n}: not one of {', '.join(allowed)}' end" for n, (allowed, _) in fixed.REQUEST_CHOICES.items()
+    ]
+    for n, (low, high, _) in fixed.REQUEST_BOUNDS.items():
+        checks += [f"case when {n} < {literal(low)} then '{n}: below {low}' end", f"case when {n} > {literal(high)} then '{n}: above {high}' end"]
+    return (
+        f", q as (select customer_id, {fields} from profile), f as (select customer_id, {filled} from q)"
+        f", k as (select *, concat_ws('; ', {', '.join(checks)}) as reasons from f)"
     )
 
 
-@query(
-    "request_validation",
-    profile_sql(
-        "select customer_id, case when customer_id % 13 = 0 then -monthly_charges else monthly_charges end as monthly_charges,"
-        " case when customer_id % 19 = 0 then 1 else payment_failures_90d end as payment_failures_90d, 8 as app_logins_30d,"
-        " concat_ws('; ', case when customer_id % 17 = 0 then 'plan_tier: not one of Basic, Standard, Premium, Enterprise' end,"
-        " case when customer_id % 13 = 0 and monthly_charges > 0 then 'monthly_charges: below 0.0' end,"
-        " case when monthly_charges > 1000 and customer_id % 13 <> 0 then 'monthly_charges: above 1000.0' end,"
-        " case when total_charges > 100000 then 'total_charges: above 100000.0' end,"
-        " case when support_tickets_30d > 50 then 'support_tickets_30d: above 50' end,"
-        " case when customer_id % 19 <> 0 and payment_failures_90d > 20 then 'payment_failures_90d: above 20' end,"
-        " case when change_in_usage_pct < -1 then 'change_in_usage_pct: below -1.0' end) as reasons from profile"
-    ),
-)
+REQUEST_FIELDS = [*fixed.REQUEST_CHOICES, *fixed.REQUEST_BOUNDS]
+
+
+@query("request_validation", profile_sql(_request_sql() + f" select customer_id, {', '.join(REQUEST_FIELDS)}, reasons from k"))
 def _requests(spark, folder):
     checked = validation.validate_requests(requests(spark, folder))
-    return checked.select(
-        "customer_id", "monthly_charges", "payment_failures_90d", "app_logins_30d", F.array_join("reasons", "; ").alias("reasons")
-    )
+    return checked.select("customer_id", *REQUEST_FIELDS, F.array_join("reasons", "; ").alias("reasons"))
 
 
-@query(
-    "request_outcomes",
-    profile_sql(
-        ", r as (select concat_ws('; ', case when customer_id % 17 = 0 then 'plan_tier' end,"
-        " case when customer_id % 13 = 0 and monthly_charges > 0 then 'monthly_charges' end,"
-        " case when total_charges > 100000 then 'total_charges' end) as bad from profile)"
-        " select case when bad = '' then 'valid' else 'rejected' end as outcome, count(*) as n from r group by 1"
-    ),
-)
+@query("request_outcomes", profile_sql(
+    _request_sql() + " select case when reasons = '' then 'valid' else 'rejected' end as outcome, count(*) as n from k group by 1"))
 def _outcomes(spark, folder):
     checked = validation.validate_requests(requests(spark, folder))
     good = validation.valid_requests(checked).agg(F.lit("valid").alias("outcome"), F.count(F.lit(1)).alias("n"))

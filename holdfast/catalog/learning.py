@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from holdfast import fixed
 from holdfast.catalog.customers import even, feature_sql, unpivot_sql
 from holdfast.catalog.registry import profile_sql, query
-from holdfast.catalog.reports import HEURISTIC
+from holdfast.catalog.reports import HEURISTIC, action_sql, tier_sql
 from holdfast.functions import scores
 from holdfast.operators import bayes, explain, features, neighbours, prep, registry, splits
 from holdfast.sources.profile import customer_profile
@@ -44,20 +44,19 @@ def _folds(spark, folder):
     return splits.stratified_folds(customer_profile(spark, folder).select("customer_id", "churn_label"))
 
 
-GAPS = (
-    ", g as (select * replace (case when customer_id % 9 = 0 then null else monthly_charges end as monthly_charges,"
-    " case when customer_id % 8 = 0 then null else contract_type end as contract_type) from profile)"
-)
+def _gap(place: int) -> int:
+    """Every how many customers the column at this place lacks a value."""
+    return 7 + place % 11
+
+
+GAPS = ", g as (select customer_id, " + ", ".join(f"case when (customer_id + {i}) % {_gap(i)} <> 0 then {c} end as {c}" for i, c in enumerate([*NUM, *CAT])) + " from profile)"
 
 
 def with_gaps(spark, folder):
+    """The profile with missing cells in every column."""
     key = F.col("customer_id")
-    return customer_profile(spark, folder).withColumns(
-        {
-            "monthly_charges": F.when(key % 9 != 0, F.col("monthly_charges")),
-            "contract_type": F.when(key % 8 != 0, F.col("contract_type")),
-        }
-    )
+    gaps = {c: F.when((key + i) % _gap(i) != 0, F.col(c)) for i, c in enumerate([*NUM, *CAT])}
+    return customer_profile(spark, folder).withColumns(gaps)
 
 
 @query("impute_params", profile_sql(
@@ -70,17 +69,19 @@ def _impute(spark, folder):
 
 
 @query("impute_apply", profile_sql(
-    GAPS + ", m as (select quantile_cont(monthly_charges, 0.5) as mc from g), t as (select contract_type, count(*) as k from g"
-    " where contract_type is not null group by 1), b as (select contract_type as ct from t order by k desc, contract_type limit 1)"
-    " select customer_id, round(coalesce(monthly_charges, mc), 6) as monthly_charges, coalesce(contract_type, ct) as contract_type from g, m, b"))
+    GAPS + ", m as (select " + ", ".join(f"quantile_cont({c}::double, 0.5) as m_{c}" for c in NUM) + " from g)"
+    + f", t as ({unpivot_sql('g', CAT, 'varchar')}), c as (select feature, value, count(*) as k from t where value is not null group by all)"
+    + ", b as (select feature, arg_min(value, row(-k, value)) as mode from c group by feature)"
+    + ", w as (select " + ", ".join(f"max(mode) filter (feature = '{c}') as b_{c}" for c in CAT) + " from b)"
+    + " select customer_id, " + ", ".join(f"round(coalesce({c}::double, m_{c}), 6) as {c}" for c in NUM) + ", "
+    + ", ".join(f"coalesce({c}, b_{c}) as {c}" for c in CAT) + " from g, m, w"))
 def _impute_apply(spark, folder):
-    gaps = with_gaps(spark, folder).select("customer_id", "monthly_charges", "contract_type")
-    params = prep.fit_impute(gaps, ["monthly_charges"], ["contract_type"])
-    filled = prep.apply_impute(gaps, params, ["monthly_charges"], ["contract_type"])
-    return filled.withColumn("monthly_charges", F.round("monthly_charges", 6))
+    gaps = with_gaps(spark, folder).select("customer_id", *NUM, *CAT)
+    filled = prep.apply_impute(gaps, prep.fit_impute(gaps))
+    return filled.withColumns({c: F.round(c, 6) for c in NUM})
 
 
-SCALED = ["monthly_charges", "total_charges", "tenure_months", "late_payments_12m", "complaints_opened"]
+SCALED = NUM
 
 
 def _scale_sql(center: str, scale: str) -> str:
@@ -241,12 +242,12 @@ CONTRIBUTIONS = (
     ", z as (select customer_id, " + ", ".join(f"{e} as t_{n}" for n, e in TERMS_SQL.items()) + " from profile)"
     ", mu as (select " + ", ".join(f"avg(t_{n}) as m_{n}" for n in TERMS_SQL) + " from z)"
     ", co as (" + " union all ".join(
-        f"select customer_id, '{n}' as feature, round({w}e0 * (t_{n} - m_{n}), 6) as impact from z, mu" for n, w in fixed.LOG_ODDS.items()) + ")"
+        f"select customer_id, {i} as pos, '{n}' as feature, t_{n}::double as value, round({w}e0 * (t_{n} - m_{n}), 6) as impact from z, mu" for i, (n, w) in enumerate(fixed.LOG_ODDS.items())) + ")"
 )
 
 
 @query("explain_linear", profile_sql(
-    CONTRIBUTIONS + ", o as (select *, row_number() over (partition by customer_id order by abs(impact) desc, feature) as n from co qualify n <= 4)"
+    CONTRIBUTIONS + ", o as (select *, row_number() over (partition by customer_id order by abs(impact) desc, pos) as n from co qualify n <= 4)"
     " select customer_id, string_agg(feature, ',' order by n) as drivers, max(case when n = 1 then impact end) as first_impact,"
     f" 'Primary churn drivers: ' || string_agg(case when n <= 3 then {reason_sql('feature', 'impact')} end, '; ' order by n) || '.' as summary_narrative"
     " from o group by customer_id"))
@@ -298,17 +299,30 @@ def _pdp_grid(spark, folder):
     ]).alias("a")).select(F.inline("a"))
 
 
+REASON = reason_sql("feature", "impact")
+
+
 @query("customer_explanation", profile_sql(
-    CONTRIBUTIONS + ", w as (select customer_id as id from profile order by churn_probability desc, customer_id limit 1)"
-    ", o as (select co.*, row_number() over (order by abs(impact) desc, feature) as n from co, w where customer_id = id)"
-    f" select n as place, feature, impact as impact_score, {reason_sql('feature', 'impact')} as business_reason from o where n <= 4"))
+    CONTRIBUTIONS + ", o as (select *, row_number() over (partition by customer_id order by abs(impact) desc, pos) as n from co qualify n <= 4)"
+    ", e as (select customer_id, string_agg(feature || ' ' || printf('%.6f', value) || ' ' || printf('%.6f', impact) || ' ' || " + REASON + ", '; ' order by n) as top_drivers,"
+    f" string_agg(case when n <= 3 then {REASON} end, '; ' order by n) as reasons from o group by customer_id)"
+    f" select customer_id, {even('churn_probability', 4)} as churn_probability, {tier_sql('churn_probability')} as risk_level,"
+    f" {action_sql(tier_sql('churn_probability'))} as recommended_retention_action,"
+    " 'Primary churn drivers for customer ' || customer_id || ': ' || reasons || '.' as summary_narrative, top_drivers"
+    " from e join profile using (customer_id)"))
 def _customer_explanation(spark, folder):
-    profile = customer_profile(spark, folder)
-    worst = profile.orderBy(F.desc("churn_probability"), "customer_id").select("customer_id").limit(1).scalar()
-    explained = explain.explain_customer(explain.explain_linear(profile, fixed.LOG_ODDS, scores.log_odds_terms(), digits=6), worst)
-    return explained.select(F.posexplode("top_drivers").alias("place", "d")).select(
-        (F.col("place") + 1).cast("bigint").alias("place"), "d.feature", "d.impact_score", "d.business_reason"
-    )
+    """The explanation record of every customer."""
+    explained = explain.explain_linear(customer_profile(spark, folder), fixed.LOG_ODDS, scores.log_odds_terms(), digits=6)
+    told = F.transform("top_drivers", lambda d: F.format_string("%s %.6f %.6f %s", d["feature"], d["value"], d["impact_score"], d["business_reason"]))
+    return explain.explanation_record(explained).withColumn("top_drivers", F.array_join(told, "; "))
+
+
+@query("first_ids", profile_sql(" select customer_id from profile order by customer_id limit 50"))
+def _first_ids(spark, folder):
+    """The first fifty customers, as a picker shows them."""
+    from holdfast.operators.scoring import first_ids
+
+    return first_ids(customer_profile(spark, folder))
 
 
 # ---- registry logs, one per market and region, one action per month ---------------------------------

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -29,13 +31,38 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_SCRATCH: list[list[str]] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives executor loss."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is stored inside the block goes when it ends; what is to stay has to be written elsewhere by then."""
+    paths: list[str] = []
+    _SCRATCH.append(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        for path in paths:
+            remove(spark, path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`stored` returned and nothing reads any more."""
+    for table in tables:
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()[:1]}:
+            remove(table.sparkSession, folder)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder or file through the file system it is on; nothing happens if it is not there."""
     jvm = spark._jvm

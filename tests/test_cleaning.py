@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from holdfast import fixed
 from holdfast.operators import cleaning, features, leakage, quality, validation, versions
 from holdfast.sources import tables
-from holdfast.sources.profile import add_leakage_columns
+from holdfast.catalog.fixtures import add_leakage_columns
 
 
 def test_duplicates_keep_the_first(spark):

@@ -102,7 +102,7 @@ def test_histogram_edges(spark):
 
 
 def test_drift_of_the_profile(spark, profile):
-    from holdfast.sources.profile import scaled_columns
+    from holdfast.catalog.fixtures import scaled_columns
 
     shifted = scaled_columns(profile, {"support_tickets_30d": 2.5, "monthly_charges": 1.3})
     verdict = drift.drift_verdict(drift.drift_audit(profile, shifted, fixed.NUMERICAL)).first()
