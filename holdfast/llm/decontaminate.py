@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from holdfast.llm.names import free_name
 from holdfast.plans.storage import stored
 
 WINDOW = 10
@@ -136,46 +137,50 @@ def blocks_of(benchmark: DataFrame, block_words: int) -> tuple[DataFrame, int]:
     return items, max(1, -(-n // (2 * block_words)))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document row: doc_id, n_words, hit_words (array of word positions), items (sorted item ids as strings)."""
-    spark = docs.sparkSession
-    items, blocks = blocks_of(benchmark, block_words)
-
-    def scanned(block: int, rows: DataFrame, key: str) -> DataFrame:
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast([tuple(r) for r in part.distinct().toLocalIterator()])
-        kind = rows.schema[key].dataType.simpleString()
-        name = uuid.uuid4().hex
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = index_of(name, shared.value, window)
-            for b in batches:
-                found = list(index.scan(b.column("text").to_pylist()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(key),
-                        pa.array([f[0] for f in found], pa.int64()),
-                        pa.array([f[1] for f in found], pa.list_(pa.int32())),
-                        pa.array([f[2] for f in found], pa.list_(pa.string())),
-                    ],
-                    [key, "n_words", "hit_words", "items"],
-                )
-
-        return rows.select(key, "text").mapInArrow(scan, f"{key} {kind}, n_words bigint, hit_words array<int>, items array<string>")
-
-    if blocks == 1:
-        return scanned(0, docs.select("doc_id", "text"), "doc_id")
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "decontaminate")
-    parts = [scanned(b, rows, "row") for b in range(blocks)]
+def scanned(rows: DataFrame, key: str, items: DataFrame, block: int, blocks: int, window: int) -> DataFrame:
+    """``key`` with what one block of items hits in the text beside it."""
+    part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+    shared = rows.sparkSession.sparkContext.broadcast([tuple(r) for r in part.distinct().toLocalIterator()])
+    kind = rows.schema[key].dataType.simpleString()
+    name = uuid.uuid4().hex
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = index_of(name, shared.value, window)
+        for b in batches:
+            found = list(index.scan(b.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(key),
+                    pa.array([f[0] for f in found], pa.int64()),
+                    pa.array([f[1] for f in found], pa.list_(pa.int32())),
+                    pa.array([f[2] for f in found], pa.list_(pa.string())),
+                ],
+                [key, "n_words", "hit_words", "items"],
+            )
+
+    return rows.select(key, "text").mapInArrow(scan, f"`{key}` {kind}, n_words bigint, hit_words array<int>, items array<string>")
+
+
+def united(rows: DataFrame, key: str, items: DataFrame, blocks: int, window: int) -> DataFrame:
+    """The hits of all blocks of items per ``key``, which numbers the rows."""
+    parts = [scanned(rows, key, items, b, blocks, window) for b in range(blocks)]
     union = parts[0]
     for p in parts[1:]:
         union = union.unionAll(p)
-    united = union.groupBy("row").agg(
+    return union.groupBy(key).agg(
         F.max("n_words").alias("n_words"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    return rows.select("row", "doc_id").join(united, "row").drop("row")
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Per document row: doc_id, n_words, hit_words (array of word positions), items (sorted item ids as strings)."""
+    items, blocks = blocks_of(benchmark, block_words)
+    if blocks == 1:
+        return scanned(docs.select("doc_id", "text"), "doc_id", items, 0, 1, window)
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "decontaminate")
+    return rows.select("row", "doc_id").join(united(rows, "row", items, blocks, window), "row").drop("row")
 
 
 def digest(hits: DataFrame) -> DataFrame:
@@ -204,31 +209,40 @@ def remove_spans(text: str, hit_words: list[int]) -> str:
     return (b"".join(out) + data[at:]).decode("utf-8", "surrogatepass")
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_share: float = 0.0) -> DataFrame:
+def remove_contaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_share: float = 0.0, block_words: int = BLOCK_WORDS
+) -> DataFrame:
     """``docs`` with its own columns: documents with a hit share over ``max_share`` go, of the others the hit spans go.
 
-    The default removes every document with a hit. One pass, without a join: the scan carries the rows along.
+    The default removes every document with a hit. With one block of items (the usual case) the scan carries the rows
+    along, without a join. With more, the hits of all blocks are united first, and each document is judged once on them.
     """
-    items, blocks = blocks_of(benchmark, BLOCK_WORDS)
-    schema = docs.schema
+    items, blocks = blocks_of(benchmark, block_words)
 
-    def cleaner(shared):
+    def cleaned(b: pa.RecordBatch, found: list[tuple[int, list[int]]]) -> pa.RecordBatch:
+        keep = [len(h) <= max_share * n for n, h in found]
+        texts = [remove_spans(t, h) if k and len(h) else t for t, k, (_, h) in zip(b.column("text").to_pylist(), keep, found, strict=True)]
+        at = b.schema.get_field_index("text")
+        return b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type)).filter(pa.array(keep, pa.bool_()))
+
+    if blocks == 1:
+        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.distinct().toLocalIterator()])
         name = uuid.uuid4().hex
 
-        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def scan_and_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = index_of(name, shared.value, window)
             for b in batches:
-                texts = b.column("text").to_pylist()
-                found = list(index.scan(texts))
-                keep = [len(h) <= max_share * n for n, h, _ in found]
-                texts = [remove_spans(t, h.tolist()) if k and len(h) else t for t, k, (_, h, _) in zip(texts, keep, found, strict=True)]
-                at = b.schema.get_field_index("text")
-                yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type)).filter(pa.array(keep, pa.bool_()))
-
-        return clean
-
-    for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in part.distinct().toLocalIterator()])
-        docs = docs.mapInArrow(cleaner(shared), schema)
-    return docs
+                yield cleaned(b, [(n, h.tolist()) for n, h, _ in index.scan(b.column("text").to_pylist())])
+
+        return docs.mapInArrow(scan_and_clean, docs.schema)
+
+    row, n_words, hit_words = (free_name(docs, c) for c in ("_row", "_n_words", "_hit_words"))
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
+    hits = united(rows, row, items, blocks, window).select(row, F.col("n_words").alias(n_words), F.col("hit_words").alias(hit_words))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = list(zip(b.column(n_words).to_pylist(), b.column(hit_words).to_pylist(), strict=True))
+            yield cleaned(b, found).select(docs.columns)
+
+    return rows.join(hits, row).mapInArrow(clean, docs.schema)

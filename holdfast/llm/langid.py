@@ -5,7 +5,7 @@ character n-grams (with word edges), from the longest kept length down: the firs
 of the word's n-grams decides. A document is the sum over its words; the score is the posterior of the best language.
 
 Counts are taken over every training document: each task adds up its words per language in bounded dictionaries, Spark
-adds the tasks up. Every counted word and n-gram stays, in a table. The ``KNOWN_WORDS`` most frequent words go to the
+adds the tasks up, and n-grams are counted from each distinct word once. Every counted word and n-gram stays, in a table. The ``KNOWN_WORDS`` most frequent words go to the
 executors and are summed up where they are read; the distinct other words of the texts are joined to the table, backed
 off to its n-grams if it does not have them, and added to the sums of their texts.
 
@@ -16,7 +16,6 @@ ignored or, in :func:`keep_known`, kept as they are.
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 import uuid
@@ -27,9 +26,12 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from holdfast.llm.names import free_name
+
 LENGTHS = (4, 3, 2, 1)
 KNOWN_WORDS = 120_000
 KNOWN_CELLS = 4_000_000
@@ -48,26 +50,18 @@ def grams(word: str, n: int) -> list[str]:
     return [edged[i : i + n] for i in range(len(edged) - n + 1)]
 
 
-def counted(training: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
-    """Per (kind, entry, lang): n. Kind 0 is a word, another kind the length of an n-gram."""
+def counted_words(training: DataFrame) -> DataFrame:
+    """Per (entry, lang): n. Tasks add up their words in bounded dictionaries; only words are shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
 
         def out() -> pa.RecordBatch:
-            rows = []
-            for lang, seen in found.items():
-                rows += [(0, w, lang, n) for w, n in seen.items()]
-                inner = Counter()
-                for w, n in seen.items():
-                    for k in lengths:
-                        for g in grams(w, k):
-                            inner[k, g] += n
-                rows += [(k, g, lang, n) for (k, g), n in inner.items()]
+            entries = [w for seen in found.values() for w in seen]
+            langs = [lang for lang, seen in found.items() for _ in seen]
+            times = [n for seen in found.values() for n in seen.values()]
             found.clear()
-            kinds = (pa.int32(), pa.string(), pa.string(), pa.int64())
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["kind", "entry", "lang", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(entries, pa.string()), pa.array(langs, pa.string()), pa.array(times, pa.int64())], ["entry", "lang", "n"])
 
         for b in batches:
             for text, lang in zip(b.column("text"), b.column("lang").to_pylist(), strict=True):
@@ -77,78 +71,106 @@ def counted(training: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFram
         yield out()
 
     rows = training.where("lang is not null and text is not null").select("text", "lang")
-    return rows.mapInArrow(count, "kind int, entry string, lang string, n bigint").groupBy("kind", "entry", "lang").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(count, "entry string, lang string, n bigint").groupBy("entry", "lang").agg(F.sum("n").alias("n"))
 
 
-class Model(NamedTuple):
-    """Languages, logs of their totals by kind, log probabilities of frequent words, and the table of all counts."""
+def counted_grams(counts: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """Per (kind, entry, lang): n of the n-grams, from each distinct (word, lang) once: their counts are sums of its count."""
 
-    langs: list[str]
-    base: dict[int, list[float]]
-    known: dict[str, np.ndarray]
-    counts: DataFrame
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, str], Counter] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for (k, lang), seen in found.items():
+                m = len(seen)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k] * m, pa.int32()), pa.array(seen, pa.string()), pa.array([lang] * m, pa.string()), pa.array(seen.values(), pa.int64())], ["kind", "entry", "lang", "n"]
+                )
+            found.clear()
+
+        for b in batches:
+            for word, lang, n in zip(*(b.column(c).to_pylist() for c in ("entry", "lang", "n")), strict=True):
+                for k in lengths:
+                    seen = found.setdefault((k, lang), Counter())
+                    for g in grams(word, k):
+                        seen[g] += n
+            if sum(map(len, found.values())) > TASK_ENTRIES:
+                yield from out()
+        yield from out()
+
+    rows = counts.mapInArrow(cut, "kind int, entry string, lang string, n bigint")
+    return rows.groupBy("kind", "entry", "lang").agg(F.sum("n").alias("n"))
+
+
+class Known(NamedTuple):
+    """The most frequent words and their rows of logs by language."""
 
+    words: pa.Array
+    logs: np.ndarray
 
-def logs_of(langs: list[str], base: list[float], by: dict[str, int]) -> np.ndarray:
-    return np.array([math.log(by.get(x, 0) + 0.5) - b for x, b in zip(langs, base, strict=True)])
+
+class Model(NamedTuple):
+    """Languages, the words that go to all executors, and the table of all entries: kind, entry, logs by language.
+
+    Kind 0 is a word, another kind the length of an n-gram.
+    """
+
+    langs: list[str]
+    lengths: tuple[int, ...]
+    known: Known
+    entries: DataFrame | None
 
 
 def fit(training: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> Model:
-    """What comes to the driver: totals, and the words that go to all executors."""
+    """What comes to the driver: totals, and the words that go to all executors, packed in one matrix."""
     from holdfast.plans.storage import stored
 
-    by = F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")
-    counts = stored(counted(training, lengths).groupBy("kind", "entry").agg(F.sum("n").alias("all"), by), "language-counts")
-    parts = counts.select("kind", F.explode("by").alias("lang", "n"))
-    totals = {(r["kind"], r["lang"]): r["n"] + r["types"] for r in parts.groupBy("kind", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()}
+    own = stored(counted_words(training), "language-words")
+    counts = own.select(F.lit(0).alias("kind"), "entry", "lang", "n").unionAll(stored(counted_grams(own, lengths), "language-grams"))
+    totals = {(r["kind"], r["lang"]): r["n"] + r["types"] for r in counts.groupBy("kind", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()}
     langs = sorted({lang for _, lang in totals})
+    if not langs:
+        return Model([], lengths, Known(pa.array([], pa.string()), np.zeros((0, 0))), None)
     base = {kind: [math.log(totals.get((kind, x), 0) + 1) for x in langs] for kind in (0, *lengths)}
-    top = counts.where("kind = 0").orderBy(F.desc("all"), "entry").limit(min(KNOWN_WORDS, KNOWN_CELLS // max(1, len(langs)))).select("entry", "by").collect()
-    return Model(langs, base, {r["entry"]: logs_of(langs, base[0], r["by"]) for r in top}, counts)
+    by = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(langs)]
+    less = F.create_map(*[x for kind, logs in base.items() for x in (F.lit(kind), F.array(*map(F.lit, logs)))])
+    logs = F.zip_with(F.array(*[F.log(F.col(f"n{i}") + F.lit(0.5)) for i in range(len(langs))]), less[F.col("kind")], lambda a, b: a - b)
+    every = F.lit(0)
+    for i in range(len(langs)):
+        every = every + F.col(f"n{i}")
+    entries = stored(counts.groupBy("kind", "entry").agg(*by).select("kind", "entry", every.alias("all"), logs.alias("logs")), "language-entries")
+    most = min(KNOWN_WORDS, KNOWN_CELLS // len(langs))
+    top = entries.where("kind = 0").orderBy(F.desc("all"), "entry").limit(most).select("entry", "logs").toArrow().combine_chunks()
+    matrix = top.column("logs").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(langs))
+    return Model(langs, lengths, Known(top.column("entry").combine_chunks(), matrix), entries)
 
 
 def resolved(model: Model, distinct: DataFrame) -> DataFrame:
     """word, logs: of each word by its own counts, or the mean over its known n-grams of the longest length it has."""
     from holdfast.plans.storage import stored
 
-    langs, base = model.langs, model.base
-    lengths = tuple(k for k in base if k)
-
-    def cut(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(w, g, n) for w in b.column("word").to_pylist() for g, n in Counter(grams(w, k)).items()]
-            columns = list(zip(*rows, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["word", "entry", "times"])
-
-    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for kind, parts in zip(b.column("kind").to_pylist(), b.column("parts").to_pylist(), strict=True):
-                total = sum(x["times"] * logs_of(langs, base[kind], dict(x["by"])) for x in parts)
-                out.append((total / sum(x["times"] for x in parts)).tolist())
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(out, pa.list_(pa.float64()))], ["word", "logs"])
-
-    own = model.counts.where("kind = 0").select(F.col("entry").alias("word"), "by")
-    looked_up = stored(distinct.join(own, "word", "left"), "language-words")
-    seen = looked_up.where("by is not null").select("word", F.lit(0).alias("kind"), F.array(F.struct(F.lit(1).cast("bigint").alias("times"), "by")).alias("parts"))
-    logs, unseen = stored(seen.mapInArrow(mean, "word string, logs array<double>"), "language-logs"), looked_up.where("by is null").select("word")
-    for k in lengths:  # the longest first; only words without a known n-gram of it go on
-        pieces = unseen.mapInArrow(functools.partial(cut, k), "word string, entry string, times bigint")
-        found = pieces.join(model.counts.where(F.col("kind") == k).select("entry", "by"), "entry")
-        lists = found.groupBy("word").agg(F.lit(k).alias("kind"), F.collect_list(F.struct("times", "by")).alias("parts"))
-        own = stored(lists.mapInArrow(mean, "word string, logs array<double>"), "language-logs")
+    own = model.entries.where("kind = 0").select(F.col("entry").alias("word"), "logs")
+    looked_up = stored(distinct.join(own, "word", "left"), "language-found")
+    logs, unseen = looked_up.where("logs is not null"), looked_up.where("logs is null").select("word")
+    edged = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
+    for k in model.lengths:  # the longest first; only words without a known n-gram of it go on
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.char_length(edged) - (k - 1), F.lit(1))), lambda i: i + (k - 1) <= F.char_length(edged))
+        pieces = unseen.select("word", F.explode(F.transform(places, lambda i: F.substring(edged, i, F.lit(k)))).alias("entry"))
+        found = pieces.join(model.entries.where(F.col("kind") == k).select("entry", "logs"), "entry")
+        means = F.array(*[F.avg(F.col("logs")[i]) for i in range(len(model.langs))])
+        own = stored(found.groupBy("word").agg(means.alias("logs")), "language-backed-off")
         logs, unseen = logs.unionByName(own), unseen.join(own.select("word"), "word", "left_anti")
     return logs
 
 
-_KNOWN: dict[str, dict[str, np.ndarray]] = {}
+_KNOWN: dict[str, dict[str, int]] = {}
 
 
-def known_of(key: str, known: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Kept once in each Python worker; only the last one."""
+def known_of(key: str, known: Known) -> dict[str, int]:
+    """The row of each known word; made once in each Python worker, only the last one is kept."""
     if key not in _KNOWN:
         _KNOWN.clear()
-        _KNOWN[key] = known
+        _KNOWN[key] = {w: i for i, w in enumerate(known.words.to_pylist())}
     return _KNOWN[key]
 
 
@@ -162,7 +184,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         return docs.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, row = known_of(key, sent.value), TaskContext.get().partitionId() << 40
+        known, logs, row = known_of(key, sent.value), sent.value.logs, TaskContext.get().partitionId() << 40
         names = ["row", "doc_id", "letters", "sums", "word", "times"]
         for b in batches:
             letters, sums, left = [], [], []
@@ -171,7 +193,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 letters.append(any(c.isalpha() for w in counts for c in w))
                 pairs = [(known.get(w), n) for w, n in counts.items()]
                 rows = [x for x, _ in pairs if x is not None]
-                sums.append((np.array([n for x, n in pairs if x is not None], float) @ np.array(rows)).tolist() if rows else [0.0] * size)
+                sums.append((np.array([n for x, n in pairs if x is not None], float) @ logs[rows]).tolist() if rows else [0.0] * size)
                 if len(rows) < len(pairs):
                     left += [(row + k, w, n) for (w, n), (x, _) in zip(counts.items(), pairs, strict=True) if x is None]
             n = b.num_rows
@@ -197,11 +219,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """Rows of ``docs``, with their own columns, whose language is told with a score of ``least`` or more."""
+    """Rows of ``docs``, with their own columns, whose language is told with a score of ``least`` or more.
+
+    Rows of files are known by file and place in it. Rows that come from anything else are numbered in a copy.
+    """
     from holdfast.plans.storage import stored
 
-    at = "_language_row"
-    numbered = stored(docs.withColumn(at, F.monotonically_increasing_id()), "language-rows")
+    at = free_name(docs, "_language_row")
+    try:
+        numbered = docs.withColumn(at, F.struct("_metadata.file_path", "_metadata.row_index"))
+    except AnalysisException:
+        numbered = stored(docs.withColumn(at, F.monotonically_increasing_id()), "language-rows")
     told = predict(numbered.select(F.col(at).alias("doc_id"), "text"), model)
     good = told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(F.col("doc_id").alias(at))
     return numbered.join(good, at, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
