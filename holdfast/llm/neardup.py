@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdfast.plans.storage import stored
+from holdfast.plans.storage import discard, stored
 
 BASE, RATE, LIMIT = 1.001, 20.0, 65_535
 BANDS, ROWS = 36, 5
@@ -126,6 +126,12 @@ def bands(r: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(r[k * ROWS : (k + 1) * ROWS].tobytes(), seed=k) - 2**63 for k in range(BANDS)]
 
 
+def merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join whose sides both grow with the documents: sorted on both sides at any size, so no side is ever broadcast and
+    a small table shows the plan of a large one."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def sketched(docs: DataFrame, shingle: int) -> DataFrame:
     """Per row: doc_id, n_shingles, digest of the set, registers."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -177,7 +183,7 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, thres
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b) the linked ones, on full sets."""
+    """Of distinct pairs (a, b) the linked ones, on full sets, written."""
     kind = classes.schema["node"].dataType.simpleString()
     side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
 
@@ -188,9 +194,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int
                 n_a, n_b = (b.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
                 yield b.select(["a", "b"]).filter(pa.array(likely(r_a, r_b, n_a, n_b, percent / 100)))
 
-    close = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(estimate, f"a {kind}, b {kind}"), "close-pairs")
+    close = stored(merged(merged(pairs, side("a"), "a"), side("b"), "b").mapInArrow(estimate, f"a {kind}, b {kind}"), "close-pairs")
     needed = close.select(F.col("a").alias("node")).unionAll(close.select(F.col("b").alias("node"))).distinct()
-    texts = stored(docs.select(F.col("doc_id").alias("node"), "text").join(needed, "node", "left_semi"), "close-texts")
+    texts = stored(merged(docs.select(F.col("doc_id").alias("node"), "text"), needed, "node", "left_semi"), "close-texts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, first = None, set()
@@ -206,11 +212,15 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-    return close.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, f"a {kind}, b {kind}").distinct()
+    links = merged(merged(close, text("b"), "b"), text("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(compare, f"a {kind}, b {kind}").distinct()
+    result = stored(links, "links")
+    discard(close, texts)
+    return result
 
 
-def overlapping(open_: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs of open nodes that may be linked by their rarest shingles; exact, without the pairs of a bucket.
+def overlapping(open_: DataFrame, docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs of open nodes that may be linked by their rarest shingles; exact, without the pairs of a bucket. And the
+    tables that can go when the pairs are written.
 
     Shingles of a set are ordered by how many open sets have them. If two sets are similar enough, their first common
     shingle in that order leaves room for the common part they need; so only the rare end of each set is joined, and
@@ -218,43 +228,46 @@ def overlapping(open_: DataFrame, docs: DataFrame, shingle: int, percent: int) -
     """
     nodes = open_.select("node", "n", "component").distinct()
     kinds = f"node {nodes.schema['node'].dataType.simpleString()}, n bigint, component {nodes.schema['component'].dataType.simpleString()}"
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node")
+    texts = merged(docs.select(F.col("doc_id").alias("node"), "text"), nodes, "node")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [hashes(t.as_py(), shingle).view(np.int64) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), b.column("component"), pa.array(found, pa.list_(pa.int64()))], ["node", "n", "component", "tokens"])
 
-    tokens = stored(texts.select("node", "n", "component", "text").mapInArrow(split, f"{kinds}, tokens array<bigint>").distinct(), "open-sets")
-    tokens = tokens.select("node", "n", "component", F.explode("tokens").alias("token"))
+    sets = stored(texts.select("node", "n", "component", "text").mapInArrow(split, f"{kinds}, tokens array<bigint>").distinct(), "open-sets")
+    tokens = sets.select("node", "n", "component", F.explode("tokens").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("sets")).where("sets > 1")
     own = Window.partitionBy("node")
     place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("sets", "token")) - 1
-    rare = tokens.join(often, "token").select("token", "node", "n", "component", (F.col("n") - place).alias("room")).where(F.lit(100) * F.col("room") >= F.lit(percent) * F.col("n"))
+    rare = merged(tokens, often, "token").select("token", "node", "n", "component", (F.col("n") - place).alias("room")).where(F.lit(100) * F.col("room") >= F.lit(percent) * F.col("n"))
     rare = stored(rare, "rare")
     other = rare.select("token", F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("component").alias("c_other"), F.col("room").alias("room_other"))
     enough = F.lit(100 + percent) * F.least("room", "room_other") >= F.lit(percent) * (F.col("n") + F.col("n_other"))
-    return rare.join(other, "token").where("node < other and component <> c_other").where(enough).drop("token", "room", "room_other")
+    found = merged(rare, other, "token").where("node < other and component <> c_other").where(enough).drop("token", "room", "room_other")
+    return found, [sets, rare]
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node with a link: the smallest node it reaches, by labels and jumps along them."""
     edges = stored(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels")
+    written = labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels")
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("new"))
+        near = merged(edges, labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        lower = merged(labels, near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("component").alias("far"))
-        after = stored(lower.join(jump, "new", "left").select("node", "old", F.least("new", F.coalesce("far", "new")).alias("component")), "labels")
-        labels = after.select("node", "component")
+        after = stored(merged(lower, jump, "new", "left").select("node", "old", F.least("new", F.coalesce("far", "new")).alias("component")), "labels")
+        discard(written)
+        written, labels = after, after.select("node", "component")
         if not after.where("component <> old").head(1):
+            discard(edges)
             return labels
 
 
 def labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return rows.withColumn("component", F.col("node"))
-    return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return merged(rows, labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def group(docs: DataFrame, shingle: int = 5, percent: int = 80, rounds: int = 1) -> DataFrame:
@@ -266,39 +279,42 @@ def group(docs: DataFrame, shingle: int = 5, percent: int = 80, rounds: int = 1)
         .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")),
         "classes",
     )
-    members = banded(classes)
-    shared = members.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    members = stored(members.join(shared, "bucket"), "buckets")
-    weight = members.groupBy("node").agg(F.sum("members").alias("weight"))
-    members = stored(members.drop("members").join(weight, "node"), "weighted")
+    every = stored(banded(classes), "bands")
+    shared = every.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    buckets = stored(merged(every, shared, "bucket"), "buckets")
+    discard(every)
+    weight = buckets.groupBy("node").agg(F.sum("members").alias("weight"))
+    members = stored(merged(buckets.drop("members"), weight, "node"), "weighted")
+    discard(buckets)
     links, labels, tested = None, None, None
     for number in range(rounds + 1):
-        own = labelled(members, labels)
+        own, done = labelled(members, labels), []
         apart = own.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("bucket")
-        open_ = stored(own.join(apart, "bucket"), "open") if number else own
+        open_ = stored(merged(own, apart, "bucket"), "open") if number else own
         if number < rounds:
             # the pivot is the member that shares buckets with the most others (what copies were made from does);
             # a later one is such a member outside of the component of the first
             heaviest = F.max(F.struct("weight", "node", "n", "component"))
-            outside = open_ if not number else open_.join(open_.groupBy("bucket").agg(heaviest.alias("p")).select("bucket", F.col("p.component").alias("first")), "bucket").where("component <> first")
+            outside = open_ if not number else merged(open_, open_.groupBy("bucket").agg(heaviest.alias("p")).select("bucket", F.col("p.component").alias("first")), "bucket").where("component <> first")
             pivot = outside.groupBy("bucket").agg(heaviest.alias("p"))
-            found = open_.join(pivot, "bucket").select("node", "n", "component", F.col("p.node").alias("other"), F.col("p.n").alias("n_other"), F.col("p.component").alias("c_other"))
+            found = merged(open_, pivot, "bucket").select("node", "n", "component", F.col("p.node").alias("other"), F.col("p.n").alias("n_other"), F.col("p.component").alias("c_other"))
         else:
-            found = overlapping(open_, docs, shingle, percent)
+            found, done = overlapping(open_, docs, shingle, percent)
         found = found.where("node <> other and component <> c_other").where(possible(percent, "n", "n_other"))
         pairs = found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = merged(pairs, tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
+        discard(*done, *([open_] if number else []))
         if not pairs.head(1):
             if number < rounds:
                 continue
             break
         tested = pairs if tested is None else tested.unionAll(pairs)
-        new = stored(verified(pairs, classes, docs, shingle, percent), "links")
+        new = verified(pairs, classes, docs, shingle, percent)
         links = new if links is None else links.unionAll(new)
         labels = components(links)
-    result = rows.join(labelled(classes.select("digest", "node"), labels).select("digest", "component"), "digest", "left")
+    result = merged(rows.drop("registers"), labelled(classes.select("digest", "node"), labels).select("digest", "component"), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
