@@ -17,17 +17,24 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from holdfast.plans.storage import stored
+
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 THRESHOLD = 0.5
 ROUNDS = 40
-#: The most often that a rule may vote against good texts; the estimates stay at or under it.
-MOST_AGAINST_GOOD = 0.002
+#: What is held of good texts before any is seen: how often a rule that votes votes against them, worth as many votes as
+#: the table has texts. A Beta prior: the estimate moves with the data.
+AGAINST_GOOD, PRIOR_WORTH = 0.002, 1.0
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Ends of sentences in the scripts that have one; a text without any says nothing about its sentences.
 STOPS = ".?!。．？！｡।॥؟۔።፧၊။។៕։᙮༎"
 
+#: ASCII characters that are neither symbol nor stop. A class of ASCII alone is one table in the regular expression
+#: engine; one with characters beyond is tried part by part, so it only gets to see what this leaves.
+PLAIN = r"[\x00-\x20\x22\x27-\x29\x2B-\x2D\x2F-\x3B\x3D\x40-\x7B\x7D-\x7F]+"
+
 #: (name, condition of a vote for, condition of a vote against), over the names of :func:`measured`.
 RULES: list[tuple[str, str, str]] = [
     ("few symbols", "100 * n_symbols <= n_words", "10 * n_symbols > n_words"),
@@ -54,7 +61,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     base = own.select("_row", F.coalesce(F.col("_row.text"), F.lit("")).alias("_text"))
-    split = base.withColumn("_signs", F.regexp_replace("_text", f"[^{SYMBOLS}{STOPS}]+", "")).withColumn("_words", F.filter(F.split("_text", SPACE), lambda w: w != "")).withColumn(
+    split = base.withColumn("_signs", F.regexp_replace(F.regexp_replace("_text", PLAIN, ""), f"[^{SYMBOLS}{STOPS}]+", "")).withColumn("_words", F.filter(F.split("_text", SPACE), lambda w: w != "")).withColumn(
         "_lines", F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     )
     hashed = split.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
@@ -102,7 +109,8 @@ def posteriors(counts: dict[str, int], rounds: int = ROUNDS) -> dict[str, float]
     """Probability of quality for each vote pattern, by expectation-maximisation over pattern counts.
 
     The first guess takes any vote against for a probable sign of a bad text, so that the classes cannot change places;
-    each estimate starts from a count of one for every outcome, so that no probability becomes zero.
+    each estimate starts from a count of one for every outcome, so that no probability becomes zero, and for good texts
+    from the prior besides.
     """
     good = {v: 0.1 if "-" in v else 0.9 for v in counts}
     for _ in range(rounds):
@@ -110,25 +118,26 @@ def posteriors(counts: dict[str, int], rounds: int = ROUNDS) -> dict[str, float]
         share = (1 + sum(counts[v] * good[v] for v in counts)) / (2 + total)
         tables = []
         for k in range(len(next(iter(counts), ""))):
-            own = {(s, side): 1.0 for s in "+-" for side in (0, 1)}
+            worth = PRIOR_WORTH * total
+            own = {("+", 0): 1.0, ("-", 0): 1.0, ("+", 1): 1.0 + (1 - AGAINST_GOOD) * worth, ("-", 1): 1.0 + AGAINST_GOOD * worth}
             for v, n in counts.items():
                 if v[k] != "0":
                     own[v[k], 1] += n * good[v]
                     own[v[k], 0] += n * (1 - good[v])
             sums = [own["+", side] + own["-", side] for side in (0, 1)]
-            against = min(own["-", 1] / sums[1], MOST_AGAINST_GOOD)
-            tables.append({"0": 0.0, "+": math.log((1 - against) * sums[0] / own["+", 0]), "-": math.log(against * sums[0] / own["-", 0])})
+            tables.append({"0": 0.0} | {s: math.log(own[s, 1] / sums[1]) - math.log(own[s, 0] / sums[0]) for s in "+-"})
         prior = math.log(share) - math.log(1 - share)
         good = {v: 1 / (1 + math.exp(-max(-500.0, min(500.0, prior + sum(t[s] for t, s in zip(tables, v, strict=True)))))) for v in counts}
     return good
 
 
-def judged(docs: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:
-    """``_row`` with the measures, base_failed, votes, quality (posterior probability) and kept.
+def judged(measures: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:
+    """``measures`` (from :func:`measured`) with base_failed, votes, quality (posterior probability) and kept.
 
-    Accuracies are estimated on the documents that pass the base, all of them.
+    Accuracies are estimated on the documents that pass the base, all of them. The measures are read twice: store them
+    first where that costs less than measuring again.
     """
-    rows = measured(docs).withColumn("base_failed", base_failed()).withColumn("votes", pattern(rules))
+    rows = measures.withColumn("base_failed", base_failed()).withColumn("votes", pattern(rules))
     counts = {r["votes"]: r["n"] for r in rows.groupBy("base_failed", "votes").agg(F.count("*").alias("n")).collect() if not r["base_failed"]}
     good = posteriors(counts)
     lookup = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for v in sorted(good) for x in (v, good[v])]), F.col("votes")), F.lit(0.0)) if good else F.lit(0.0)
@@ -138,8 +147,11 @@ def judged(docs: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshold
 
 def keep_good(docs: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns."""
-    return judged(docs, rules, threshold).where("kept").select("_row.*")
+    return judged(measured(docs), rules, threshold).where("kept").select("_row.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return judged(docs).select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality", "votes")
+    """Measures and verdict of every text. Measures are a few numbers a text, so they are written once."""
+    measures = measured(docs)
+    slim = stored(measures.select(F.col("_row.doc_id").alias("doc_id"), *measures.columns[1:]), "measures")
+    return judged(slim).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality", "votes")
