@@ -1,11 +1,18 @@
 """Main text of web pages by consensus of the pages of a host.
 
 Every page is read into blocks of text and the elements around them. Its containers are scored by the text that stands
-outside of links and boilerplate; the generalised tag-class path of the best one is the page's vote. Spark adds the
+outside of links and boilerplate; the best one grows to the article around it, and to containers that add headings and
+paragraphs of their own. The generalised tag-class path of what comes out is the page's vote. Spark adds the
 votes up per (host, path), combined in each task first, so a host with a third of all pages is one row per path and
 task. Each page is then extracted again by the first path, in the order of its host's votes, that it has; a page with
 none of them keeps its own best container.
 
+A path counts for a host if ``LEAST_SHARE`` of its votes or more are for it, so a host has at most 1 / LEAST_SHARE paths.
+
+An element is boilerplate by its tag, its role, or a part of its class or id (but ``has-sidebar`` or ``no-comments`` say
+something about another element). One that holds most of the page's text outside of links, with the article or the main
+heading in it, is none: some servers put the whole page into a form.
+
 Blocks are cut at block elements; character references are decoded; white space inside a block becomes one space; a
 line break element is white space.
 
@@ -20,13 +27,14 @@ import functools
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PATHS_PER_HOST = 16
+LEAST_SHARE = 0.01
 BROADCAST_HOSTS = 100_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -58,6 +66,8 @@ NAMES = frozenset(
     "promoted promotion related recommended recommendations reply replies respond search share sharing sidebar signin signup skip social sponsor "
     "sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
+#: First parts of class names that speak of another element.
+MODIFIERS = frozenset("has hide hides is no not show shows with without".split())
 
 
 def step(key: bytes, name: str) -> bytes:
@@ -68,7 +78,7 @@ def step(key: bytes, name: str) -> bytes:
 class Node:
     """An element. Its path is held as a key of fixed size, so that markup of any depth takes linear room."""
 
-    __slots__ = ("boiler", "depth", "inside", "key", "link", "name", "parent", "tag")
+    __slots__ = ("boiler", "depth", "holder", "inside", "key", "link", "name", "own", "parent", "tag")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str):
         self.tag, self.parent = tag, parent
@@ -76,21 +86,32 @@ class Node:
         if attributes and not attributes.isspace():
             own = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
             classes = own.get("class", "").lower()
-            parts = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", own.get("class", "") + " " + own.get("id", "")).lower()))
+            names = re.sub(r"([a-z])([A-Z])", r"\1-\2", own.get("class", "") + " " + own.get("id", "")).lower().split()
+            split = [re.split(r"[^a-z]+", n) for n in names]
+            parts = {x for n in split if n[0] not in MODIFIERS for x in n}
             boiler = boiler or bool(parts & NAMES) and tag not in ("html", "body") or own.get("role", "").lower() in ROLES
         inside = parent is not None and parent.inside
         if tag == "header" and not inside:
             boiler = True
         self.inside = inside or tag in ("article", "main")
+        self.own = boiler
         self.boiler = boiler or (parent is not None and parent.boiler)
         self.link = tag == "a" or (parent is not None and parent.link)
         self.name = ".".join([tag, *sorted(re.sub(r"\d+", "N", classes).replace(">", "-").split())])
         self.key = step(parent.key if parent is not None else b"", self.name)
         self.depth = parent.depth + 1 if parent is not None else 0
+        self.holder: Node = self if parent is None or tag in CONTAINERS else parent.holder
 
     def path(self) -> str:
         return ">".join(reversed([x.name for x in self.line()]))
 
+    def holders(self) -> Iterator[Node]:
+        """The containers it is in, innermost first."""
+        at: Node | None = self.holder
+        while at is not None:
+            yield at
+            at = at.parent.holder if at.parent is not None else None
+
     def line(self) -> Iterator[Node]:
         at: Node | None = self
         while at is not None:
@@ -114,9 +135,14 @@ def blocks(page: str | None) -> list[tuple[str, int, Node]]:
         pieces.clear()
         blank, linked = True, 0
 
+    opened: Counter[str] = Counter()
+
     def close(names: set[str] | frozenset[str], until: frozenset[str]) -> None:
+        if not any(opened[n] for n in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in names:
+                opened.subtract(x.tag for x in stack[k:])
                 del stack[k:]
                 return
             if stack[k].tag in until:
@@ -174,32 +200,82 @@ def blocks(page: str | None) -> list[tuple[str, int, Node]]:
             continue
         if tag not in VOID:
             stack.append(Node(tag, stack[-1], m[3]))
+            opened[tag] += 1
     flush()
-    return out
+    return pardoned(out)
+
+
+def around(owners: Iterator[Node]) -> list[Node]:
+    """The elements and all elements around them, innermost first."""
+    seen: set[Node] = set()
+    for at in owners:
+        while at is not None and at not in seen:
+            seen.add(at)
+            at = at.parent
+    return sorted(seen, key=lambda x: -x.depth)
+
+
+def pardoned(found: list[tuple[str, int, Node]]) -> list[tuple[str, int, Node]]:
+    """The blocks, after boilerplate marks are taken from elements that hold most of the page's text outside of links
+    together with its main heading or an article that is not marked itself."""
+    nodes = around(owner for _, _, owner in found if owner.boiler)
+    if not nodes:
+        return found
+    held: dict[Node, int] = dict.fromkeys(nodes, 0)
+    total = 0
+    for text, linked, owner in found:
+        own = max(0, len(text) - 2 * linked)
+        total += own
+        if owner.boiler:
+            held[owner] += own
+    headed: set[Node] = set()
+    wrong = False
+    for x in nodes:
+        if x.own and x in headed and 2 * held[x] > total:
+            x.own, wrong = False, True
+        if x.parent is not None:
+            held[x.parent] += held[x]
+            if x in headed or x.tag in ("h1", "article", "main") and not x.own:
+                headed.add(x.parent)
+    if wrong:
+        for x in reversed(nodes):
+            x.boiler = x.own or (x.parent is not None and x.parent.boiler)
+    return found
 
 
 def best(found: list[tuple[str, int, Node]]) -> tuple[str, int] | None:
     """Path and text length of the container with the highest score.
 
     Text outside of links counts fully for the nearest container, by half for the next one out, and so on; an article
-    element counts half as much again. Of equals the outer one wins.
+    element counts half as much again. Of equals the outer one wins. Then the container grows: to the article it is in,
+    and to any container around it of whose further text at least half stands in it directly.
     """
     scores: dict[Node, float] = {}
+    direct: dict[Node, int] = {}
     for text, linked, owner in found:
         own = len(text) - 2 * linked
         if owner.boiler or own <= 0:
             continue
-        for at in owner.line():
-            if at.tag in CONTAINERS:
-                scores[at] = scores.get(at, 0.0) + own
-                own /= 2
-                if own < 1:
-                    break
+        direct[owner.holder] = direct.get(owner.holder, 0) + own
+        for at in owner.holders():
+            scores[at] = scores.get(at, 0.0) + own
+            own /= 2
+            if own < 1:
+                break
+    total = dict(direct)
+    for x in around(iter(direct)):
+        if x.parent is not None:
+            total[x.parent] = total.get(x.parent, 0) + total.get(x, 0)
     if not scores:
         return None
     value = lambda x: (scores[x] * (1.5 if x.tag in ("article", "main") else 1.0), -x.depth)
     top = max(scores, key=value)
-    return top.path(), int(scores[top])
+    top = next((x for x in top.line() if x.tag == "article"), top)
+    for at in top.holders():
+        more = total[at] - total[top]
+        if at.tag not in ("#", "html") and 0 < more <= 2 * direct.get(at, 0):
+            top = at
+    return top.path(), total[top]
 
 
 def within(node: Node, key: bytes, known: dict[Node, bool]) -> bool:
@@ -239,8 +315,10 @@ def votes(pages: DataFrame) -> DataFrame:
 
     cast = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(vote, "host string, path string, chars bigint").where("path is not null")
     counted = cast.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
-    order = Window.partitionBy("host").orderBy(F.desc("n"), F.desc("chars"), "path")
-    top = counted.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PATHS_PER_HOST)
+    whole = Window.partitionBy("host")
+    frequent = counted.where(F.col("n") > 0).withColumn("all", F.sum("n").over(whole)).where(F.col("n") >= LEAST_SHARE * F.col("all"))
+    order = whole.orderBy(F.desc("n"), F.desc("chars"), "path")
+    top = frequent.withColumn("place", F.row_number().over(order))
     return top.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "path"))).alias("ranked")).select("host", F.col("ranked.path").alias("paths"))
 
 
