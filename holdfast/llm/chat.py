@@ -1,8 +1,9 @@
 """Chat formatting: a finite-state machine over roles, a declarative template, and loss flags by segment.
 
-A template gives the marks of each role and says which texts count for the loss. Inside texts and roles a code that
-begins with a backslash stands for every backslash and for every sign that the marks are known by, so no text can
-imitate a mark and every text comes back exactly. Segments are (text, loss) pairs; the formatted conversation is their concatenation.
+A template gives the marks of each role and says which texts count for the loss. Each mark is known by a sign of its own:
+its first character that is no letter, digit or backslash and stands in no mark before it. Inside texts and roles a code
+that begins with a backslash stands for every backslash and for every such sign, so no text can imitate a mark and every
+text comes back exactly, whatever the template; one whose marks have no such signs is refused. Segments are (text, loss) pairs; the formatted conversation is their concatenation.
 
 The state machine reads the roles in order of the turns, from "start"; a conversation is well-formed if it always finds
 a transition and ends in an accepting state. Formatting does not depend on that: the flag says it, the caller decides.
@@ -39,20 +40,55 @@ class Template:
     )
     accepting: tuple[str, ...] = ("asked", "answered")
 
+    def __post_init__(self):
+        if self.before.count("{role}") != 1:
+            raise ValueError("before names {role} once")
+        if not sign_of(self.middle, self.head) or not sign_of(self.after, self.head + self.middle):
+            raise ValueError("the marks behind the role and behind the text need a sign that stands in no mark before them")
 
-#: Fixed codes: each sign with what stands for it. A backslash in escaped text always begins a code.
-CODES = (("\\", "\\b"), ("#", "\\h"), ("<", "\\l"), (":", "\\c"))
+    @property
+    def head(self) -> str:
+        return self.before.split("{role}")[0]
 
+    @property
+    def middle(self) -> str:
+        return self.before.split("{role}")[1]
 
-def escape(text: Column, signs: str = "\\#<") -> Column:
-    for sign, code in CODES:
-        if sign in signs:
-            text = F.replace(text, F.lit(sign), F.lit(code))
+    @property
+    def text_signs(self) -> str:
+        """What is escaped in texts."""
+        return "\\" + (sign_of(self.head, "") or "") + sign_of(self.after, self.head + self.middle)
+
+    @property
+    def role_signs(self) -> str:
+        """What is escaped in roles."""
+        return self.text_signs + sign_of(self.middle, self.head)
+
+
+def sign_of(mark: str, before: str) -> str | None:
+    """The character that a mark is known by: visible if there is one."""
+    free = [c for c in mark if not c.isalnum() and c != "\\" and c not in before]
+    return next((c for c in free if not c.isspace()), free[0] if free else None)
+
+
+#: Fixed codes of frequent signs; any other is a backslash, u, and eight hexadecimal digits.
+SHORT = {"\\": "\\b", "#": "\\h", "<": "\\l", ":": "\\c"}
+
+
+def codes(signs: str) -> list[tuple[str, str]]:
+    """Each sign with what stands for it, the backslash first. A backslash in escaped text always begins a code."""
+    ordered = sorted(set(signs), key=lambda c: (c != "\\", c))
+    return [(c, SHORT.get(c, f"\\u{ord(c):08x}")) for c in ordered]
+
+
+def escape(text: Column, signs: str) -> Column:
+    for sign, code in codes(signs):
+        text = F.replace(text, F.lit(sign), F.lit(code))
     return text
 
 
-def unescape(text: Column) -> Column:
-    for sign, code in reversed(CODES):
+def unescape(text: Column, signs: str) -> Column:
+    for sign, code in reversed(codes(signs)):
         text = F.replace(text, F.lit(code), F.lit(sign))
     return text
 
@@ -75,16 +111,15 @@ def format_chats(conversations: DataFrame, template: Template | None = None) ->
     Every turn gives three segments: its opening mark, its escaped text, its closing mark.
     """
     template = template or Template()
-    before, after = template.before.split("{role}"), template.after
 
     def segments(t: Column) -> Column:
-        opening = F.concat(F.lit(before[0]), escape(t["role"], "\\#<:"), F.lit(before[1]))
+        opening = F.concat(F.lit(template.head), escape(t["role"], template.role_signs), F.lit(template.middle))
         loss = t["role"].isin(*template.loss_roles)
         no = F.lit(False)
         return F.array(
             F.struct(opening.alias("text"), no.alias("loss")),
-            F.struct(escape(t["text"]).alias("text"), loss.alias("loss")),
-            F.struct(F.lit(after).alias("text"), no.alias("loss")),
+            F.struct(escape(t["text"], template.text_signs).alias("text"), loss.alias("loss")),
+            F.struct(F.lit(template.after).alias("text"), no.alias("loss")),
         )
 
     rows = turns_of(conversations).select("conv_id", F.flatten(F.transform("turns", segments)).alias("segments"), last_state(F.col("turns.role"), template).alias("state"))
@@ -103,20 +138,22 @@ def read_back(formatted: Column, template: Template | None = None) -> Column:
     escaped role, so both are found as they are.
     """
     template = template or Template()
-    head, middle = template.before.split("{role}")
+    head, middle = template.head, template.middle
     turns = F.filter(F.split(formatted, r"\Q" + template.after + r"\E", -1), lambda t: t != "")
 
     def turn(t: Column) -> Column:
         end = F.instr(t, middle)
         role = F.substring(t, F.lit(len(head) + 1), end - 1 - len(head))
-        return F.struct(unescape(role).alias("role"), unescape(F.substring(t, end + len(middle), F.char_length(t))).alias("text"))
+        text = F.substring(t, end + len(middle), F.char_length(t))
+        return F.struct(unescape(role, template.role_signs).alias("role"), unescape(text, template.text_signs).alias("text"))
 
     return F.transform(turns, turn)
 
 
 def digest(chats: DataFrame, template: Template | None = None) -> DataFrame:
     """Lengths and hashes, all read back from the formatted text and the loss flags of the segments."""
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+    template = template or Template()
+    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], template.text_signs)), "")
     rows = chats.select("conv_id", "formatted", read_back(F.col("formatted"), template).alias("turns"), loss.alias("loss"), "well_formed")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return rows.select(

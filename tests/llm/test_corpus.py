@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -255,18 +256,10 @@ def test_every_counted_word_tells_its_language(spark, monkeypatch, known):
     model = langid.fit(frame(spark, texts, {k: "aa" if k < 100 else "bb" for k, _ in texts}))
     cases = [(1, own["bb"][3]), (2, own["aa"][3]), (3, " ".join(own["bb"])), (4, None), (4, own["bb"][7][:5] + "zz")]
     got = langid.predict(frame(spark, cases), model).collect()
-    counts = {(r["kind"], r["entry"]): r["by"] for r in model.counts.collect()}
+    labelled = [(t, "aa" if k < 100 else "bb") for k, t in texts]
 
     def brute(text):
-        total = np.zeros(2)
-        for w in langid.words(text):
-            for kind in (0, *langid.LENGTHS):
-                found = [x for g in ([w] if kind == 0 else langid.grams(w, kind)) if (x := counts.get((kind, g)))]
-                if found:
-                    total += sum(langid.logs_of(model.langs, model.base[kind], x) for x in found) / len(found)
-                    break
-        best = int(np.argmax(total))
-        return (model.langs[best], float(1 / np.exp(total - total[best]).sum())) if text else ("und", 0.0)
+        return brute_language(labelled, text) if text else ("und", 0.0)
 
     want = sorted((k, *brute(t)) for k, t in cases)
     assert [(r[0], r[1], pytest.approx(r[2], abs=1e-9)) for r in want] == sorted(map(tuple, got))
@@ -367,4 +360,160 @@ def test_pipeline(spark, folder, odd):
 
 def test_queries_are_registered():
     names = set(entry.queries())
-    assert set(QUERIES) | {"pipeline"} <= names and {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert set(QUERIES) | {"pipeline"} <= names and {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 14))
+
+
+PROSE, INTRO = "x y z and so on. " * 180, "words of an opening paragraph. " * 10
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<nav><a href=/>Home of it all</a></nav><article><h1>T</h1><p>{INTRO}</p><div class=text><p>{PROSE}</p></div></article><footer>c</footer>", ["T", INTRO, PROSE]),
+        (f"<div class=post><h1>T</h1><p>{INTRO}</p><div><div class=text><p>{PROSE}</p></div></div></div><div class=x><p>not marked</p></div>", ["T", INTRO, PROSE]),
+        (f"<article><section class=a><p>{PROSE}</p></section><section class=b><p>{INTRO}</p></section></article>", [PROSE, INTRO]),
+        (f'<div class="content has-sidebar"><h1>T</h1><p>{PROSE}</p></div><div class=sidebar><p>{INTRO}</p></div>', ["T", PROSE]),
+        (f"<article class=no-comments><h1>T</h1><p>{INTRO}</p></article><section class=comments><article class=comment><p>{PROSE}</p></article></section>", ["T", INTRO]),
+        (f"<form id=f><div class=nav><a href=/>x</a></div><article><h1>T</h1><p>{PROSE}</p><form>Sign up</form></article><footer>c</footer></form>", ["T", PROSE]),
+        (f"<h1>T</h1><div class=text><p>{INTRO}</p></div><div class=comments><p>{PROSE}</p></div>", ["T", INTRO]),
+    ],
+)
+def test_main_text_keeps_the_article(page, want):
+    found = htmltext.blocks(f"<html><body>{page}</body></html>")
+    expected = "\n\n".join(" ".join(w.split()) for w in want)
+    assert htmltext.extract(found, []) == expected
+    assert htmltext.extract(found, [htmltext.best(found)[0]]) == expected
+
+
+@pytest.mark.parametrize("tag", ["div", "form", "article"])
+def test_main_text_of_deep_elements_takes_linear_time(tag):
+    import time
+
+    start = time.perf_counter()
+    found = htmltext.blocks("<body>" + f"<{tag}><p>w w</p>" * 20_000 + "<h1>t</h1>")
+    assert htmltext.best(found) and time.perf_counter() - start < 15
+
+
+def test_main_text_of_generated_pages(spark):
+    """Pages of several templates with known main text; boilerplate around and inside it."""
+    rnd = random.Random(9)
+    say = lambda n: " ".join(rnd.choice(["sea", "wind", "the", "hill", "over", "moves"]) for _ in range(n)) + "."
+    rows, want = [], {}
+    for k in range(120):
+        title, body = say(5), [say(rnd.randint(3, 60)) for _ in range(rnd.randint(2, 6))]
+        inner = f"<h1>{title}</h1>" + "".join(f"<p>{p}</p>" + rnd.choice(["", "<aside>Read more</aside>", "<div class='share-buttons'>Tell friends</div>"]) for p in body)
+        wrap = [f"<article>{inner}</article>", f"<main><div class='post p{k}'>{inner}</div></main>", f"<div id=content class='with-sidebar'>{inner}</div>"][k % 3]
+        side = f"<div class=sidebar><p>{say(40)}</p></div><section id=comments><p>{say(90)}</p></section>"
+        page = f"<body><header><p>{say(4)}</p></header><nav><ul><li><a href=/>{say(3)}</a></ul></nav>{wrap}{side}<footer>{say(6)}</footer></body>"
+        rows.append((k, f"http://h{k % 3}.org/{k}", f"<form action=/>{page}</form>" if k % 5 == 0 and k % 3 == 0 else page))
+        want[k] = "\n\n".join([title, *body])
+    got = {r["page_id"]: r["text"] for r in htmltext.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == want
+
+
+def test_contamination_is_judged_once_over_all_blocks(spark):
+    rnd = random.Random(12)
+    items = [(f"i{k}", " ".join(f"w{k}x{j}" for j in range(12))) for k in range(5)]
+    texts = []
+    for k in range(40):
+        parts = [" ".join(f"c{rnd.randrange(900)}" for _ in range(rnd.randint(5, 30))) for _ in range(3)]
+        for item in rnd.sample(items, rnd.randint(0, 3)):
+            parts.insert(rnd.randrange(4), item[1])
+        texts.append((k, " ".join(parts)))
+    docs = spark.createDataFrame([(k, t, k, "x") for k, t in texts], "doc_id bigint, text string, _row int, n_words string")
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    for share in (0.0, 0.45, 0.95):
+        one = {tuple(r) for r in decontaminate.remove_contaminated(docs, benchmark, max_share=share).collect()}
+        many = decontaminate.remove_contaminated(docs, benchmark, max_share=share, block_words=1)
+        assert many.columns == docs.columns and {tuple(r) for r in many.collect()} == one and (share or len(one) < 40)
+
+
+def test_language_stage_keeps_columns_of_any_name(spark, tmp_path):
+    rows = [(k, ("the sea and the wind " if k % 2 else "das meer und der wind ") * 5, "en" if k % 2 else "de", 777) for k in range(30)] + [(99, "123", None, 777)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, _language_row int")
+    model = langid.fit(docs.select("text", "lang"))
+    docs.write.parquet(str(tmp_path / "docs"))
+    for source in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        kept = langid.keep_known(source, model)
+        assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(rows[:-1])
+
+
+def brute_language(rows, text, lengths=langid.LENGTHS):
+    """Log sums by plain dictionaries."""
+    import math
+
+    seen = {}
+    for t, lang in rows:
+        for w in langid.words(t):
+            for kind, entries in [(0, [w]), *[(k, langid.grams(w, k)) for k in lengths]]:
+                for e in entries:
+                    seen.setdefault((kind, lang), Counter())[e] += 1
+    langs = sorted({lang for _, lang in seen})
+    log = lambda kind, e, x: math.log(seen.get((kind, x), {}).get(e, 0) + 0.5) - math.log(sum(seen.get((kind, x), Counter()).values()) + len(seen.get((kind, x), ())) + 1)
+    known = lambda kind, e: any(e in seen.get((kind, x), ()) for x in langs)
+    total = dict.fromkeys(langs, 0.0)
+    for w in langid.words(text):
+        parts = [(0, w)] if known(0, w) else next(([(k, g) for g in langid.grams(w, k) if known(k, g)] for k in lengths if any(known(k, g) for g in langid.grams(w, k))), [])
+        for x in langs:
+            total[x] += sum(log(kind, e, x) for kind, e in parts) / max(1, len(parts))
+    best = max(total.values())
+    return min(x for x in langs if total[x] == best), 1 / sum(math.exp(max(-700, v - best)) for v in total.values())
+
+
+@pytest.mark.parametrize("known", [0, 3, 120_000])
+def test_languages_equal_brute_force(spark, monkeypatch, known):
+    monkeypatch.setattr(langid, "KNOWN_WORDS", known)
+    monkeypatch.setattr(langid, "TASK_ENTRIES", 5)
+    rows = [("the sea and the wind", "en"), ("über das meer und der see", "de"), ("la mer et le vent", "fr"), ("the wind", "en")]
+    texts = ["the unknown seas", "das Unbekannte", "vents", "zzz qqq", "und the", "x", "meer meer winds"]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string").repartition(3))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).collect()}
+    for k, t in enumerate(texts):
+        lang, score = brute_language(rows, t)
+        assert got[k][0] == lang and got[k][1] == pytest.approx(score, rel=1e-6)
+
+
+def brute_posteriors(votes, rounds=rules.ROUNDS):
+    """The same estimates text by text, in plain probabilities."""
+    good = [0.1 if "-" in v else 0.9 for v in votes]
+    for _ in range(rounds):
+        share, n = (1 + sum(good)) / (2 + len(votes)), len(votes)
+        rates = []
+        for k in range(len(votes[0])):
+            sides = []
+            for side, before in ((0, (1, 1)), (1, (1 + 0.998 * n, 1 + 0.002 * n))):
+                weight = [g if side else 1 - g for g in good]
+                yes, no = (b + sum(w for w, v in zip(weight, votes, strict=True) if v[k] == s) for b, s in zip(before, "+-", strict=True))
+                sides.append({"+": yes / (yes + no), "-": no / (yes + no), "0": 1.0})
+            rates.append(sides)
+        chance = lambda v, side: np.prod([r[side][s] for r, s in zip(rates, v, strict=True)]) * (share if side else 1 - share)
+        good = [chance(v, 1) / (chance(v, 1) + chance(v, 0)) for v in votes]
+    return dict(zip(votes, good, strict=True))
+
+
+def test_posteriors_equal_brute_force():
+    rnd = random.Random(8)
+    for _ in range(5):
+        bad = [rnd.random() < 0.2 for _ in range(300)]
+        votes = ["".join(rnd.choices("+-0", (0.2, 0.6, 0.2) if b else (0.85, 0.02, 0.13))[0] for _ in range(4)) for b in bad]
+        got, want = rules.posteriors(dict(Counter(votes))), brute_posteriors(votes)
+        assert got == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("marks", [("[{role}] ", "\n"), ("<{role}>", "</s>"), ("{role}: ", " |"), ("### {role}: ", " </turn>\n"), ("\u00ab{role}\u00bb", "\u00a7"), ("<|{role}|>\n", "~end~")])
+def test_any_template_comes_back(spark, marks):
+    template = chat.Template(*marks)
+    rnd, signs = random.Random(3), "".join(marks) + "\\ubhlc00003ca# x"
+    said = [(c, t, rnd.choice(["user", "a]: b", "", "<\n"]), "".join(rnd.choice(signs) for _ in range(rnd.randint(0, 25)))) for c in range(30) for t in range(rnd.randint(1, 4))]
+    rows = chat.format_chats(spark.createDataFrame(said, "conv_id int, turn int, role string, text string"), template)
+    got = {r["conv_id"]: [tuple(x) for x in r["turns"]] for r in rows.select("conv_id", chat.read_back(F.col("formatted"), template).alias("turns")).collect()}
+    want = {}
+    for c, t, role, text in sorted(said):
+        want.setdefault(c, []).append((role, text))
+    assert got == want
+
+
+@pytest.mark.parametrize("marks", [("{role}", "\n"), ("### {role}: ", "END"), ("no role", "\n"), ("<{role}>", "<>"), ("a{role}b", "c")])
+def test_unsafe_templates_are_refused(marks):
+    with pytest.raises(ValueError):
+        chat.Template(*marks)
