@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences, stage by stage; each stage is written and read again."""
+"""From raw documents to packed training sequences, stage by stage; each stage is written and read again.
+
+Defined results: a document with a null or empty text fails the quality rules; equal rows are judged alike by the first
+two stages, and the third keeps one of them (rows with a null id all stay there); ties of votes, languages and components
+are resolved as the operators say; a very long text is one row throughout and is cut into pieces by packing only; extra
+columns of any name travel through to packing; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.plans.storage import stored
+from holdfast.plans.storage import new_path, remove, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -60,8 +66,17 @@ STAGES: list[tuple[str, Stage]] = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written as Parquet and read by the next one."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; what a stage returns is written as Parquet and read by the next one.
+
+    Once a stage is written, the tables it kept for itself and the rows of the stage before it are deleted.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        path = new_path(spark, f"pipeline-{name.replace(' ', '-')}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

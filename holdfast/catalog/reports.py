@@ -283,12 +283,12 @@ def _fairness(spark, folder):
 
 
 @query("fairness_report", profile_sql(
-    SEGMENT + ", w as (select * from l union all select 'overall', 'all', churn_label, churn_probability from b)"
-    + metrics_sql("w", "segment_column, segment_value")
-    + ", v as (select *, round(1 - f1_score, 8) as error_rate from m where \"count\" >= 20 or segment_column = 'overall')"
-    + ', o as (select error_rate as whole from v where segment_column = \'overall\')'
+    SEGMENT + ", wl as (select * from l union all select 'overall', 'all', churn_label, churn_probability from b)"
+    + metrics_sql("wl", "segment_column, segment_value")
+    + ", seen as (select *, round(1 - f1_score, 8) as error_rate from m where \"count\" >= 20 or segment_column = 'overall')"
+    + ', ov as (select error_rate as whole from seen where segment_column = \'overall\')'
     + ' select segment_column, segment_value, "count", positive_rate as actual_churn_rate, pr_auc, roc_auc, f1_score, precision, recall, error_rate,'
-    " coalesce(whole > 0 and error_rate > 1.05 * whole, false) as disparity from v, o"))
+    " coalesce(whole > 0 and error_rate > 1.05 * whole, false) as disparity from seen, ov"))
 def _fairness_report(spark, folder):
     return rounded(fairness.fairness_report(customer_profile(spark, folder), ratio=1.05), 8, *FAIR)
 
