@@ -236,6 +236,7 @@ def remove_contaminated(
 
         return docs.mapInArrow(scan_and_clean, docs.schema)
 
+    names = docs.columns
     row, n_words, hit_words = (free_name(docs, c) for c in ("_row", "_n_words", "_hit_words"))
     rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
     hits = united(rows, row, items, blocks, window).select(row, F.col("n_words").alias(n_words), F.col("hit_words").alias(hit_words))
@@ -243,6 +244,6 @@ def remove_contaminated(
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = list(zip(b.column(n_words).to_pylist(), b.column(hit_words).to_pylist(), strict=True))
-            yield cleaned(b, found).select(docs.columns)
+            yield cleaned(b, found).select(names)
 
     return rows.join(hits, row).mapInArrow(clean, docs.schema)
