@@ -10,7 +10,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 T = TypeVar("T")
-THREADS = 4
+THREADS = 8
 POOL = "spark.scheduler.pool"
 
 
