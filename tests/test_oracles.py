@@ -18,7 +18,7 @@ def duck(folder):
 
 
 #: Fits of every model on every fold take minutes on any table; tools/check_oracles.py runs them, as does SLOW=1 here.
-SLOW = set() if os.environ.get("SLOW") else {"cross_validate", "model_benchmark"}
+SLOW = set() if os.environ.get("SLOW") else {"cross_validate", "model_benchmark", "tune"}
 
 
 @pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - SLOW))
