@@ -57,7 +57,11 @@ def position(marks: Column, value: Column, size: int) -> Column:
 
 
 def add_slice(df: DataFrame, value: str, parts: int, counts: list[str] | None = None) -> DataFrame:
-    """Add the slice number: a binary search written as one projection per step, so it stays in generated code."""
+    """Add the slice number: a binary search written as one projection per step, so it stays in generated code.
+
+    Each step names the one before three times. Rules that follow a join key down to its table would write all steps
+    out, 3 to the power of their number, in the driver; they end at the ``explode`` of the one number found.
+    """
     if parts <= 1:
         return df.withColumn(SLICE, F.lit(0))
     found = df.withColumn(MARKS, quantile_marks(df, value, parts, counts or [])).withColumn(SLICE, F.lit(0))
@@ -66,7 +70,7 @@ def add_slice(df: DataFrame, value: str, parts: int, counts: list[str] | None =
         ahead = at + power
         further = (ahead <= F.size(marks)) & (F.try_element_at(marks, ahead) < F.col(value))
         found = found.withColumn(SLICE, F.when(further, ahead).otherwise(at))
-    return found.drop(MARKS)
+    return found.withColumn(SLICE, F.explode(F.array(SLICE))).drop(MARKS)
 
 
 def ordinal(df: DataFrame, column: str) -> Column:

@@ -1,5 +1,7 @@
 """Sliced running totals, ranks and quantiles against plain computations."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -72,3 +74,13 @@ def test_long_form_keeps_types_and_keys(spark):
     df = spark.createDataFrame([(1, 2, 3.5)], "id long, a int, b double")
     rows = {(r.id, r.feature): r.value for r in long_form(df, ["a", "b"], ["id"]).collect()}
     assert rows == {(1, "a"): 2.0, (1, "b"): 3.5}
+
+
+def test_many_slices_are_planned_in_no_time(spark):
+    """The steps of the search, 3 to the power of 11 if written out, stay out of what follows a join key."""
+    counts = spark.range(100).select((F.col("id") * 0.5 + 1).alias("v"), F.lit(1).cast("long").alias("n"))
+    plan = running_totals(counts, "v", ["n"], parts=1500)
+    start = time.perf_counter()
+    plan._jdf.queryExecution().optimizedPlan()
+    assert time.perf_counter() - start < 20
+    assert {r.v: r.cum_n for r in plan.collect()} == {i * 0.5 + 1: i + 1 for i in range(100)}
