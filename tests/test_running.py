@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from holdfast.plans.running import exact_quantiles, long_form, ranked, running_totals, value_counts
+from holdfast.plans.salted import join_salted
 from holdfast.plans.slices import add_slice, position
 
 
@@ -84,3 +85,10 @@ def test_many_slices_are_planned_in_no_time(spark):
     plan._jdf.queryExecution().optimizedPlan()
     assert time.perf_counter() - start < 20
     assert {r.v: r.cum_n for r in plan.collect()} == {i * 0.5 + 1: i + 1 for i in range(100)}
+
+def test_copies_of_hot_keys_are_not_broadcast(spark):
+    rows = spark.range(200).select((F.col("id") % 7).alias("k"), "id")
+    few = spark.createDataFrame([(1, True), (4, True)], "k long, _hot boolean")
+    joined = join_salted(rows, few, ["k"], ["id"])
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.k, r["_hot"]) for r in joined.collect()) == [(i, i % 7, True if i % 7 in (1, 4) else None) for i in range(200)]
