@@ -128,6 +128,18 @@ def test_labelled_neighbours_equal_brute_force(spark, same):
     assert votes.groupBy("query_id").agg(F.sum("votes").alias("n")).where("n <> 5").count() == 0
 
 
+def test_distances_held_at_once_are_bounded():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    stored, ids = rng.normal(size=(40_000, 4)), np.arange(40_000)
+    tracemalloc.start()
+    at, row, _ = neighbours.k_closest(stored[:128], ids[:128], stored, ids, 3, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and at.tolist() == np.repeat(np.arange(128), 3).tolist() and row[::3].tolist() == list(range(128))
+
+
 def test_labelled_rows_are_bounded(spark):
     rng = np.random.default_rng(3)
     stored = vectors(spark, rng.normal(size=(200, 3)), True)
