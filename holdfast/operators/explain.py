@@ -74,7 +74,7 @@ def explain_global(df: DataFrame, importances: DataFrame, values: Sequence[str],
 
 def rank_drivers(df: DataFrame, contributions: str, top_k: int) -> DataFrame:
     """Turn an array of (feature, value, impact_score) into the ``top_k`` drivers with reasons; equal ones in array order."""
-    ordered = F.array_sort(
+    ordered = F.sort_array(
         F.transform(
             contributions,
             lambda c, i: F.struct(

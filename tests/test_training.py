@@ -187,3 +187,24 @@ def test_scores_with_own_reasons(spark, profile):
     assert {r.contract_type for r in bare.collect()} == {fixed.REQUEST_CHOICES["contract_type"][1]}
     record = explain.explanation_record(explain.explain_model(featured, model, 4, means).join(profile.select("customer_id", "churn_probability"), "customer_id")).first()
     assert record.summary_narrative.startswith(f"Primary churn drivers for customer {record.customer_id}: ") and len(record.top_drivers) == 4
+
+
+def test_alerts_and_cycles_read_the_facts_once(spark, folder, monkeypatch):
+    """What is fitted, scored and explained comes from one stored profile, not from the lines again each time."""
+    from holdfast.catalog import training
+    from holdfast.catalog.registry import QUERIES
+
+    alerted = QUERIES["event_model_alerts"](spark, folder)
+    assert not [f for f in alerted.inputFiles() if "lineitem" in f or "orders" in f]
+    assert "array_sort" not in alerted._jdf.queryExecution().optimizedPlan().toString()
+
+    class Seen(Exception):
+        pass
+
+    def look(raw, *args, **more):
+        raise Seen(raw.inputFiles())
+
+    monkeypatch.setattr(training.retrain, "retrain_cycle", look)
+    with pytest.raises(Seen) as seen:
+        QUERIES["retrain_cycle"](spark, folder)
+    assert not [f for f in seen.value.args[0] if "lineitem" in f]
