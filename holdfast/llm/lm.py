@@ -8,11 +8,13 @@ is its share of the class's count, with one count a class kept for words that we
 table that grows with the corpus: the ``KNOWN_WORDS`` most frequent go to the executors, the rest is joined in Spark.
 
 Training covers every window of every document. Texts, equal ones as one with a weight, are dealt by a hash of what they
-say to shards of about ``SHARD_WORDS`` words, so that the file split plays no part. In each round every shard starts from
-the last average, goes once over its own windows in batches, and gives its weights; Spark averages them, weighted by
-windows, slice by slice and in two steps so that no task gathers more than a fixed share. Rounds end when the mean
-log-probability over all windows no longer gains ``GAIN`` of itself. Scores are sums of conditional log-probabilities
-over whole texts.
+say to shards of about ``SHARD_WORDS`` words, so that the file split plays no part. A pass over all windows is ``PARTS``
+rounds (fewer over a small corpus, see ``PART_WORDS``): a shard's windows are dealt in turn to that many parts, each to
+one. In each round every shard starts from the last average, goes over its next part in batches, with a step size for
+each weight from its gradients so far (Adam), and gives its weights and those step sizes; Spark averages them, weighted
+by windows, slice by slice and in two steps so that no task gathers more than a fixed share. Rounds end when every window has been learned
+from and a round's mean log-probability, taken before each step, is not more than ``GAIN`` above the last round's.
+Scores are sums of conditional log-probabilities over whole texts.
 
 Defined results: null, empty and word-less texts have 0 tokens, sum 0, and a null mean; repeated rows count as text and
 are scored each; an empty table gives no rows; extra columns are ignored.
@@ -37,11 +39,13 @@ GROUPS, PLACES = 32, 32
 VOCABULARY = GROUPS * PLACES
 ENDINGS = 128
 WIDTH, REACH = 16, 2
-BATCH = 8192
-STEP = 2048
-RATE = 0.5
-GAIN = 0.005
-SHARD_WORDS = 200_000
+BATCH = 4096
+STEP = 4096
+RATE = 0.02
+KEEP, KEEP_SQUARES = 0.9, 0.999
+GAIN = 0.02
+SHARD_WORDS = 2_000_000
+PARTS, PART_WORDS = 4, 1_000_000
 TASK_WORDS = 300_000
 CACHE_WORDS = 400_000
 KNOWN_WORDS = 100_000
@@ -66,8 +70,7 @@ def counted(docs: DataFrame) -> DataFrame:
         seen: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            columns = [pa.array(list(seen), pa.binary()), pa.array([class_of(w) for w in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())]
-            batch = pa.RecordBatch.from_arrays(columns, ["word", "class", "n"])
+            batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
             seen.clear()
             return batch
 
@@ -78,104 +81,140 @@ def counted(docs: DataFrame) -> DataFrame:
                     yield out()
         yield out()
 
-    return docs.select("text").mapInArrow(count, "word binary, class int, n bigint").groupBy("word", "class").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    ending = F.when(F.octet_length("word") > 3, F.substring("word", -3, 3)).otherwise(F.col("word"))
+    return found.select("word", (1 + F.crc32(ending) % ENDINGS).cast("int").alias("class"), "n")
 
 
-class Vocabulary:
-    """Ids of words; 0 stands beyond either end of a text."""
+class Vocabulary(dict):
+    """Ids of words, one lookup each; 0 stands beyond either end of a text."""
 
-    def __init__(self, frequent: list[bytes]):
-        self.ids = {w: k + 1 + ENDINGS for k, w in enumerate(frequent)}
-        self.limit = len(self.ids) + CACHE_WORDS
+    def __init__(self, frequent: list[bytes], more: dict[bytes, int] | None = None):
+        super().__init__(more or {})
+        self.update((w, k + 1 + ENDINGS) for k, w in enumerate(frequent))
+        self.limit = len(self) + CACHE_WORDS
 
-    def of(self, own: list[bytes]) -> list[int]:
-        ids = self.ids
-        out = [ids.get(w) for w in own]
-        if None in out:
-            for k, w in enumerate(own):
-                if out[k] is None:
-                    out[k] = class_of(w)
-                    if len(ids) < self.limit:
-                        ids[w] = out[k]
-        return out
+    def __missing__(self, word: bytes) -> int:
+        found = class_of(word)
+        if len(self) < self.limit:
+            self[word] = found
+        return found
 
-    def flat(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of texts end to end with room for the windows between them, and where the tokens are."""
-        gap, ids = [0] * REACH, [0] * REACH
-        for own in texts:
-            ids += self.of(own)
-            ids += gap
-        ids = np.array(ids, dtype=np.int32)
-        return ids, np.nonzero(ids)[0]
+    def of(self, own: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, own), np.int32, len(own))
 
 
-class Network:
-    def __init__(self, weights: dict[str, np.ndarray]):
-        self.w = weights
+def spaced(own: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts end to end with room for the windows between them, and where the tokens are."""
+    at = np.arange(len(own)) + REACH * (1 + np.repeat(np.arange(len(sizes)), sizes))
+    out = np.zeros(len(own) + REACH * (1 + len(sizes)), np.int32)
+    out[at] = own
+    return out, at
 
-    @staticmethod
-    def start() -> Network:
-        rng = np.random.default_rng(7)
-        return Network({k: (rng.normal(0, 0.1, s) if len(s) > 1 and not k.endswith("bias") else np.zeros(s)).astype(np.float32) for k, s in SHAPES.items()})
 
-    def pack(self) -> np.ndarray:
-        return np.concatenate([self.w[k].ravel() for k in SHAPES])
+class Network:
+    """Named views of one flat vector of weights."""
 
-    @staticmethod
-    def unpack(flat: np.ndarray) -> Network:
-        out, at = {}, 0
+    def __init__(self, flat: np.ndarray):
+        self.flat, self.w, at = flat.astype(np.float32), {}, 0
         for k, s in SHAPES.items():
-            n = int(np.prod(s))
-            out[k] = flat[at : at + n].reshape(s).astype(np.float32)
+            n = math.prod(s)
+            self.w[k] = self.flat[at : at + n].reshape(s)
             at += n
-        return Network(out)
+        self.near = self.w["near"].reshape(-1, WIDTH)
+
+    @staticmethod
+    def start() -> Network:
+        rng = np.random.default_rng(7)
+        return Network(np.concatenate([(rng.normal(0, 0.1, s) if len(s) > 1 and not k.endswith("bias") else np.zeros(s)).ravel() for k, s in SHAPES.items()]))
 
-    def hidden(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        around = [ids[at + k] for k in (*range(-REACH, 0), *range(1, REACH + 1))]
-        total = self.w["bias"] + sum(self.w["near"][k][a] for k, a in enumerate(around))
-        return np.tanh(total), around
+    def pass_over(self, ids: np.ndarray, at: np.ndarray, gradient: Network | None = None, weight: np.ndarray | None = None) -> np.ndarray:
+        """Log-probability of each token; with ``gradient``, that is set to the gradient of their (weighted) mean's loss.
 
-    def pass_over(self, ids: np.ndarray, at: np.ndarray, rate: float | None = None, weight: np.ndarray | None = None) -> np.ndarray:
-        """Log-probability of each token; with a rate, one step of gradient descent on their (weighted) mean as well."""
-        w, token = self.w, ids[at]
-        group = token // PLACES
+        Tokens are sorted by group and neighbours by id, as 8 and 16 bits: numpy then sorts by radix.
+        """
+        w, n, token = self.w, len(at), ids[at]
+        group = (token // PLACES).astype(np.uint8)
         order = np.argsort(group, kind="stable")
         at, token, group = at[order], token[order], group[order]
-        h, around = self.hidden(ids, at)
-        row = np.arange(len(at))
-        g = np.exp(np.clip(h @ w["group"] + w["group_bias"], -30, 30))
-        g /= g.sum(1, keepdims=True)
-        p = np.empty((len(at), PLACES), np.float32)
+        around = np.concatenate([ids[at + offset] + k * VOCABULARY for k, offset in enumerate((*range(-REACH, 0), *range(1, REACH + 1)))])
+        h = self.near[around].reshape(2 * REACH, n, WIDTH).sum(0)
+        h += w["bias"]
+        np.tanh(h, out=h)
         ends = np.searchsorted(group, np.arange(GROUPS + 1))
         spans = [(k, slice(ends[k], ends[k + 1])) for k in range(GROUPS) if ends[k + 1] > ends[k]]
+        g, p = h @ w["group"] + w["group_bias"], w["place_bias"][group]
         for k, s in spans:
-            p[s] = h[s] @ w["place"][k] + w["place_bias"][k]
-        p = np.exp(np.clip(p, -30, 30))
-        p /= p.sum(1, keepdims=True)
-        place = token % PLACES
-        logs = np.empty(len(at))
-        logs[order] = np.log(g[row, group]) + np.log(p[row, place])
-        if rate is not None:
-            step = rate / len(at)
-            g[row, group] -= 1
-            p[row, place] -= 1
-            if weight is not None:
-                even = (weight[order] / weight.mean()).astype(np.float32)[:, None]
-                g *= even
-                p *= even
+            p[s] += h[s] @ w["place"][k]
+        in_g, in_p = np.arange(n) * GROUPS + group, np.arange(n) * PLACES + token % PLACES
+        logs, found = np.empty(n), 0.0
+        for x, own in ((g, in_g), (p, in_p)):
+            np.clip(x, -30, 30, out=x)
+            found = found + x.ravel()[own].astype(np.float64)
+            np.exp(x, out=x)
+        sums = [x @ np.ones(x.shape[1], np.float32) for x in (g, p)]
+        logs[order] = found - np.log(sums[0].astype(np.float64)) - np.log(sums[1].astype(np.float64))
+        if gradient is not None:
+            to = gradient.w
+            even = np.full(n, 1 / n, np.float32) if weight is None else (weight[order] / weight.sum()).astype(np.float32)
+            for x, own, total in zip((g, p), (in_g, in_p), sums, strict=True):
+                x *= (even / total)[:, None]
+                x.ravel()[own] -= even
+            gradient.flat[:] = 0
             back = g @ w["group"].T
             for k, s in spans:
                 back[s] += p[s] @ w["place"][k].T
-                w["place"][k] -= step * 8 * (h[s].T @ p[s])
-                w["place_bias"][k] -= step * 8 * p[s].sum(0)
-            w["group"] -= step * (h.T @ g)
-            w["group_bias"] -= step * g.sum(0)
+                to["place"][k] = h[s].T @ p[s]
+                to["place_bias"][k] = p[s].sum(0)
+            to["group"][:] = h.T @ g
+            to["group_bias"][:] = g.sum(0)
             back *= 1 - h * h
-            w["bias"] -= step * back.sum(0)
-            for k, a in enumerate(around):
-                sort = np.argsort(a, kind="stable")
-                own, begin = np.unique(a[sort], return_index=True)
-                w["near"][k][own] -= step * 8 * np.add.reduceat(back[sort], begin)
+            to["bias"][:] = back.sum(0)
+            sort = np.argsort(around.astype(np.uint16), kind="stable")
+            near = around[sort]
+            begin = np.flatnonzero(np.diff(near, prepend=-1))
+            gradient.near[near[begin]] = np.add.reduceat(back[sort % n], begin)
+        return logs
+
+
+class Learner:
+    """A network and the running means of its gradients and of their squares, by which each weight has its own step size.
+
+    All of it is one vector, ``state``, so that it can be averaged: weights, means, squares, and how much of the last two
+    is filled (both begin at nothing).
+    """
+
+    def __init__(self, state: np.ndarray):
+        size = (len(state) - 2) // 3
+        self.network, self.gradient = Network(state[:size]), Network(np.zeros(size))
+        self.mean, self.squares = (state[k * size : (k + 1) * size].astype(np.float32) for k in (1, 2))
+        self.filled, self.filled_squares = state[-2:].tolist()
+
+    @staticmethod
+    def start() -> np.ndarray:
+        flat = Network.start().flat
+        return np.concatenate([flat, np.zeros(2 * len(flat) + 2)])
+
+    def state(self) -> np.ndarray:
+        return np.concatenate([self.network.flat, self.mean, self.squares, [self.filled, self.filled_squares]])
+
+    def learn(self, ids: np.ndarray, at: np.ndarray, rate: float, weight: np.ndarray) -> np.ndarray:
+        """One step; log-probabilities before it."""
+        logs = self.network.pass_over(ids, at, self.gradient, weight)
+        slope = self.gradient.flat
+        self.mean *= KEEP
+        self.mean += slope * np.float32(1 - KEEP)
+        slope *= slope
+        slope *= np.float32(1 - KEEP_SQUARES)
+        self.squares *= KEEP_SQUARES
+        self.squares += slope
+        self.filled += (1 - KEEP) * (1 - self.filled)
+        self.filled_squares += (1 - KEEP_SQUARES) * (1 - self.filled_squares)
+        size = np.sqrt(self.squares, out=slope)
+        size += 1e-8
+        move = np.divide(self.mean, size, out=size)
+        move *= rate / self.filled * self.filled_squares**0.5
+        self.network.flat -= move
         return logs
 
 
@@ -192,52 +231,49 @@ def in_groups(texts: Iterator[str | None]) -> Iterator[list[list[bytes]]]:
         yield held
 
 
-def shards(docs: DataFrame, frequent: list[bytes], n_words: int) -> DataFrame:
+def shards(coded: DataFrame, n_words: int) -> DataFrame:
     """shard, ids (16 bits each, texts end to end), sizes and copies of the texts (32 and 64 bits each)."""
     from holdfast.plans.storage import stored
 
-    sent, n_shards = docs.sparkSession.sparkContext.broadcast(frequent), max(1, -(-n_words // SHARD_WORDS))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(sent.value)
-        for b in batches:
-            texts = [np.array(vocabulary.of(own), "<u2").tobytes() for t in b.column("text") if (own := words(t.as_py()))]
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(x) % n_shards for x in texts], pa.int32()), pa.array(texts, pa.binary())], ["shard", "ids"])
+    n_shards = max(1, -(-n_words // SHARD_WORDS))
 
     def gather(key: tuple, t: pa.Table) -> pa.Table:
         rows = sorted((zlib.crc32(x), x, n) for x, n in zip(t.column("ids").to_pylist(), t.column("n").to_pylist(), strict=True))
         sizes, copies = np.array([len(x) // 2 for _, x, _ in rows], "<u4"), np.array([n for *_, n in rows], "<u8")
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "ids": pa.array([b"".join(x for _, x, _ in rows)], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary()), "copies": pa.array([copies.tobytes()], pa.binary())})
 
-    rows = docs.select("text").mapInArrow(encode, "shard int, ids binary").groupBy("shard", "ids").agg(F.count("*").alias("n"))
+    texts = coded.where(F.octet_length("ids") > 0).select((F.crc32("ids") % n_shards).cast("int").alias("shard"), "ids")
+    rows = texts.groupBy("shard", "ids").agg(F.count("*").alias("n"))
     return stored(rows.groupBy("shard").applyInArrow(gather, "shard int, ids binary, sizes binary, copies binary"), "lm-shards")
 
 
 def windows(ids: bytes, sizes: bytes, copies: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of a shard with room between texts, where the tokens are, and how often each counts."""
-    own, n = np.frombuffer(ids, "<u2"), np.frombuffer(sizes, "<u4").astype(np.int64)
-    at = np.arange(len(own)) + REACH * (1 + np.repeat(np.arange(len(n)), n))
-    out = np.zeros(len(own) + REACH * (1 + len(n)), np.int32)
-    out[at] = own
-    return out, at, np.repeat(np.frombuffer(copies, "<u8").astype(np.float64), n)
+    n = np.frombuffer(sizes, "<u4").astype(np.int64)
+    return *spaced(np.frombuffer(ids, "<u2"), n), np.repeat(np.frombuffer(copies, "<u8").astype(np.float64), n)
 
 
-def one_round(dealt: DataFrame, network: Network, turn: int) -> tuple[Network, float] | None:
-    """The average of what all shards learn from ``network`` on, and the mean log-probability on the way."""
-    sent = dealt.sparkSession.sparkContext.broadcast(network.pack())
+def one_round(dealt: DataFrame, state: np.ndarray, turn: int, parts: int = 1) -> tuple[np.ndarray, float] | None:
+    """The average of what all shards learn from ``state`` on, each from its next of ``parts`` parts, and the mean
+    log-probability on the way."""
+    sent = dealt.sparkSession.sparkContext.broadcast(state)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n, logs = 0.0, 0, 0.0
-        for shard, *parts in (x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("shard", "ids", "sizes", "copies")), strict=True)):
-            own = Network.unpack(sent.value)
-            ids, at, copies = windows(*parts)
-            order = np.random.default_rng((turn, shard)).permutation(len(at))
-            size = max(64, min(STEP, len(order) // 64))
+        for shard, *texts in (x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("shard", "ids", "sizes", "copies")), strict=True)):
+            own = Learner(sent.value)
+            ids, at, copies = windows(*texts)
+            order = np.random.default_rng((turn, shard)).permutation(np.arange(turn % parts, len(at), parts))
+            if not len(order):
+                continue
+            size, learned = max(64, min(STEP, len(order) // 64)), int(copies[order].sum())
             for k in range(0, len(order), size):
                 part = order[k : k + size]
-                logs += float(own.pass_over(ids, at[part], RATE / (1 + turn) ** 0.5, copies[part]) @ copies[part])
-            n += int(copies.sum())
-            total = total + own.pack().astype(np.float64) * copies.sum()
+                rate = RATE / (1 + turn + k / len(order)) ** 0.5
+                weight = copies[part]
+                logs += float(own.learn(ids, at[part], rate, weight) @ weight)
+            n += learned
+            total = total + own.state() * learned
         if n:
             pieces = np.array_split(total, SLICES)
             task = TaskContext.get().partitionId() % SPREAD
@@ -253,44 +289,46 @@ def one_round(dealt: DataFrame, network: Network, turn: int) -> tuple[Network, f
     schema = "slice int, n bigint, logs double, weights binary"
     rows = dealt.mapInArrow(learn, "slice int, task int, n bigint, logs double, weights binary")
     rows = rows.groupBy("slice", "task").applyInArrow(added, schema).groupBy("slice").applyInArrow(added, schema)
-    parts = {r["slice"]: r for r in rows.collect()}
+    pieces = {r["slice"]: r for r in rows.collect()}
     sent.destroy()
-    if not parts:
+    if not pieces:
         return None
-    flat = np.concatenate([np.frombuffer(bytes(parts[k]["weights"]), np.float64) for k in range(SLICES)])
-    return Network.unpack(flat / parts[0]["n"]), parts[0]["logs"] / parts[0]["n"]
+    flat = np.concatenate([np.frombuffer(bytes(pieces[k]["weights"]), np.float64) for k in range(SLICES)])
+    return flat / pieces[0]["n"], pieces[0]["logs"] / pieces[0]["n"]
 
 
-def trained(docs: DataFrame, frequent: list[bytes], n_words: int) -> Network:
-    """Rounds of learning and averaging until the mean log-probability stays."""
-    network, last = Network.start(), -math.inf
-    dealt = shards(docs, frequent, n_words)
+def trained(coded: DataFrame, n_words: int) -> Network:
+    """Rounds of learning and averaging until all windows had their turn and the mean log-probability stays."""
+    state, last = Learner.start(), -math.inf
+    dealt, parts = shards(coded, n_words), max(1, min(PARTS, n_words // PART_WORDS))
     for turn in itertools.count():
-        found = one_round(dealt, network, turn)
+        found = one_round(dealt, state, turn, parts)
         if found is None:
             break
-        network, mean = found
-        if mean - last <= GAIN * abs(mean):
+        state, mean = found
+        if turn + 1 >= parts and mean - last <= GAIN:
             break
         last = mean
-    return network
+    return Learner(state).network
 
 
 class Shares:
-    """Log-probabilities of words within their classes: ``logs`` of counts, less ``cost`` by class."""
+    """Words and their log-probabilities within their classes: ``logs`` of counts, less the log of the class's own.
+
+    A word has a code, its class's if it has one of its own or no count at hand, a number from ``VOCABULARY`` on else.
+    """
 
     def __init__(self, frequent: list[bytes], known: list[tuple[bytes, int]], totals: dict[int, int]):
-        self.cost = np.zeros(VOCABULARY)
+        self.codes = Vocabulary(frequent, {w: VOCABULARY + k for k, (w, _) in enumerate(known)})
+        self.classes = np.array([*range(VOCABULARY), *(class_of(w) for w, _ in known)], np.int32)
+        cost = np.zeros(VOCABULARY)
         for k in range(1, 1 + ENDINGS):
-            self.cost[k] = math.log(totals.get(k, 0) + 1)
-        self.logs = {w: math.log(n) for w, n in known} | dict.fromkeys(frequent, 0.0)
+            cost[k] = math.log(totals.get(k, 0) + 1)
+        self.logs = np.array([0.0] * VOCABULARY + [math.log(n) for _, n in known]) - cost[self.classes]
 
-    def split(self, own: list[bytes]) -> tuple[float, Counter]:
-        """The sum of the logarithms at hand, and the words whose counts are still to be joined."""
-        found = [self.logs.get(w) for w in own]
-        if None not in found:
-            return sum(found), Counter()
-        return sum(x for x in found if x is not None), Counter(w for w, x in zip(own, found, strict=True) if x is None)
+    def left(self, codes: np.ndarray) -> np.ndarray:
+        """Where the words are whose counts are still to be joined."""
+        return np.flatnonzero((codes > 0) & (codes <= ENDINGS))
 
 
 def shares_of(counts: DataFrame) -> tuple[list[bytes], list[tuple[bytes, int]], dict[int, int]]:
@@ -303,59 +341,82 @@ def shares_of(counts: DataFrame) -> tuple[list[bytes], list[tuple[bytes, int]],
     return [w for w, _ in own], known, dict(totals)
 
 
-_LOADED: dict[str, tuple[Network, Vocabulary, Shares]] = {}
+_LOADED: dict[str, Shares] = {}
 
 
-def loaded(key: str, weights: np.ndarray, shares: tuple) -> tuple[Network, Vocabulary, Shares]:
+def loaded(key: str, shares: tuple) -> Shares:
     """Set up once in each Python worker; only the last one is kept."""
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = (Network.unpack(weights), Vocabulary(shares[0]), Shares(*shares))
+        _LOADED[key] = Shares(*shares)
     return _LOADED[key]
 
 
-def score(docs: DataFrame, network: Network, shares: tuple, counts: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_tokens, log_likelihood (sum), mean_log_likelihood.
-
-    A first pass scores the classes and the words it has counts of; the other words, one row for each of a text, are
-    joined to ``counts`` and added. A joined word is rarer than ``KNOWN_WORDS`` others, so none is hot.
-    """
+def encoded(docs: DataFrame, shares: tuple) -> DataFrame:
+    """Texts read once, for training and for scoring. Per row: row, doc_id, ids (classes, 16 bits each), share (the sum
+    of the logarithms at hand of words within their classes); and rows of row, word, times for the counts that are not."""
     from holdfast.plans.storage import stored
 
-    key, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((network.pack(), shares))
+    key, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(shares)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row bigint, doc_id {kind}, n_tokens bigint, total double, word binary, times bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_network, vocabulary, own_shares = loaded(key, *sent.value)
+        own_shares = loaded(key, sent.value)
         row = TaskContext.get().partitionId() << 40
         for b in batches:
-            sizes, sums, left = [], [], []
-            for own in in_groups(t.as_py() for t in b.column("text")):
-                ids, at = vocabulary.flat(own)
-                logs = np.concatenate([[0.0], *(own_network.pass_over(ids, at[k : k + BATCH]) - own_shares.cost[ids[at[k : k + BATCH]]] for k in range(0, len(at), BATCH))])
-                ends, n = np.cumsum(logs), [len(x) for x in own]
-                stops = np.cumsum([0, *n])
-                split = [own_shares.split(x) for x in own]
-                left += [(row + len(sizes) + k, w, times) for k, (_, rest) in enumerate(split) for w, times in rest.items()]
-                sizes += n
-                sums += [s + x for s, (x, _) in zip((ends[stops[1:]] - ends[stops[:-1]]).tolist(), split, strict=True)]
+            ids, sums, left = [], [], []
+            for texts in in_groups(t.as_py() for t in b.column("text")):
+                own, stops = list(itertools.chain.from_iterable(texts)), np.cumsum([0, *(len(x) for x in texts)])
+                codes = own_shares.codes.of(own)
+                classes, ends = own_shares.classes[codes].astype("<u2").tobytes(), np.concatenate([[0.0], np.cumsum(own_shares.logs[codes])])
+                rest = own_shares.left(codes)
+                rows = row + len(ids) + np.searchsorted(stops, rest, side="right") - 1
+                left.append(Counter(zip(rows.tolist(), map(own.__getitem__, rest.tolist()), strict=True)))
+                ids += [classes[2 * x : 2 * y] for x, y in itertools.pairwise(stops.tolist())]
+                sums += (ends[stops[1:]] - ends[stops[:-1]]).tolist()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(row, row + len(sizes)), pa.int64()), b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.nulls(len(sizes), pa.binary()), pa.nulls(len(sizes), pa.int64())],
-                names := ["row", "doc_id", "n_tokens", "total", "word", "times"],
+                [pa.array(range(row, row + len(ids)), pa.int64()), b.column("doc_id"), pa.array(ids, pa.binary()), pa.array(sums, pa.float64()), pa.nulls(len(ids), pa.binary()), pa.nulls(len(ids), pa.int64())],
+                names := ["row", "doc_id", "ids", "share", "word", "times"],
             )
-            row += len(sizes)
-            for k in range(0, len(left), 65_536):
-                part = left[k : k + 65_536]
+            row += len(ids)
+            for part in left:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in part], pa.int64()), pa.nulls(len(part), b.column("doc_id").type), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.float64()), pa.array([x[1] for x in part], pa.binary()), pa.array([x[2] for x in part], pa.int64())],
+                    [pa.array([x for x, _ in part], pa.int64()), pa.nulls(len(part), b.column("doc_id").type), pa.nulls(len(part), pa.binary()), pa.nulls(len(part), pa.float64()), pa.array([w for _, w in part], pa.binary()), pa.array(list(part.values()), pa.int64())],
                     names,
                 )
 
-    found = stored(docs.select("doc_id", "text").mapInArrow(run, schema), "lm-scores")
-    joined = found.where("word is not null").select("row", "word", "times").join(counts.select("word", "n"), "word", "left")
+    return stored(docs.select("doc_id", "text").mapInArrow(run, f"row bigint, doc_id {kind}, ids binary, share double, word binary, times bigint"), "lm-coded")
+
+
+def score(coded: DataFrame, network: Network, counts: DataFrame) -> DataFrame:
+    """Per row: doc_id, n_tokens, log_likelihood (sum), mean_log_likelihood.
+
+    The network scores the classes; words whose counts were not at hand, one row for each of a text, are joined to
+    ``counts`` and added. A joined word is rarer than ``KNOWN_WORDS`` others, so none is hot.
+    """
+    sent = coded.sparkSession.sparkContext.broadcast(network.flat)
+    kind = coded.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_network = Network(sent.value)
+        for b in batches:
+            sums, given = [], b.column("ids")
+            sizes = np.array([len(x.as_buffer()) // 2 for x in given], np.int64)
+            # groups of about BATCH words
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // BATCH, prepend=-1)).tolist()
+            for first, last in itertools.pairwise([*cuts, len(sizes)]):
+                n = sizes[first:last]
+                ids, at = spaced(np.frombuffer(b"".join(x.as_py() for x in given[first:last]), "<u2"), n)
+                ends = np.cumsum(np.concatenate([[0.0], *(own_network.pass_over(ids, at[k : k + BATCH]) for k in range(0, len(at), BATCH))]))
+                stops = np.concatenate([[0], np.cumsum(n)])
+                sums += (ends[stops[1:]] - ends[stops[:-1]]).tolist()
+            total = np.array(sums) + b.column("share").to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(sizes), pa.array(total)], ["row", "doc_id", "n_tokens", "total"])
+
+    joined = coded.where("word is not null").select("row", "word", "times").join(counts.select("word", "n"), "word", "left")
     rest = joined.groupBy("row").agg(F.sum(F.col("times") * F.log(F.coalesce("n", F.lit(1)))).alias("more"))
-    rows = found.where("word is null").select("row", "doc_id", "n_tokens", "total").join(rest, "row", "left")
+    told = coded.where("word is null").select("row", "doc_id", "ids", "share").mapInArrow(run, f"row bigint, doc_id {kind}, n_tokens bigint, total double")
+    rows = told.join(rest, "row", "left")
     total = F.col("total") + F.coalesce("more", F.lit(0.0))
     return rows.select("doc_id", "n_tokens", total.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_likelihood"))
 
@@ -367,4 +428,5 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts = stored(counted(docs), "lm-counts")
     shares = shares_of(counts)
     n_words = counts.agg(F.sum("n")).first()[0] or 0
-    return score(docs, trained(docs, shares[0], n_words), shares, counts)
+    coded = encoded(docs, shares)
+    return score(coded, trained(coded, n_words), counts)

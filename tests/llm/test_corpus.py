@@ -348,6 +348,49 @@ def test_training_ignores_the_file_split(spark, monkeypatch):
     assert np.mean([many[k] for k in range(400)]) > -0.75  # half of the words leave one choice of three
 
 
+def test_two_passes_train_the_network(spark, monkeypatch):
+    """Windows of a chain with four followers a word: where single-rate descent went over all of them 57 times."""
+    monkeypatch.setattr(lm, "PART_WORDS", 10_000)
+    rnd = random.Random(10)
+
+    def chain(at: int) -> str:
+        out = [at := (3 * at + rnd.randrange(4)) % 200 for _ in range(300)]
+        return " ".join(f"w{k}" for k in out)
+
+    docs = frame(spark, [(k, chain(rnd.randrange(200))) for k in range(400)])
+    rounds, real = [], lm.one_round
+    monkeypatch.setattr(lm, "one_round", lambda *given: rounds.append(real(*given)) or rounds[-1])
+    lm.trained(lm.encoded(docs, ([f"w{k}".encode() for k in range(200)], [], {})), 120_000)
+    assert lm.PARTS <= len(rounds) <= 3 * lm.PARTS
+    assert rounds[-1][1] > -0.5  # either side leaves four words in two hundred
+
+
+def test_classes_of_counted_words(spark):
+    texts = [(k, t) for k, t in enumerate(["a ab abc abcd", "ÄÖ straße 日本語 x", "Abcd abcd", None, " "])]
+    want = Counter(w for _, t in texts for w in lm.words(t))
+    got = {bytes(r["word"]): (r["class"], r["n"]) for r in lm.counted(frame(spark, texts)).collect()}
+    assert got == {w: (lm.class_of(w), n) for w, n in want.items()}
+
+
+def test_gradient_against_differences():
+    rng = np.random.default_rng(1)
+    network = lm.Network(lm.Network.start().flat + rng.normal(0, 0.3, len(lm.Network.start().flat)))
+    ids, at, weight = np.zeros(404, np.int16), np.arange(2, 402), rng.integers(1, 4, 400).astype(float)
+    ids[at] = rng.integers(1, lm.VOCABULARY, 400)
+    gradient = lm.Network(np.zeros(len(network.flat)))
+    network.pass_over(ids, at, gradient, weight)
+
+    def mean_with(k: int, change: float) -> float:
+        moved = network.flat.copy()
+        moved[k] += change
+        return float(lm.Network(moved).pass_over(ids, at) @ weight / weight.sum())
+
+    logs = network.pass_over(ids, at)
+    assert logs.max() < 0
+    for k in np.argsort(-abs(gradient.flat))[:2000:100]:
+        assert gradient.flat[k] == pytest.approx((mean_with(k, -0.01) - mean_with(k, 0.01)) / 0.02, rel=0.01, abs=1e-5)
+
+
 def test_pipeline(spark, folder, odd):
     rows = corpus_pipeline.run(spark, folder)
     docs = {r["doc_id"] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id").collect()}
