@@ -48,6 +48,7 @@ SHARD_WORDS = 2_000_000
 PARTS, PART_WORDS = 4, 1_000_000
 TASK_WORDS = 300_000
 CACHE_WORDS = 400_000
+ROWS = 500
 KNOWN_WORDS = 100_000
 SLICES, SPREAD = 16, 64
 
@@ -106,7 +107,9 @@ class Vocabulary(dict):
 
 def spaced(own: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of texts end to end with room for the windows between them, and where the tokens are."""
-    at = np.arange(len(own)) + REACH * (1 + np.repeat(np.arange(len(sizes)), sizes))
+    kind = np.int32 if len(own) + REACH * (1 + len(sizes)) < 2**31 else np.int64
+    at = np.arange(len(own), dtype=kind)
+    at += np.repeat(np.arange(1, 1 + len(sizes), dtype=kind) * kind(REACH), sizes)
     out = np.zeros(len(own) + REACH * (1 + len(sizes)), np.int32)
     out[at] = own
     return out, at
@@ -247,10 +250,13 @@ def shards(coded: DataFrame, n_words: int) -> DataFrame:
     return stored(rows.groupBy("shard").applyInArrow(gather, "shard int, ids binary, sizes binary, copies binary"), "lm-shards")
 
 
-def windows(ids: bytes, sizes: bytes, copies: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of a shard with room between texts, where the tokens are, and how often each counts."""
+def windows(ids: bytes, sizes: bytes, copies: bytes, first: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of a shard with room between texts; of every ``step``-th token from ``first`` on, where it is and how often it
+    counts."""
     n = np.frombuffer(sizes, "<u4").astype(np.int64)
-    return *spaced(np.frombuffer(ids, "<u2"), n), np.repeat(np.frombuffer(copies, "<u8").astype(np.float64), n)
+    own, at = spaced(np.frombuffer(ids, "<u2"), n)
+    text = np.searchsorted(np.cumsum(n), np.arange(first, n.sum(), step), side="right")
+    return own, at[first::step].copy(), np.frombuffer(copies, "<u8").astype(np.float64)[text]
 
 
 def one_round(dealt: DataFrame, state: np.ndarray, turn: int, parts: int = 1) -> tuple[np.ndarray, float] | None:
@@ -259,11 +265,12 @@ def one_round(dealt: DataFrame, state: np.ndarray, turn: int, parts: int = 1) ->
     sent = dealt.sparkSession.sparkContext.broadcast(state)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _LOADED.clear()  # the worker that read the texts is used again, its words are not
         total, n, logs = 0.0, 0, 0.0
         for shard, *texts in (x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("shard", "ids", "sizes", "copies")), strict=True)):
             own = Learner(sent.value)
-            ids, at, copies = windows(*texts)
-            order = np.random.default_rng((turn, shard)).permutation(np.arange(turn % parts, len(at), parts))
+            ids, at, copies = windows(*texts, turn % parts, parts)
+            order = np.random.default_rng((turn, shard)).permutation(len(at))
             if not len(order):
                 continue
             size, learned = max(64, min(STEP, len(order) // 64)), int(copies[order].sum())
@@ -352,6 +359,13 @@ def loaded(key: str, shares: tuple) -> Shares:
     return _LOADED[key]
 
 
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, at most ``ROWS`` at once: what a task holds for them does not hang on how Spark batches rows."""
+    for b in batches:
+        for k in range(0, b.num_rows, ROWS):
+            yield b.slice(k, ROWS)
+
+
 def encoded(docs: DataFrame, shares: tuple) -> DataFrame:
     """Texts read once, for training and for scoring. Per row: row, doc_id, ids (classes, 16 bits each), share (the sum
     of the logarithms at hand of words within their classes); and rows of row, word, times for the counts that are not."""
@@ -363,7 +377,7 @@ def encoded(docs: DataFrame, shares: tuple) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_shares = loaded(key, sent.value)
         row = TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in in_slices(batches):
             ids, sums, left = [], [], []
             for texts in in_groups(t.as_py() for t in b.column("text")):
                 own, stops = list(itertools.chain.from_iterable(texts)), np.cumsum([0, *(len(x) for x in texts)])

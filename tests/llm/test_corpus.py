@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -365,6 +366,26 @@ def test_two_passes_train_the_network(spark, monkeypatch):
     assert rounds[-1][1] > -0.5  # either side leaves four words in two hundred
 
 
+def test_language_model_holds_the_windows_of_one_round():
+    texts, copies = [[5, 6, 7], [], [8], [9, 10, 11, 12, 13]], [2, 1, 3, 1]
+    packed = (np.array([x for t in texts for x in t], "<u2").tobytes(), np.array([len(t) for t in texts], "<u4").tobytes(), np.array(copies, "<u8").tobytes())
+    found = [lm.windows(*packed, k, 4) for k in range(4)]
+    assert [len(at) for _, at, _ in found] == [len(n) for *_, n in found] == [3, 2, 2, 2]
+    seen = sorted((int(p), int(ids[p]), n) for ids, at, own in found for p, n in zip(at, own, strict=True))
+    want = [(2 + k, x, n) for k, (x, n) in enumerate((x, n) for t, n in zip(texts[:1], copies[:1]) for x in t)] + [(9, 8, 3)] + [(12 + k, x, 1) for k, x in enumerate(texts[3])]
+    assert seen == want
+
+
+def test_language_model_reads_rows_in_small_slices(spark):
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(3 * lm.ROWS + 7))})
+    slices = list(lm.in_slices(iter([rows, rows.slice(0, 0), rows.slice(0, 2)])))
+    assert [b.num_rows for b in slices] == [lm.ROWS] * 3 + [7, 2] and [x for b in slices[:4] for x in b.column(0).to_pylist()] == list(range(rows.num_rows))
+    docs = frame(spark, [(k, "one two two") for k in range(lm.ROWS + 3)])
+    coded = lm.encoded(docs, ([b"one"], [], {})).collect()
+    left = [r for r in coded if r["word"] is not None]
+    assert len({r["row"] for r in coded if r["word"] is None}) == lm.ROWS + 3 == len(left) == len({r["row"] for r in left}) and {(bytes(r["word"]), r["times"]) for r in left} == {(b"two", 2)}
+
+
 def test_classes_of_counted_words(spark):
     texts = [(k, t) for k, t in enumerate(["a ab abc abcd", "ÄÖ straße 日本語 x", "Abcd abcd", None, " "])]
     want = Counter(w for _, t in texts for w in lm.words(t))
