@@ -46,6 +46,30 @@ def test_stopped_model_is_a_prefix(spark, table):
     assert probabilities(models.first_rounds(full, 24), valid) == probabilities(full, valid)
 
 
+def test_learners_tables_have_partitions_by_rows(spark, table, monkeypatch):
+    """40 slices and tasks for 600 rows are 40 tasks for every pass of every learner."""
+    seen = []
+    monkeypatch.setattr(models, "fit_early_stop", lambda train, valid, *rest: seen.extend([train.rdd.getNumPartitions(), train.count() + valid.count()]))
+    monkeypatch.setattr(models, "_fold_rows", lambda folded, *rest: seen.extend([folded.rdd.getNumPartitions(), folded.groupBy("fold").count().count()]) or spark.createDataFrame([("a", 0, 0.0, *[0.5] * 6)], "model_name string, fold int, training_time_sec double, " + ", ".join(f"{m} double" for m in models.CURVE)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    try:
+        models.stopped_early()(models.add_positive_weight(table[2], 1.0))
+        models.benchmark_baselines(table[2], folds=3)
+        assert seen == [1, 600, 1, 3] and models.fit_parts(table[2]) == 1
+        monkeypatch.setattr(models, "FIT_ROWS", 250)
+        assert models.fit_parts(table[2]) == 3
+        monkeypatch.setattr(models, "FIT_ROWS", 1)
+        assert models.fit_parts(table[2]) == 5
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_folds_do_not_hang_on_slices(spark, table):
+    rows = lambda d: sorted(map(tuple, d.select("customer_id", "fold").collect()))
+    assert rows(splits.stratified_folds(table[2], 3, parts=1)) == rows(splits.stratified_folds(table[2], 3, parts=7)) == rows(splits.stratified_folds(table[2], 3))
+
+
 def test_learner_stops_by_itself(spark, table):
     parts = splits.stratified_split(table[2], 0.3)
     train, valid = (parts.where(f"is_test = {k}").drop("is_test") for k in (0, 1))
