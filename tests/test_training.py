@@ -152,6 +152,51 @@ def test_labelled_neighbours_equal_brute_force(spark, same):
     assert votes.groupBy("query_id").agg(F.sum("votes").alias("n")).where("n <> 5").count() == 0
 
 
+@pytest.mark.parametrize("values", [1 << 22, 100_000])
+def test_every_labelled_row_is_searched(spark, monkeypatch, values):
+    """More than 50,000 labelled rows, sent to the tasks or in blocks: the closest are those beside each query."""
+    monkeypatch.setattr(neighbours, "LABELLED_VALUES", values, raising=False)
+    line = spark.range(60_000).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vec"), (F.col("id") % 3).alias("label"))
+    asked = line.where("id % 1000 = 7")
+    found = neighbours.nearest_labelled(line, asked, "label", 4, exclude_same_id=True).collect()
+    assert len(found) == 60
+    for r in found:
+        assert [(n.id - r.query_id, n.distance, n.label) for n in r.neighbours] == [(s, abs(s), (r.query_id + s) % 3) for s in (-1, 1, -2, 2)]
+    votes = neighbours.knn_vote(line, asked, "label", 4, exclude_same_id=True).groupBy("query_id").agg(F.sum("votes").alias("n"))
+    assert votes.where("n = 4").count() == 60
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_blocks_of_neighbours_equal_brute_force(spark, monkeypatch, same):
+    rng = np.random.default_rng(6)
+    stored = rng.normal(size=(150, 4))
+    stored[::3] = stored[0]
+    asked = stored if same else rng.normal(size=(40, 4))
+    given = vectors(spark, stored, True).withColumn("label", F.concat(F.lit("v"), F.col("label").cast("string")))
+    monkeypatch.setattr(neighbours, "LEAST_QUERIES", 10)
+    monkeypatch.setattr(neighbours, "LABELLED_VALUES", 100)
+    found = neighbours.nearest_labelled(given, vectors(spark, asked), "label", 7, exclude_same_id=same).collect()
+    assert len(found) == len(asked)
+    for r in found:
+        d = sorted((float(np.sqrt(((asked[r.query_id] - w) ** 2).sum())), i) for i, w in enumerate(stored) if not (same and i == r.query_id))[:7]
+        assert [(n.distance, n.id, n.label) for n in r.neighbours] == [(x, i, f"v{i % 2}") for x, i in d]
+
+
+def test_closest_rows_of_odd_vectors():
+    """Copies, ties, large, tiny and unknown values: what single precision cannot tell apart is compared exactly."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(300, 5))
+    for x in (base, np.round(base), np.where(np.arange(300)[:, None] < 200, base[0], base), base * 1e18 + 1e20, base * 1e-25, base + 1e7,
+              np.where(np.arange(300)[:, None] == 5, np.nan, base), base * 10.0 ** rng.integers(-8, 9, (300, 1))):
+        ids = rng.permutation(900)[:300]
+        at, row, distance = neighbours.k_closest(x[:40], ids[:40], x, ids, 6, True)
+        for i in range(40):
+            with np.errstate(invalid="ignore"):
+                d = np.where(ids == ids[i], np.inf, np.sqrt(((x[i] - x) ** 2).sum(1)))
+            best = [j for j in np.lexsort((ids, d))[:6] if np.isfinite(d[j])]
+            assert row[at == i].tolist() == best and distance[at == i].tolist() == d[best].tolist()
+
+
 def test_distances_held_at_once_are_bounded():
     import tracemalloc
 
