@@ -166,6 +166,16 @@ def test_every_labelled_row_is_searched(spark, monkeypatch, values):
     assert votes.where("n = 4").count() == 60
 
 
+def test_neighbour_scores_use_every_training_row(spark):
+    """Of 60,000 training rows, the seven beside each held-out one."""
+    from pyspark.ml.functions import array_to_vector
+
+    line = spark.range(60_000).select("id", array_to_vector(F.array(F.col("id").cast("double"))).alias("features"), (F.col("id") % 10 == 0).cast("int").alias("churn_label"))
+    rows = line.where("id % 1000 = 500").select((F.col("id") + 0.0).cast("bigint").alias("id"), "features")
+    got = {r.id: r.churn_probability for r in models.neighbour_scores(line, rows, "id").collect()}
+    assert got == {i: pytest.approx(1 / 7) for i in range(500, 60_000, 1000)}
+
+
 @pytest.mark.parametrize("same", [True, False])
 def test_blocks_of_neighbours_equal_brute_force(spark, monkeypatch, same):
     rng = np.random.default_rng(6)
