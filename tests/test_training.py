@@ -99,6 +99,32 @@ def test_jobs_in_parallel_keep_their_order(spark):
         in_parallel(spark, [lambda: 1, lambda: 1 // 0], 2)
 
 
+def test_tasks_of_learners_carry_short_plans(spark):
+    """A learner's table is read from files, whatever it took to make it, and fits side by side have fewer tasks each."""
+    table = spark.range(300).select(F.col("id").alias("customer_id"), (F.col("id") % 3 == 0).cast("int").alias("churn_label"))
+    folded = models.dealt(splits.stratified_folds(table, 3), "customer_id")
+    plan = folded._jdf.queryExecution().optimizedPlan().toString()
+    assert folded.count() == 300 and not [step for step in ("Window", "Join", "Range") if step in plan]
+    assert models.fit_parts(table, 90_000, 8) == 1 and models.fit_parts(table, 1, 8) == 1
+
+
+def test_folds_are_measured_together(spark, monkeypatch):
+    """Metrics of every model and fold are those of its own held-out rows, from one pass over the scores of all."""
+    rng = np.random.default_rng(8)
+    rows = [(i, float(rng.normal(i % 2, 1)), i % 2) for i in range(200)]
+    df = splits.stratified_folds(spark.createDataFrame(rows, "customer_id long, x double, churn_label int"), 2)
+    asked = []
+    monkeypatch.setattr(models, "evaluate", lambda *a, f=models.evaluate: asked.append(1) or f(*a))
+    tree = models.baseline_estimators()["Decision Tree"]
+    options = {"num_cols": ["x"], "cat_cols": []}
+    found = {(r.model_name, r.fold): r for r in models._fold_rows(df, {"a": tree, "b": models.NEAREST}, "fold", "customer_id", **options).collect()}
+    assert len(asked) == 1 and set(found) == {(m, f) for m in "ab" for f in (0, 1)}
+    model = prep.fit_preprocessor(df.where("fold <> 1"), **options)
+    table = models._model_table(df, model, ["customer_id", "fold"])
+    want = models.measure(models.neighbour_scores(table.where("fold <> 1"), table.where("fold = 1"), "customer_id"))
+    assert [found["b", 1][m] for m in models.CURVE] == pytest.approx([want[m] for m in models.CURVE])
+
+
 @pytest.mark.parametrize("boosted", [False, True])
 def test_tree_groups_add_up(spark, table, boosted):
     df, prepared, _ = table
